@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -104,7 +105,7 @@ def fingerprints(sh: np.ndarray, to: np.ndarray) -> tuple[list[bytes], np.ndarra
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
     """Pieces of a batch of about `most` bytes of text, so that memory stays bounded whatever the batch's size."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     begin, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > most:
@@ -124,7 +125,7 @@ def runs(batches, key: str):
         if held.num_rows < 2:
             continue
         keys = held.column(key).combine_chunks()
-        differs = pa.compute.not_equal(keys, keys[-1]).to_numpy(zero_copy_only=False)
+        differs = pc.not_equal(keys, keys[-1]).to_numpy(zero_copy_only=False)
         cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
         if cut:
             yield held.slice(0, cut)

@@ -187,8 +187,8 @@ def _verified(p: Similarity):
         for table in flat.runs(batches, "key"):
             rows = []
             for g in _groups(table, ["label", "fp", "copies", "text", "side"]):
-                label = np.array(g["label"].to_pylist(), object)
-                for value in dict.fromkeys(label):
+                label = g["label"].dictionary_encode().indices.to_numpy()
+                for value in np.unique(label):  # two labels may share a key's hash
                     at = np.flatnonzero(label == value)
                     fp, copies = [g["fp"][int(k)].as_py() for k in at], g["copies"].to_numpy(zero_copy_only=False)[at]
                     side = g["side"].to_numpy(zero_copy_only=False)[at]
