@@ -35,12 +35,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes of words that white space parts.
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[[32, *range(9, 14)]] = False
+
+
+def words(texts: list[str | None], is_word: np.ndarray = _IS_WORD, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the batch, and for each text where its words begin (one entry more at the end)."""
-    parts = [(t or "").lower().encode("utf-8", "replace") for t in texts]
+    parts = [((t or "").lower() if lower else t or "").encode("utf-8", "replace") for t in texts]
     raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     ends_of_text = np.cumsum(np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))) if parts else np.zeros(0, np.int64)
-    flag = _IS_WORD[raw]
+    flag = is_word[raw]
     edge = np.flatnonzero(flag[1:] != flag[:-1]) + 1
     if len(flag) and flag[0]:
         edge = np.concatenate([[0], edge])
