@@ -129,6 +129,7 @@ def _candidates(p: Similarity):
                 bucket = g["bucket"].to_numpy(zero_copy_only=False)
                 for value in np.unique(bucket) if len(bucket) > 1 else ():  # two buckets may share a key's hash
                     at = np.flatnonzero(bucket == value)
+                    at = np.array(sorted(at, key=lambda k: g["fp"][int(k)].as_py()))  # the least node is the root in every bucket, so forests of a group's buckets share edges
                     fp = [g["fp"][int(k)].as_py() for k in at]
                     sig = np.frombuffer(b"".join(g["sig"][int(k)].as_py() for k in at), np.uint16).reshape(len(at), p.hashes)
                     side = g["side"].to_numpy(zero_copy_only=False)[at]
@@ -190,6 +191,7 @@ def _verified(p: Similarity):
                 label = g["label"].dictionary_encode().indices.to_numpy()
                 for value in np.unique(label):  # two labels may share a key's hash
                     at = np.flatnonzero(label == value)
+                    at = np.array(sorted(at, key=lambda k: g["fp"][int(k)].as_py()))
                     fp, copies = [g["fp"][int(k)].as_py() for k in at], g["copies"].to_numpy(zero_copy_only=False)[at]
                     side = g["side"].to_numpy(zero_copy_only=False)[at]
                     left, right = (np.arange(len(at)),) * 2 if side[0] == 2 else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
