@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from . import flat
 from .flat import U, mix
+from .store import bounded
 
 
 @dataclass(frozen=True)
@@ -117,6 +118,7 @@ class Index:
 def _indexes(benchmark: DataFrame, seeds: Seeds):
     """A broadcast index for each block of the benchmark; how many blocks there are follows from its measured size."""
     spark = benchmark.sparkSession
+    bounded(benchmark.sparkSession)
     items = benchmark.select("item_id", "text").where("text is not null")
     n = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(n // seeds.block_bytes) + 1

@@ -108,7 +108,7 @@ def fingerprints(sh: np.ndarray, to: np.ndarray) -> tuple[list[bytes], np.ndarra
     return names, sizes
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Pieces of a batch of about `most` bytes of text, so that memory stays bounded whatever the batch's size."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     begin, held = 0, 0

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import flat
+from .store import bounded
 
 
 @dataclass(frozen=True)
@@ -25,7 +26,7 @@ class Profiles:
 
     dim: int = 1024
     sample: int = 2000
-    cache: int = 40_000
+    cache: int = 16_384
 
 
 def _letters() -> np.ndarray:
@@ -103,6 +104,7 @@ def _space(p: Profiles) -> Space:
 
 def prototypes(labelled: DataFrame, p: Profiles = Profiles()) -> pd.DataFrame:
     """lang and vector of every language of labelled(doc_id, text, lang); rows with a null text or lang teach nothing. Languages are few; their vectors come to the driver."""
+    bounded(labelled.sparkSession)
     rows = labelled.where("text is not null and lang is not null")
     n = rows.groupBy("lang").count().withColumnRenamed("count", "n_lang")
     draw = F.pmod(F.xxhash64(F.lit("profiles"), F.col("doc_id"), F.length("text")), F.lit(1 << 30)) * F.col("n_lang")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from . import flat
 from .flat import U, mix
+from .store import bounded
 
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -39,6 +40,7 @@ def _grams(texts: list, rules: Rules):
 
 def ratios(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules()) -> np.ndarray:
     """log(p_target / p_raw) of each bucket, both multinomials smoothed by one. raw: all of docs(doc_id, text); target: those whose id is in trusted(doc_id). The counts are of fixed size and come to the driver summed."""
+    bounded(docs.sparkSession)
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct().withColumn("__in", F.lit(True))
     if ids.count() <= rules.broadcast_ids:
         ids = F.broadcast(ids)

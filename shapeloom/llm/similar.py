@@ -14,14 +14,13 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
 from .graph import components
-from .store import written
+from .store import bounded, written
 
 
 @dataclass(frozen=True)
@@ -212,6 +211,7 @@ def classes(rows: DataFrame, p: Similarity, order: list[str]) -> tuple[DataFrame
 
     rows: a column text and the columns of `order`, by which the row that stands for its copies is the least.
     """
+    bounded(rows.sparkSession)
     t = written(signed(rows, p), "signed")
     copies = F.count(F.lit(1)).alias("copies")
     least = F.min(F.struct(*order)).alias("least")

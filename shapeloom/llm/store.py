@@ -8,8 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of bounded bytes, whatever the texts' lengths; no setting of the session is loosened."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        try:
+            now = int(spark.conf.get(key).removesuffix("b"))
+        except Exception as e:  # a version of Spark without the setting, or a value with a unit
+            if "SQL_CONF_NOT_FOUND" in str(e):
+                continue
+            now = 0
+        if now <= 0 or now > most:
+            spark.conf.set(key, most)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a folder of our own where it is unset, as in tests."""
+    bounded(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="shapeloom-")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
+from .store import bounded
 
 #: Fixed value: the published pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -150,6 +151,7 @@ def _counter(path: str) -> PrefixCounter:
 
 def token_counts(docs: DataFrame, tokenizer: str, budgets: tuple[int, ...] = (), tables: bool = False) -> DataFrame:
     """docs with n_bytes and n_tokens; for each budget the code points of the longest prefix within it as fit_<budget>; with tables, all counts as array prefix_tokens. Null texts are empty: 0 tokens."""
+    bounded(docs.sparkSession)
     names = ["n_bytes", "n_tokens", *(f"fit_{b}" for b in budgets), *(["prefix_tokens"] if tables else [])]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"{n} {'array<int>' if n == 'prefix_tokens' else 'bigint'}" for n in names)])
