@@ -178,35 +178,42 @@ def expression(node: list) -> str:
 
 
 def reading(node: list, pages: int) -> dict:
-    """region: the label of the article's elements, or none; drop: paths of the template's texts, where no such element is known."""
+    """region: the label of the article's elements, or none; drop: paths of the template's texts (constant on every page), where no such element is known."""
     found: dict[str, int] = {}
 
-    def mass(x: list, path: str) -> int:
-        if x[0] == "#":
-            return 0 if x[2] is not None and pages > 2 else x[3]
-        if x[3]:
-            return 0
-        got = sum(mass(c, f"{path}/{x[0]}") for c in x[2])
+    def regions(x: list):
+        if x[0] == "#" or x[3]:
+            return
         tag, words = x[0].partition(".")[0], x[0].partition(".")[2].split("-")
-        kind = 3 if tag == "article" or "articlebody" in words else 2 if tag == "main" or "main" in words else 0
+        kind = 2 if tag == "article" or "articlebody" in words else 1 if tag == "main" or "main" in words else 0
         if kind:
-            found[x[0]] = max(found.get(x[0], 0), kind)
-        return got
+            found[x[0]] = kind
+        for c in x[2]:
+            regions(c)
 
-    mass(node, "")
+    regions(node)
     if found:
         best = max(found.values())
         return {"region": sorted(k for k, v in found.items() if v == best), "drop": []}
-    drop = []
+    drop, fixed, free = [], 0, 0
 
-    def constants(x: list, path: str):
+    def texts(x: list, path: str, always: bool):
+        nonlocal fixed, free
         for c in x[2]:
+            in_all = always and c[1] in "1+"
             if c[0] != "#":
-                constants(c, f"{path}/{c[0]}")
-            elif c[2] is not None and pages > 2:
+                if not c[3]:
+                    texts(c, f"{path}/{c[0]}", in_all)
+            elif c[2] is not None and in_all and pages > 2:
                 drop.append([path, c[2]])
+                fixed += c[3]
+            else:
+                free += c[3]
 
-    constants(node, "")
+    texts(node, "", True)
+    # where hardly anything varies, the pages are copies of one text rather than fillings of one template
+    if fixed >= free:
+        drop = []
     return {"region": [], "drop": drop}
 
 

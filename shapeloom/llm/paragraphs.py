@@ -11,8 +11,6 @@ from .similar import Similarity, classes
 PRODUCTION = Similarity(bands=8, rows=3, step=8)
 #: Words of the shortest paragraph that counts; headers and one-line notices are shorter.
 MIN_WORDS = 20
-#: The text's identity beside doc_id, so that rows that share an id are told apart.
-_TEXT_KEY = F.xxhash64("text")
 
 
 def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, p: Similarity = PRODUCTION) -> DataFrame:
@@ -20,10 +18,10 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, p: Similari
 
     doc_id, text_key, pos (line, from 0), n_words, class_doc, class_pos (the class's first paragraph by doc_id, then
     text, then line: it stays), removed. Null and empty texts have no paragraphs; rows repeated with one doc_id and
-    text share their positions and are kept or cut alike; a null doc_id sorts first. Other columns are ignored.
+    text share their positions and are kept or cut alike; a null doc_id sorts last. Other columns are ignored.
     """
     words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    lines = docs.select("doc_id", _TEXT_KEY.alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     lines = lines.select("*", words.cast("long").alias("n_words")).where(F.col("n_words") >= min_words)
     t, nodes = classes(lines, p, ["doc_id", "text_key", "pos"])
     whole = nodes.groupBy("label").agg(F.min("least").alias("first"), F.sum("copies").alias("n")).where("n > 1")

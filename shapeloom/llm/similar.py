@@ -209,12 +209,12 @@ def _verified(p: Similarity):
 def classes(rows: DataFrame, p: Similarity, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """Returns (rows, nodes). rows: those given, with fp and sig, from a written table. nodes: fp, label, links, copies for every set of shingles; label is equal within a class, links counts the rows of other sets that are similar.
 
-    rows: a column text and the columns of `order`, by which the row that stands for its copies is the least.
+    rows: a column text and the columns of `order`, by which the row that stands for its copies is the least, nulls last.
     """
     bounded(rows.sparkSession)
     t = written(signed(rows, p), "signed")
     copies = F.count(F.lit(1)).alias("copies")
-    least = F.min(F.struct(*order)).alias("least")
+    least = F.min(F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])).alias("least")
     reps = written(t.where("fp is not null").groupBy("fp").agg(copies, least, F.first("sig").alias("sig")), "sets")
     width = 2 * p.rows
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(p.bands)])
