@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from ..functions.dialect import oracle, spark_query
+from ..operators import corpus, geometry, gates
+
+SQL = gates.SQL | corpus.SQL | geometry.SQL
+
 
 def queries() -> dict:
-    return {}
+    return {name: spark_query(sql) for name, sql in SQL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: oracle(sql) for name, sql in SQL.items()}
