@@ -9,6 +9,7 @@ before it, and answers truncation and budget questions without encoding again.
 from __future__ import annotations
 
 import json
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,7 +35,7 @@ def _byte_chars() -> list[str]:
 @dataclass
 class PrefixCounter:
     path: str
-    most_pieces: int = 200_000
+    most_pieces: int = 600_000
     memo: dict = field(default_factory=dict)
 
     def __post_init__(self):
@@ -46,7 +47,12 @@ class PrefixCounter:
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(merges)}
         self.tokens = {bytes([b]) for b in range(256)} | {a + b for a, b in self.rank}
-        self.longest = max(map(len, self.tokens))
+        #: Bytes of the longest token that ends with two given bytes.
+        self.reach: dict = {}
+        for t in self.tokens:
+            self.reach[t[-2:]] = max(len(t), self.reach.get(t[-2:], 2))
+        self.whole: dict = {}
+        self.prefix: dict = {}
         self.pairs: dict = {}
         self.pieces = regex.compile(PATTERN)
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
@@ -64,29 +70,46 @@ class PrefixCounter:
     def follows(self, a: bytes, b: bytes) -> bool:
         got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) > 4 * self.most_pieces:
+            if len(self.pairs) > self.most_pieces:
                 self.pairs.clear()
             got = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return got
 
-    def piece(self, text: str) -> np.ndarray:
-        """Token counts after each code point of one piece."""
+    def stands(self, token: bytes) -> bool:
+        """Whether the merges make the token of its own bytes."""
+        got = self.whole.get(token)
+        if got is None:
+            got = self.whole[token] = self.merged(token) == [token]
+        return got
+
+    def piece(self, text: str) -> tuple[bytes, int]:
+        """Token counts after each code point of one piece, as 32-bit integers, and the last of them."""
         got = self.memo.get(text)
         if got is None:
             data = text.encode("utf-8", "replace")
-            last, count = [b""] * (len(data) + 1), np.zeros(len(data) + 1, np.int32)
-            for end in range(1, len(data) + 1):
-                for begin in range(max(0, end - self.longest), end):
+            # the last tokens and counts up to a prefix depend on nothing after it: pieces that begin alike share them
+            last, count, known, begun = [b""], [0], self.prefix, 0
+            for n in range(min(len(data), 24) // 3 * 3, 0, -3):
+                if (got := known.get(data[:n])) is not None:
+                    last, count, begun = [*got[0]], [*got[1]], n
+                    break
+            for end in range(begun + 1, len(data) + 1):
+                for begin in range(max(0, end - self.reach.get(data[max(0, end - 2) : end], 2)), end):
                     token = data[begin:end]
-                    # the token itself must be one: merges may never build it from bytes
-                    if token in self.tokens and (not begin or self.follows(last[begin], token)) and (begin or self.merged(token) == [token]):
-                        last[end], count[end] = token, count[begin] + 1
+                    if token in self.tokens and (self.follows(last[begin], token) if begin else self.stands(token)):
+                        last.append(token)
+                        count.append(count[begin] + 1)
                         break
-            starts = np.frombuffer(data, np.uint8)
-            ends = np.append(np.flatnonzero((starts & 0xC0) != 0x80)[1:], len(data))
+                if end % 3 == 0 and end <= 24:
+                    if len(known) > self.most_pieces // 4:
+                        known.clear()
+                    known[data[:end]] = tuple(last), tuple(count)
+            if len(data) != len(text):
+                ends = [k for k in range(1, len(data)) if data[k] & 0xC0 != 0x80]
+                count = [0, *(count[k] for k in ends), count[-1]]
             if len(self.memo) > self.most_pieces:
                 self.memo.clear()
-            got = self.memo[text] = count[ends]
+            got = self.memo[text] = array("I", count[1:]).tobytes(), count[-1]
         return got
 
     def _plain(self, text: str) -> np.ndarray:
@@ -98,19 +121,21 @@ class PrefixCounter:
         found = self.pieces.findall(text)
         if not found:
             return np.zeros(0, np.int32)
-        tables = [self.piece(p) for p in found]
-        size = np.fromiter(map(len, tables), np.int64, len(tables))
-        total = np.fromiter((t[-1] for t in tables), np.int64, len(tables))
+        have, piece = self.memo.get, self.piece
+        tables = [have(p) or piece(p) for p in found]
+        size = np.array([len(p) for p in found])
+        total = np.array([t[1] for t in tables])
         base = np.cumsum(total) - total
-        out = np.concatenate(tables).astype(np.int64) + np.repeat(base, size)
+        out = np.frombuffer(b"".join([t[0] for t in tables]), np.uint32).astype(np.int64) + np.repeat(base, size)
         at = np.cumsum(size) - size
-        for k, p in enumerate(found):
+        for k in [k for k, p in enumerate(found) if p[0] == "'" or p.isspace()]:
+            p = found[k]
             if len(p) > 2 and p[0] == "'" and p in ("'re", "'ve", "'ll"):
                 # after the first letter: the apostrophe and the letter are two pieces
-                out[at[k] + 1] = base[k] + self.piece("'")[-1] + self.piece(p[1])[-1]
+                out[at[k] + 1] = base[k] + self.piece("'")[1] + self.piece(p[1])[1]
             if k + 1 < len(found) and p.isspace() and found[k + 1][0].isspace():
                 # a prefix that ends after the next piece's white space has it in this run
-                out[at[k + 1]] = base[k] + self.piece(p + found[k + 1][0])[-1]
+                out[at[k + 1]] = base[k] + self.piece(p + found[k + 1][0])[1]
         return out
 
     def prefixes(self, text: str | None) -> np.ndarray:
