@@ -22,7 +22,7 @@ def duck():
 
 def rows(df: pd.DataFrame):
     df = df[sorted(df.columns)]
-    clean = lambda v: None if v is None or (not isinstance(v, str) and pd.isna(v)) else round(float(v), 5) if isinstance(v, (int, float)) or hasattr(v, "dtype") else v
+    clean = lambda v: None if v is None or (not isinstance(v, str) and pd.isna(v)) else round(float(v), 5) + 0.0 if isinstance(v, (int, float)) or hasattr(v, "dtype") else v
     return sorted((tuple(map(clean, r)) for r in df.itertuples(index=False)), key=repr)
 
 
