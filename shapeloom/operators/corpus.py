@@ -6,18 +6,18 @@ _C = f"with {CORPUS}"
 _L = f"with {LOG}"
 
 SQL = {
-    "pair_full_outer": f"{_C} select coalesce(c.stem, l.doc_id) as stem, c.stem is not null as has_mesh, l.doc_id is not null as has_cloud from (select * from corpus where stem % 7 <> 0) c full outer join {{labels}} l on c.stem = l.doc_id",
-    "pair_unmatched": f"{_C}, m as (select * from corpus where stem % 7 <> 0) select 'mesh_without_pointcloud' as side, stem from m left anti join {{labels}} l on m.stem = l.doc_id union all select 'pointcloud_without_mesh', doc_id from {{labels}} l left anti join m on m.stem = l.doc_id",
+    "pair_full_outer": f"{_C} select coalesce(c.page_id, l.stem) as stem, c.page_id is not null as has_mesh, l.stem is not null as has_cloud from {{pages}} c full outer join corpus l on c.page_id = l.stem",
+    "pair_unmatched": f"{_C} select 'mesh_without_pointcloud' as side, page_id as stem from {{pages}} m left anti join {{labels}} l on m.page_id = l.doc_id union all select 'pointcloud_without_mesh', doc_id from {{labels}} l left anti join {{pages}} m on m.page_id = l.doc_id",
     "stem_collisions": "with s as (select p_partkey, lower(trim(p_name)) as stem from {part}), n as (select *, count(*) over (partition by stem) as n, row_number() over (partition by stem order by p_partkey) as rn from s) select stem, p_partkey, rn = 1 as kept from n where n > 1",
     "first_by_path": "with s as (select url, regexp_extract(url, '//([^/]+)', 1) as stem from {pages}), r as (select *, row_number() over (partition by stem order by url) as rn from s) select stem, url from r where rn = 1",
     "stem_norm": "select c_custkey, trim(lower(@GSUB[c_name; @SPACE; ' '])) as stem from {customer}",
     "stable_seed": "select p_partkey, @SEED[cast(p_name as varchar(200)); 2147483648] as seed from {part}",
     "manifest_strict_join": f"{_C} select c.stem, c.folder, l.quality from corpus c join {{labels}} l on c.stem = l.doc_id",
-    "folder_default_join": f"{_C} select l.doc_id as stem, coalesce(c.folder, '?') as folder from {{labels}} l left join (select * from corpus where stem % 5 <> 0) c on c.stem = l.doc_id",
+    "folder_default_join": f"{_C} select l.stem, coalesce(c.folder, '?') as folder from corpus l left join (select page_id, max(regexp_extract(url, '//([^/]+)', 1)) as folder from {{pages}} group by page_id) c on c.page_id = l.stem",
     "stems_semi": f"{_C} select stem, folder from corpus left semi join {{labels}} l on stem = l.doc_id",
     "stems_anti": f"{_C} select stem, folder from corpus left anti join {{labels}} l on stem = l.doc_id",
     "skip_built_anti": f"{_C} select stem, folder from corpus left anti join (select doc_id from {{labels}} where quality = 1) b on stem = b.doc_id",
-    "pinned_missing": f"{_C} select l.doc_id as stem from (select doc_id from {{labels}} where toxic = 1) l left anti join (select * from corpus where stem % 3 = 0) c on c.stem = l.doc_id",
+    "pinned_missing": "select l.doc_id as stem from (select doc_id from {labels} where toxic = 1) l left anti join {pages} c on c.page_id = l.doc_id",
     "split_within_folder": f"{_C}, r as (select stem, folder, count(*) over (partition by folder) as n, row_number() over (partition by folder order by sha1(cast(stem as varchar(20))), stem) as rn from corpus) select stem, folder, case when rn <= greatest(1, @BROUND[n * cast(0.1 as double)]) then 'val' else 'train' end as side from r",
     "split_pinned": f"{_C}, p as (select c.stem, c.folder, case when l.doc_id is null then 0 else 1 end as pinned from corpus c left join (select distinct doc_id from {{labels}} where toxic = 1) l on l.doc_id = c.stem), r as (select *, count(*) over (partition by folder) as n, row_number() over (partition by folder order by pinned desc, sha1(cast(stem as varchar(20))), stem) as rn from p) select stem, folder, case when pinned = 1 or rn <= greatest(1, @BROUND[n * cast(0.1 as double)]) then 'val' else 'train' end as side, pinned from r",
     "stratified_round_robin": f"{_C}, r as (select stem, folder, row_number() over (partition by folder order by stem) as rn from corpus), p as (select *, row_number() over (order by rn, folder) as place from r) select stem, folder, place from p where place <= 30",
@@ -31,10 +31,10 @@ SQL = {
     "folder_cap": f"{_C}, r as (select stem, folder, row_number() over (partition by folder order by stem) as rn from corpus) select stem, folder from r where rn <= 20",
     "folder_pooling": f"{_C} select case when folder in ('src1', 'src2', 'src3') then 'pooled' else folder end as pool, count(*) as n from corpus group by case when folder in ('src1', 'src2', 'src3') then 'pooled' else folder end",
     "reconcile": f"{_C}, s as (select count(*) as selected, count_if(stem % 31 = 0) as rejected, count_if(stem % 31 <> 0) as cached from corpus) select selected, rejected, cached, selected - rejected = cached as holds from s",
-    "union_with_side": f"{_C} select 'corpus' as side, stem from corpus where stem % 9 = 0 union all select 'labels', doc_id from {{labels}} where doc_id % 9 = 0",
+    "union_with_side": f"{_C} select 'corpus' as side, stem from corpus union all select 'labels', doc_id from {{labels}}",
     "best_step": f"{_L} select min_by(step, val_bce) as best_step, round(min(val_bce), 9) as best_bce from (select min(step) as step, val_bce from log group by val_bce) t",
     "running_best": f"{_L}, b as (select cast(floor(step / 100) as bigint) as step, min(val_bce) as v from log group by cast(floor(step / 100) as bigint)) select step, round(v, 9) as v, round(min(v) over (order by step rows between unbounded preceding and current row), 9) as best from b",
     "steady_rate": f"{_L}, b as (select cast(floor(step / 1000) as bigint) as s, max(step) as last, avg(val_bce) as v from log group by cast(floor(step / 1000) as bigint)) select s, last, last - lag(last) over (order by s) as advance, round(v - lag(v) over (order by s), 9) as change from b",
-    "lr_schedule": f"{_L} select step, round(case when step < 200 then 0.001 * (step + 1) / 200 when step < 600 then 0.001 else 0.00001 + 0.5 * (0.001 - 0.00001) * (1 + cos(pi() * least(1, (step - 600) / cast(400 as double)))) end, 12) as lr from log where step < 1000",
+    "lr_schedule": f"{_L} select step, round(case when step < 200 then 0.001 * (step + 1) / 200 when step < 600 then 0.001 else 0.00001 + 0.5 * (0.001 - 0.00001) * (1 + cos(pi() * least(1, (step - 600) / cast(400 as double)))) end, 12) as lr from log",
     "epoch_batches": f"{_L}, r as (select step, row_number() over (order by sha1(cast(step as varchar(20))), step) - 1 as rn, count(*) over () as n from log) select step, cast(floor(rn / 32) as bigint) as batch from r where rn < floor(n / 32) * 32",
 }

@@ -4,7 +4,7 @@ from ..plans.proxy import EVAL, GATES
 
 _E, _G = f"with {EVAL}", f"with {EVAL}, {GATES}"
 _PAIR = f"""{_E}, a as (select stem, max(folder) as folder, avg(iou128) as iou, max(euler_match) as euler from eval where error = '' group by stem),
-b as (select stem, avg(iou128 + l_tax - 0.04) as iou, min(euler_match) as euler from eval where error = '' and stem % 10 <> 0 group by stem),
+b as (select stem, avg(iou128 + l_tax - 0.04) as iou, min(euler_match) as euler from eval where error = '' and l_linestatus = 'F' group by stem),
 d as (select a.stem, a.folder, a.iou as iou_a, b.iou as iou_b, round(b.iou - a.iou, 9) + cast(0 as double) as delta, a.euler as euler_a, b.euler as euler_b from a join b on a.stem = b.stem)"""
 
 SQL = {

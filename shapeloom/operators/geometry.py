@@ -5,8 +5,9 @@ from ..plans.proxy import BOXES, CLOUDS, CROSS, TETS
 _B, _T, _K = f"with {BOXES}", f"with {TETS}", f"with {CLOUDS}"
 _N = f"{_B}, n as (select *, {CROSS} from tri)"
 _HALF = f"{_K}, a as (select * from cloud where pid % 2 = 0), b as (select * from cloud where pid % 2 = 1), p as (select a.shape_id, a.pid as pa, b.pid as pb, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) as d2, abs(a.nx*b.nx+a.ny*b.ny+a.nz*b.nz) / nullif(sqrt(a.nx*a.nx+a.ny*a.ny+a.nz*a.nz) * sqrt(b.nx*b.nx+b.ny*b.ny+b.nz*b.nz), 0) as cosine from a join b on a.shape_id = b.shape_id)"
-_GRID = "grid as (select cast(x.i as int) as ix, cast(y.i as int) as iy, cast(z.i as int) as iz from (select n_nationkey as i from {nation} where n_nationkey < 12) x join (select n_nationkey as i from {nation} where n_nationkey < 12) y on true join (select n_nationkey as i from {nation} where n_nationkey < 12) z on true), field as (select *, 4.5 - sqrt((ix-5.5)*(ix-5.5)+(iy-5.5)*(iy-5.5)+(iz-5.5)*(iz-5.5)) as logit from grid)"
-_W = f"""{_B}, q as (select shape_id, c.k as qid, ex * c.fx as qx, ey * c.fy as qy, ez * c.fz as qz from boxes join (values (0, 0.5, 0.5, 0.5), (1, 0.25, 0.7, 0.1), (2, 1.5, 0.5, 0.5), (3, -0.2, 0.3, 0.9)) as c(k, fx, fy, fz) on shape_id % 11 <> 0 and shape_id % 13 <> 0),
+_GRID = "grid as (select cast(x.i as int) as ix, cast(y.i as int) as iy, cast(z.i as int) as iz from (values (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) x(i) join (values (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) y(i) on true join (values (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) z(i) on true), field as (select *, 4.5 - sqrt((ix-5.5)*(ix-5.5)+(iy-5.5)*(iy-5.5)+(iz-5.5)*(iz-5.5)) as logit from grid)"
+#: Only sound shapes are labelled.
+_W = f"""{_B}, sound as (select shape_id from edges group by shape_id having bool_and(n = 2 and sgn = 0)), q as (select b.shape_id, c.k as qid, ex * c.fx as qx, ey * c.fy as qy, ez * c.fz as qz from boxes b left semi join sound s on s.shape_id = b.shape_id join (values (0, 0.5, 0.5, 0.5), (1, 0.25, 0.7, 0.1), (2, 1.5, 0.5, 0.5), (3, -0.2, 0.3, 0.9)) as c(k, fx, fy, fz) on true),
 r as (select q.shape_id, qid, ax-qx as ax, ay-qy as ay, az-qz as az, bx-qx as bx, by_-qy as by_, bz-qz as bz, cx-qx as cx, cy-qy as cy, cz-qz as cz from q join tri t on t.shape_id = q.shape_id),
 l as (select *, sqrt(ax*ax+ay*ay+az*az) as la, sqrt(bx*bx+by_*by_+bz*bz) as lb, sqrt(cx*cx+cy*cy+cz*cz) as lc from r),
 w as (select shape_id, qid, sum(atan2(ax*(by_*cz-bz*cy)+ay*(bz*cx-bx*cz)+az*(bx*cy-by_*cx), la*lb*lc+(ax*bx+ay*by_+az*bz)*lc+(bx*cx+by_*cy+bz*cz)*la+(ax*cx+ay*cy+az*cz)*lb)) / (2 * pi()) as winding from l group by shape_id, qid)"""

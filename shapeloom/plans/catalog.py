@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from ..functions.dialect import oracle, spark_query
 from ..operators import corpus, geometry, gates
+from . import solids
 
 SQL = gates.SQL | corpus.SQL | geometry.SQL
 
 
 def queries() -> dict:
-    return {name: spark_query(sql) for name, sql in SQL.items()}
+    return {name: spark_query(sql) for name, sql in SQL.items()} | solids.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(sql) for name, sql in SQL.items()}
+    return {name: oracle(sql) for name, sql in SQL.items()} | solids.ORACLES

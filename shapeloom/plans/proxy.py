@@ -4,13 +4,13 @@ from __future__ import annotations
 
 #: One row a scored shape; a shape that failed has flags 0, IoU 0 and an unknown Chamfer distance.
 EVAL = """
-raw_eval as (select l_returnflag as folder, cast(l_orderkey % 9973 * 7 + l_linenumber as bigint) as stem, l_quantity = 50 as bad, l_linenumber, l_orderkey, l_partkey, l_discount, l_tax, l_extendedprice from {lineitem}),
+raw_eval as (select l_returnflag as folder, cast(l_orderkey % 9973 * 7 + l_linenumber as bigint) as stem, l_quantity = 50 as bad, l_linenumber, l_orderkey, l_partkey, l_discount, l_tax, l_extendedprice, l_linestatus from {lineitem}),
 eval as (select folder, stem, case when bad then 'unreadable' else '' end as error,
   case when bad then 0 else cast(l_orderkey % 50 <> 0 as int) end as watertight, case when bad then 0 else cast(l_partkey % 40 <> 0 as int) end as winding_consistent,
   case when bad then 0 else cast(l_partkey % 90 <> 0 as int) end as self_intersection_free, case when bad then cast(0 as double) else 1 - l_discount end as iou128,
   case when bad or l_linenumber = 7 then cast('NaN' as double) else l_tax * 20 end as chamfer_l2_x1e3, case when bad then cast(0 as double) else 1 - l_tax end as normal_consistency,
   case when bad then 0 else cast(l_orderkey % 5 <> 0 as int) end as euler_match, case when bad then null else cast(1 + l_partkey % 3 as int) end as n_components,
-  case when bad then null else cast(1 + l_orderkey % 2 as int) end as n_components_gt, case when bad then null else cast(4 * l_orderkey % 997 + 4 as int) end as pred_faces, l_extendedprice, l_tax from raw_eval)"""
+  case when bad then null else cast(1 + l_orderkey % 2 as int) end as n_components_gt, case when bad then null else cast(4 * l_orderkey % 997 + 4 as int) end as pred_faces, l_extendedprice, l_tax, l_linestatus from raw_eval)"""
 #: The gates.
 GATES = """
 spec as (select * from (values ('watertight', 0.98, 0.90, 'higher'), ('winding_consistent', 0.98, 0.90, 'higher'), ('self_intersection_free', 1.00, 0.98, 'higher'), ('iou128', 0.90, 0.80, 'higher'),

@@ -26,7 +26,7 @@ def rows(df: pd.DataFrame):
     return sorted((tuple(map(clean, r)) for r in df.itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_oracle(spark, duck, name):
     assert rows(catalog.queries()[name](spark, SF).toPandas()) == rows(duck.sql(catalog.oracle_sql()[name]).df())
 
