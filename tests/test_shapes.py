@@ -127,3 +127,38 @@ def test_odd_rows_keep_their_place(spark):
 def test_vtu_holds_what_was_given():
     out = files.encode_vtu(np.zeros((4, 3)), np.array([[0, 1, 2, 3]]))
     assert b'NumberOfPoints="4" NumberOfCells="1"' in out and io.BytesIO(out).read().endswith(b"</VTKFile>")
+
+
+def test_network_goes_from_clouds_to_scores(spark, tmp_path):
+    from shapeloom.functions.network import Network, fourier, gelu
+    from shapeloom.operators import inference
+
+    assert np.allclose(gelu(np.array([-1.0, 0.0, 2.0])), [-0.15865525, 0, 1.95449974], atol=1e-6)
+    assert np.allclose(fourier(np.array([[0.25, 0, 0, 9.0]]), 2, 2)[0], [1, 0, 0, -1, 0, 0, 1, 1, 0, 0, 1, 1, 9], atol=1e-12)
+    size = {"d_model": 16, "n_heads": 2, "n_layers": 1, "n_freq": 3, "n_centers": 8, "max_freq": 4}
+    net = Network.fresh(size, 1)
+    inference.saved(spark, net, str(tmp_path / "net"))
+    same = inference.loaded(spark, str(tmp_path / "net"))
+    assert same.size == net.size and same.n_parameters() == net.n_parameters() and all((same.w[k] == v).all() for k, v in net.w.items())
+    rng = np.random.default_rng(0)
+    clouds = spark.createDataFrame([(k, rng.normal(size=(40, 6)).ravel().tolist()) for k in range(3)] + [(9, None)], "shape_id int, points array<double>")
+    chunks = inference.decoded(inference.encoded(clouds, net), net, 7, (-1,) * 3, (1,) * 3, 100)
+    got = {r.shape_id: r.field for r in inference.fields(chunks).collect()}
+    for r in clouds.where("points is not null").collect():
+        want = net.decode(net.encode(np.array(r.points).reshape(-1, 6)), levelset.grid((-1,) * 3, (1,) * 3, 7))
+        assert np.allclose(got[r.shape_id], want, atol=1e-5)
+    with pytest.raises(ValueError):
+        net.encode(np.zeros((5, 3)))
+    made = inference.meshes(clouds, net, 7, chunk=100)
+    assert {r.shape_id for r in made.collect()} == {0, 1, 2}
+
+
+def test_scores_of_a_shape_against_itself_and_of_a_missing_one(spark):
+    from shapeloom.operators import inference
+
+    v, f = ball(10, 0.4)
+    rows = [(k, "a", v.ravel().tolist(), f.ravel().tolist()) for k in (1, 2)]
+    truth = spark.createDataFrame(rows, "shape_id int, folder string, xyz array<double>, tri array<int>")
+    got = {r.shape_id: r for r in inference.scored(truth.where("shape_id = 1"), truth, 200, 12).collect()}
+    assert got[1].iou == 1 and got[1].chamfer_l2_x1e3 == 0 and abs(got[1].normal_consistency - 1) < 1e-9 and got[1].watertight == got[1].euler_match == 1 and got[1].error is None
+    assert got[2].iou == 0 and np.isnan(got[2].chamfer_l2_x1e3) and got[2].watertight == 0 and got[2].n_components is None and got[2].error
