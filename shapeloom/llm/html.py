@@ -91,6 +91,8 @@ def events(html: str | None):
     yield from close(0)
 
 
+#: Depth of a wrapper. Elements nested deeper stand beside each other at this depth, in page order; the page's text is read at any depth.
+DEEPEST = 200
 # A wrapper node is [label, quantifier, children, chrome]; a text is ["#", quantifier, crc of a constant text or None, characters].
 
 
@@ -98,14 +100,15 @@ def tree(html: str | None) -> list:
     root = ["", "1", [], False]
     stack = [root]
     for kind, tag, label, chrome in events(html):
+        home = stack[min(len(stack), DEEPEST) - 1]
         if kind == "open":
             node = [label, "1", [], bool(chrome or stack[-1][3])]
-            stack[-1][2].append(node)
+            home[2].append(node)
             stack.append(node)
         elif kind == "close":
             stack.pop()
         elif kind == "text" and (text := " ".join(unescape(tag).split())):
-            stack[-1][2].append(["#", "1", zlib.crc32(text.encode("utf-8", "replace")), len(text)])
+            home[2].append(["#", "1", zlib.crc32(text.encode("utf-8", "replace")), len(text)])
     return root
 
 
@@ -235,7 +238,7 @@ def extract(html: str | None, how: dict) -> str:
         if kind == "text":
             if not stack[-1][1] and (stack[-1][2] or not seen):
                 text = unescape(tag)
-                if not drop or ("/".join(path), zlib.crc32(" ".join(text.split()).encode("utf-8", "replace"))) not in drop:
+                if not drop or ("/".join(path[:DEEPEST]), zlib.crc32(" ".join(text.split()).encode("utf-8", "replace"))) not in drop:
                     parts.append((stack[-1][2], text))
         elif tag == "br":
             parts.append((stack[-1][2], " "))
