@@ -18,7 +18,9 @@ _FACES = [(0, 2, 1), (0, 3, 2), (4, 5, 6), (4, 6, 7), (0, 1, 5), (0, 5, 4), (2,
 
 
 def solids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part, k = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey")
+    k = F.col("p_partkey")
+    # narrow rows spread over all cores before they are packed: a kernel's work is far more than its input's bytes
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_size").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
     ext = [1 + F.col("p_size") % 7, 1 + k % 5, 1 + k % 3]
     share = F.when(k % 4 == 2, 0.4).otherwise(0.5)
     start = [F.when(k % 4 == 1, ext[0] + 1.0).when(k % 4 == 2, 0.05 * ext[0]).otherwise(0.8 * ext[0]), *(F.when(k % 4 == 2, 0.05 * e).otherwise(0.27 * e) for e in ext[1:])]
