@@ -1,11 +1,13 @@
-"""Removal of passages that repeat across documents: paragraph MinHash bands, exact Jaccard, components."""
+"""Removal of passages that repeat across documents: alike paragraphs (MinHash bands, exact Jaccard, components), then equal windows of words wherever they begin."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .passages import repeated_passages, without_passages
 from .similar import Similarity, classes
+from .store import written
 
 #: 8 bands of 3: two paragraphs at similarity 0.8 meet with probability 0.997, at 0.9 with 0.99999.
 PRODUCTION = Similarity(bands=8, rows=3, step=8)
@@ -31,15 +33,19 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, p: Similari
 
 
 def without_repeats(docs: DataFrame, **how) -> DataFrame:
-    """docs with the removed paragraphs cut from text; a document that loses all its words goes, others keep every other line as it was. Columns and other values stay."""
+    """docs with the removed paragraphs cut from text, then the removed passages of what is left, so that one of each stays; a document that loses all its words goes, others keep all else as it was. Columns and other values stay."""
     cut = repeated_paragraphs(docs, **how).where("removed").groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("cut"))
     cut = cut.select(F.col("doc_id").alias("cut_doc"), F.col("text_key").alias("cut_text"), "cut")
     x = docs.alias("d").join(cut.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.cut_doc")) & (F.xxhash64("d.text") == F.col("c.cut_text")), "left")
     left = F.array_join(F.filter(F.transform(F.split("d.text", "\n"), lambda s, i: F.when(F.array_contains("c.cut", i), F.lit(None)).otherwise(s)), lambda s: s.isNotNull()), "\n")
     x = x.select(*[F.when(F.col("c.cut").isNull(), F.col("d.text")).otherwise(left).alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns], F.col("c.cut").alias("__cut"))
-    return x.where(F.col("__cut").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("__cut")
+    return without_passages(written(x.where(F.col("__cut").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("__cut"), "paragraphs"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "pos", "n_words", "class_doc", "class_pos", "removed")
+    """Alike lines (pos, class_pos) and equal passages (first_word, class_word), both of the documents as they are."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    common, none = ["n_words", "class_doc", "removed"], F.lit(None).cast("long")
+    lines = repeated_paragraphs(docs).select("doc_id", "pos", *common, "class_pos", none.alias("first_word"), none.alias("class_word"))
+    passages = repeated_passages(docs).select("doc_id", F.lit(None).cast("int").alias("pos"), *common, F.lit(None).cast("int").alias("class_pos"), "first_word", "class_word")
+    return lines.unionByName(passages).select("doc_id", "pos", "n_words", "class_doc", "class_pos", "removed", "first_word", "class_word")
