@@ -20,10 +20,10 @@ _SPACE = " \t\n\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class Rules:
-    """buckets: of the hashed one- and two-word counts. least: mean log-likelihood ratio a text must reach. broadcast_ids: trusted ids up to which they are broadcast; beyond, the join shuffles."""
+    """buckets: of the hashed one- and two-word counts. least: mean log-likelihood ratio a text must reach; at -0.15, of the labelled rows of sf0.1 that pass the base rules, 4 of 301 bad ones and all 3,302 good ones are kept. broadcast_ids: trusted ids up to which they are broadcast; beyond, the join shuffles."""
 
     buckets: int = 1 << 16
-    least: float = -0.5
+    least: float = -0.15
     broadcast_ids: int = 5_000_000
 
 
