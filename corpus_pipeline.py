@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapeloom.llm.decontamination import without_leaks
-from shapeloom.llm.jaccard_join import near_classes
+from shapeloom.llm.jaccard_join import one_of_each
 from shapeloom.llm.language import identify, prototypes
 from shapeloom.llm.mixing import mixed
 from shapeloom.llm.paragraphs import without_repeats
@@ -19,10 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each class; of several rows with that id, one."""
-    keep = near_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    keep = keep.withColumnRenamed("doc_id", "__id")
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one row of each class, whatever ids are null or stand on several rows."""
+    return one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

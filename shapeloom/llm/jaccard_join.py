@@ -25,5 +25,17 @@ def near_classes(docs: DataFrame, p: Similarity = PRODUCTION) -> DataFrame:
     return out.select("doc_id", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def one_of_each(docs: DataFrame, p: Similarity = PRODUCTION) -> DataFrame:
+    """docs with one row of each class: the least doc_id (nulls last), then hash of text; of equal ones any. Rows without words are classes of their own and all stay."""
+    t, nodes = classes(docs.select("doc_id", "text"), p, ["doc_id"])
+    key = F.xxhash64("text")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_doc"), F.col("doc_id").alias("__id"), key.alias("__key")))
+    keep = t.join(nodes.select("fp", "label"), "fp").groupBy("label").agg(least.alias("least")).select("least.__id", "least.__key", F.lit(False).alias("__alone"))
+    alone = t.where("fp is null").select(F.col("doc_id").alias("__id"), key.alias("__key"), F.lit(True).alias("__alone")).distinct()
+    x = docs.join(keep.unionByName(alone), F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key")))
+    x = x.withColumn("__row", F.when(F.col("__alone"), F.monotonically_increasing_id()).otherwise(-1))
+    return x.dropDuplicates(["doc_id", "__key", "__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
