@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .similar import Similarity, classes
+from .similar import Similarity, by_set, classes
 
 PRODUCTION = Similarity()
 
@@ -19,22 +19,19 @@ def near_classes(docs: DataFrame, p: Similarity = PRODUCTION) -> DataFrame:
     Other columns are ignored; an empty table gives an empty result.
     """
     t, nodes = classes(docs.select("doc_id", "text"), p, ["doc_id"])
-    least = nodes.groupBy("label").agg(F.min(F.col("least.doc_id")).alias("class_id"))
-    known = nodes.join(least, "label").select("fp", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    out = t.select("doc_id", "fp").join(known, "fp", "left")
-    return out.select("doc_id", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # a row that is alone in its class needs no facts
+    size = nodes.groupBy("label").agg(F.min(F.col("least.doc_id")).alias("class_id"), F.sum("copies").alias("n")).where("n > 1")
+    known = nodes.join(size, "label").select(F.col("fp").alias("__fp"), "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    out = by_set(t.select("doc_id", "__row", "__fp"), known, p)
+    return out.select("doc_id", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, p: Similarity = PRODUCTION) -> DataFrame:
-    """docs with one row of each class: the least doc_id (nulls last), then hash of text; of equal ones any. Rows without words are classes of their own and all stay."""
-    t, nodes = classes(docs.select("doc_id", "text"), p, ["doc_id"])
-    key = F.xxhash64("text")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_doc"), F.col("doc_id").alias("__id"), key.alias("__key")))
-    keep = t.join(nodes.select("fp", "label"), "fp").groupBy("label").agg(least.alias("least")).select("least.__id", "least.__key", F.lit(False).alias("__alone"))
-    alone = t.where("fp is null").select(F.col("doc_id").alias("__id"), key.alias("__key"), F.lit(True).alias("__alone")).distinct()
-    x = docs.join(keep.unionByName(alone), F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key")))
-    x = x.withColumn("__row", F.when(F.col("__alone"), F.monotonically_increasing_id()).otherwise(-1))
-    return x.dropDuplicates(["doc_id", "__key", "__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one row of each class: the least doc_id (nulls last); of equal ones any. Rows without words are classes of their own and all stay."""
+    t, nodes = classes(docs, p, ["doc_id"])
+    size = nodes.groupBy("label").agg(F.min("least").alias("first"), F.sum("copies").alias("n")).where("n > 1")
+    keep = nodes.join(size, "label").select(F.col("fp").alias("__fp"), F.col("first.row").alias("__keep"))
+    return by_set(t, keep, p).where("__keep is null or __keep = __row").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

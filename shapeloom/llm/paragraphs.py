@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .passages import repeated_passages, without_passages
-from .similar import Similarity, classes
+from .passages import repeated_passages, with_cuts, without_passages
+from .similar import Similarity, by_set, classes
 from .store import written
 
 #: 8 bands of 3: two paragraphs at similarity 0.8 meet with probability 0.997, at 0.9 with 0.99999.
@@ -27,19 +27,19 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, p: Similari
     lines = lines.select("*", words.cast("long").alias("n_words")).where(F.col("n_words") >= min_words)
     t, nodes = classes(lines, p, ["doc_id", "text_key", "pos"])
     whole = nodes.groupBy("label").agg(F.min("least").alias("first"), F.sum("copies").alias("n")).where("n > 1")
-    found = t.join(nodes.join(whole, "label").select("fp", "first"), "fp")
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("pos") == F.col("first.pos"))
-    return found.select("doc_id", "text_key", "pos", "n_words", F.col("first.doc_id").alias("class_doc"), F.col("first.pos").alias("class_pos"), (~same).alias("removed"))
+    facts = nodes.join(whole, "label").select(F.col("fp").alias("__fp"), *[F.col(f"first.{c}").alias(f"class_{c}") for c in ("doc_id", "text_key", "pos")])
+    found = by_set(t.drop("text", "__sig"), facts, p).where("class_pos is not null")
+    same = F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("text_key") == F.col("class_text_key")) & (F.col("pos") == F.col("class_pos"))
+    return found.select("doc_id", "text_key", "pos", "n_words", F.col("class_doc_id").alias("class_doc"), "class_pos", (~same).alias("removed"))
 
 
 def without_repeats(docs: DataFrame, **how) -> DataFrame:
     """docs with the removed paragraphs cut from text, then the removed passages of what is left, so that one of each stays; a document that loses all its words goes, others keep all else as it was. Columns and other values stay."""
-    cut = repeated_paragraphs(docs, **how).where("removed").groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("cut"))
-    cut = cut.select(F.col("doc_id").alias("cut_doc"), F.col("text_key").alias("cut_text"), "cut")
-    x = docs.alias("d").join(cut.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.cut_doc")) & (F.xxhash64("d.text") == F.col("c.cut_text")), "left")
-    left = F.array_join(F.filter(F.transform(F.split("d.text", "\n"), lambda s, i: F.when(F.array_contains("c.cut", i), F.lit(None)).otherwise(s)), lambda s: s.isNotNull()), "\n")
-    x = x.select(*[F.when(F.col("c.cut").isNull(), F.col("d.text")).otherwise(left).alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns], F.col("c.cut").alias("__cut"))
-    return without_passages(written(x.where(F.col("__cut").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("__cut"), "paragraphs"))
+    cut = repeated_paragraphs(docs, **how).where("removed").groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("__cut"))
+    x = with_cuts(docs, cut.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), "__cut"), "__cut")
+    left = F.array_join(F.filter(F.transform(F.split("text", "\n"), lambda s, i: F.when(F.array_contains("__cut", i), F.lit(None)).otherwise(s)), lambda s: s.isNotNull()), "\n")
+    x = x.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(left))
+    return without_passages(written(x.where(F.col("__cut").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*[F.col(f"`{c}`") for c in docs.columns]), "paragraphs"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,12 +199,18 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str | None:
     return rest if _WORD.search(rest) else None
 
 
+def with_cuts(docs: DataFrame, cuts: DataFrame, column: str, broadcast_places: int = 500_000) -> DataFrame:
+    """docs left-joined with cuts(__doc, __key, column: an array of places), by id and hash of text; cuts are broadcast if they hold few places, else the join shuffles."""
+    cuts = written(cuts, "cuts")
+    on = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__key"))
+    few = (cuts.agg(F.sum(F.size(column) + 4)).first()[0] or 0) <= broadcast_places
+    return docs.join(F.broadcast(cuts) if few else cuts, on, "left").select(*[F.col(f"`{c}`") for c in docs.columns], column)
+
+
 def without_passages(docs: DataFrame, p: Windows = Windows()) -> DataFrame:
     """docs with the removed passages cut from text; a document that loses all its words goes. Columns and other values stay."""
     spans = repeated_passages(docs, p).where("removed").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first_word", "n_words")).alias("__spans"))
-    spans = written(spans.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), "__spans"), "spans")
-    on = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__key"))
-    x = docs.join(spans, on, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
+    x = with_cuts(docs, spans.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), "__spans"), "__spans")
     names = docs.columns
 
     def run(batches):

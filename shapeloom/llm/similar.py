@@ -2,9 +2,13 @@
 
 The join never lists the pairs of a group. Texts with one set of shingles become one node. Nodes that share a band
 are compared inside a task, in blocks of bounded size, by their MinHash values in steps; a pair is dropped once the
-posterior probability that its Jaccard similarity reaches the threshold falls below a tolerance. A task emits a
-spanning forest of the pairs that survive, so what is shuffled grows with the nodes. Inside each component of those
-forests all pairs are verified exactly, again in blocks, and each task emits counts and a spanning forest.
+posterior probability that its Jaccard similarity reaches the threshold falls below a tolerance. Buckets with equal
+members are compared once. In a bucket beyond a block every node meets a block of pivots first, and only nodes outside
+the largest component that this gives meet all others. A task emits a spanning forest of the pairs that survive.
+
+Inside each component of those forests links are verified exactly. Jaccard distance is a metric: in a component beyond
+a block each node's distance to one pivot is taken, pairs whose two distances add up to no more than the greatest
+distance of a link are links without being looked at, and only the nodes of other pairs are compared, in blocks.
 """
 
 from __future__ import annotations
@@ -15,17 +19,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import flat
 from .graph import components
-from .store import bounded, written
+from .store import bounded, removed, written
 
 
 @dataclass(frozen=True)
 class Similarity:
-    """words: of a shingle. bands x rows MinHash values. A pair at the threshold meets in no band with probability (1 - threshold**rows) ** bands. tolerance: of the pruning. block: nodes of one side of a comparison."""
+    """words: of a shingle. bands x rows MinHash values. A pair at the threshold meets in no band with probability (1 - threshold**rows) ** bands. tolerance: of the pruning. block: nodes of one side of a comparison. broadcast_rows: of about 100 bytes, up to which a side of a join is broadcast; beyond, it shuffles."""
 
     words: int = 5
     threshold: float = 0.8
@@ -34,11 +39,17 @@ class Similarity:
     step: int = 16
     tolerance: float = 1e-4
     block: int = 512
+    broadcast_rows: int = 250_000
 
     @property
     def hashes(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def far(self) -> int:
+        """The greatest distance of a link, in thousandths."""
+        return int((1 - self.threshold) * 1000 + 1e-6)
+
 
 @lru_cache(maxsize=64)
 def least_matches(p: Similarity) -> tuple[tuple[int, int], ...]:
@@ -84,8 +95,8 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 
 
 def signed(texts: DataFrame, p: Similarity) -> DataFrame:
-    """Adds fp (of the set of shingles; null without words), n_set and sig to every row; column text stays."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in texts.schema.fields)}, fp binary, n_set bigint, sig binary"
+    """Adds __fp (of the set of shingles; null without words) and __sig to every row; all columns stay."""
+    schema = T.StructType([*texts.schema.fields, T.StructField("__fp", T.BinaryType()), T.StructField("__sig", T.BinaryType())])
 
     def run(batches):
         for whole in batches:
@@ -93,24 +104,28 @@ def signed(texts: DataFrame, p: Similarity) -> DataFrame:
                 sh, to = flat.shingles(*flat.words(b.column("text").to_pylist()), p.words)
                 names, sizes = flat.fingerprints(sh, to)
                 sig = flat.minhash(sh, to, p.hashes)
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array([f if n else None for f, n in zip(names, sizes)], pa.binary()), pa.array(sizes), pa.array([s.tobytes() for s in sig], pa.binary())],
-                    names=[*b.schema.names, "fp", "n_set", "sig"],
-                )
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f if n else None for f, n in zip(names, sizes)], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], names=[*b.schema.names, "__fp", "__sig"])
 
     return texts.mapInArrow(run, schema)
 
 
-def _in_blocks(df: DataFrame, group: str, size: str, block: int) -> DataFrame:
+def in_blocks(df: DataFrame, group: str, size: str, block: int) -> DataFrame:
     """Each row once for every pair of blocks it takes part in; key, side: which of the two blocks is its own (2: both)."""
     n = F.ceil(F.col(size) / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), n).cast("int")
-    other = F.explode(F.sequence(F.lit(0), n - 1)).alias("other")
-    df = df.select("*", own.alias("own"), other)
+    df = df.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     return df.select("*", F.xxhash64(group, low, high).alias("key"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
 
 
+def to_pivots(df: DataFrame, group: str, size: str, block: int, pivot: Column) -> DataFrame:
+    """Pivots once for every block of their group (side 0, and 2 in block 0, where they are at home), other rows once (side 1)."""
+    n = F.ceil(F.col(size) / block).cast("int")
+    own = F.when(pivot, 0).otherwise(1 + F.pmod(F.xxhash64("fp"), n)).cast("int")
+    df = df.select("*", F.explode(F.when(pivot, F.sequence(F.lit(0), n)).otherwise(F.array(own))).alias("own"), pivot.alias("pivot"))
+    return df.select("*", F.xxhash64(group, "own").alias("key"), F.when(~F.col("pivot"), 1).when(F.col("own") == 0, 2).otherwise(0).alias("side"))
+
+
 def _groups(table: pa.Table, columns: list[str]):
     """Per group of a table sorted by key, group: the rows' columns."""
     data = {c: table.column(c).combine_chunks() for c in columns}
@@ -121,6 +136,8 @@ def _groups(table: pa.Table, columns: list[str]):
 
 
 def _candidates(p: Similarity):
+    """a, b: a spanning forest of the pairs that the pruning keeps."""
+
     def run(batches):
         for table in flat.runs(batches, "key"):
             out_a, out_b = [], []
@@ -147,6 +164,47 @@ def _candidates(p: Similarity):
     return run
 
 
+_PAIRS = "a binary, b binary"
+
+
+def _compared(parts: DataFrame, run, schema: str) -> DataFrame:
+    return parts.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
+def candidates(reps: DataFrame, p: Similarity, made: list[str]) -> DataFrame:
+    """(a, b): forests that connect every two nodes of reps(fp, sig) that share a band and that the pruning keeps. Tables that can go afterwards are listed in made."""
+    width = 2 * p.rows
+    keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(p.bands)])
+    bands = reps.select("fp", F.explode(keys).alias("bucket"))
+    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y")).where("n > 1")
+    # buckets with equal members (equal number and two sums of 64 bits) would give equal pairs
+    one = written(shared.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets", made)
+    if one.count() <= p.broadcast_rows:
+        meet = reps.select("fp", "sig", F.explode(keys).alias("bucket")).join(F.broadcast(one), "bucket")
+    else:
+        meet = bands.join(one, "bucket").join(reps.select("fp", "sig"), "fp")
+    columns = ["key", "bucket", "fp", "sig", "side"]
+    small = meet.where(F.col("n") <= p.block).select(F.col("bucket").alias("key"), "bucket", "fp", "sig", F.lit(2).alias("side"))
+    edges = _compared(small.select(*columns), _candidates(p), _PAIRS)
+    if one.where(F.col("n") > p.block).isEmpty():
+        return edges
+    big = written(meet.where(F.col("n") > p.block).select("bucket", "n", "fp", "sig"), "large", made)
+    pivot = F.pmod(F.xxhash64("fp", F.lit(2)), F.ceil(F.col("n") / p.block)) == 0
+    first = written(edges.unionByName(_compared(to_pivots(big, "bucket", "n", p.block, pivot).select(*columns), _candidates(p), _PAIRS)), "pivoted", made)
+    # nodes that are in one component by now need not meet; those outside a bucket's largest one meet all
+    label = components(first, made).withColumnRenamed("v", "fp")
+    of = big.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    main = of.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max_by("label", "k").alias("main"), (F.sum("k") - F.max("k")).cast("int").alias("m")).where("m > 0")
+    of = of.join(F.broadcast(main) if one.count() <= p.broadcast_rows else main, "bucket")
+    blocks = lambda c: F.ceil(F.col(c) / p.block).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("fp"), blocks(c)).cast("int")
+    these = of.where("label <> main").select("bucket", "fp", "sig", own("m").alias("i"), every("n").alias("j"), F.lit(0).alias("side"))
+    those = of.select("bucket", "fp", "sig", every("m").alias("i"), own("n").alias("j"), F.lit(1).alias("side"))
+    again = these.unionByName(those).select("*", F.xxhash64("bucket", "i", "j").alias("key")).select(*columns)
+    return first.unionByName(_compared(again, _candidates(p), _PAIRS))
+
+
 def _sets(texts: list[str], p: Similarity) -> list[np.ndarray]:
     sh, to = flat.shingles(*flat.words(texts), p.words)
     return [np.unique(sh[to[i] : to[i + 1]]) for i in range(len(texts))]
@@ -182,55 +240,119 @@ def exact_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thr
     return (i[i < j], j[i < j]) if same else (i, j)
 
 
-def _verified(p: Similarity):
+def _by_label(batches, columns: list[str]):
+    """Per label of the groups of a key: the rows' columns in order of fp."""
+    for table in flat.runs(batches, "key"):
+        for g in _groups(table, ["label", "fp", "side", *columns]):
+            label = g["label"].dictionary_encode().indices.to_numpy()
+            for value in np.unique(label):  # two labels may share a key's hash
+                at = np.flatnonzero(label == value)
+                at = np.array(sorted(at, key=lambda k: g["fp"][int(k)].as_py()))
+                yield {c: v.take(pa.array(at)) for c, v in g.items()}
+
+
+def _verified(p: Similarity, known: bool = False):
+    """fp, links, up: how many rows of a block each node is similar to, and its parent in a spanning forest; known: pairs whose distances q add up to no more than a link's are left out."""
+
     def run(batches):
-        for table in flat.runs(batches, "key"):
-            rows = []
-            for g in _groups(table, ["label", "fp", "copies", "text", "side"]):
-                label = g["label"].dictionary_encode().indices.to_numpy()
-                for value in np.unique(label):  # two labels may share a key's hash
-                    at = np.flatnonzero(label == value)
-                    at = np.array(sorted(at, key=lambda k: g["fp"][int(k)].as_py()))
-                    fp, copies = [g["fp"][int(k)].as_py() for k in at], g["copies"].to_numpy(zero_copy_only=False)[at]
-                    side = g["side"].to_numpy(zero_copy_only=False)[at]
-                    left, right = (np.arange(len(at)),) * 2 if side[0] == 2 else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-                    if len(at) < 2 or not len(left) or not len(right):
-                        continue
-                    i, j = exact_pairs(_sets([g["text"][int(k)].as_py() for k in at], p), left, right, p.threshold)
-                    links = np.bincount(i, copies[j], len(at)) + np.bincount(j, copies[i], len(at))
-                    parent = dict((v, r) for r, v in forest(len(at), i, j))
-                    rows += [(fp[k], int(links[k]), fp[parent[k]] if k in parent else None) for k in range(len(at)) if links[k]]
+        for g in _by_label(batches, ["copies", "text", *(["q"] if known else [])]):
+            fp, copies, side = g["fp"].to_pylist(), g["copies"].to_numpy(zero_copy_only=False), g["side"].to_numpy(zero_copy_only=False)
+            left, right = (np.arange(len(fp)),) * 2 if side[0] == 2 else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+            if len(fp) < 2 or not len(left) or not len(right):
+                continue
+            i, j = exact_pairs(_sets(g["text"].to_pylist(), p), left, right, p.threshold)
+            if known:
+                q = g["q"].to_numpy(zero_copy_only=False)
+                open_ = q[i] + q[j] > p.far
+                i, j = i[open_], j[open_]
+            links = np.bincount(i, copies[j], len(fp)) + np.bincount(j, copies[i], len(fp))
+            parent = dict((v, r) for r, v in forest(len(fp), i, j))
+            rows = [(fp[k], int(links[k]), fp[parent[k]] if k in parent else None) for k in np.flatnonzero(links)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.binary()))], names=["fp", "links", "up"])
 
     return run
 
 
+def _distances(p: Similarity):
+    """label, fp, copies, text, q: the distance of each node to its label's pivot in thousandths, rounded up."""
+
+    def run(batches):
+        for g in _by_label(batches, ["copies", "text"]):
+            side = g["side"].to_numpy(zero_copy_only=False)
+            sets = _sets(g["text"].to_pylist(), p)
+            pivot = sets[int(np.flatnonzero(side != 1)[0])]
+            own = np.flatnonzero(side != 0)
+            if not len(own):
+                continue
+            common = np.array([len(np.intersect1d(sets[k], pivot, assume_unique=True)) for k in own])
+            whole = np.array([len(sets[k]) for k in own]) + len(pivot) - common
+            q = np.ceil((1 - common / whole) * 1000 - 1e-6).astype(np.int64)
+            take = pa.array(own)
+            yield pa.RecordBatch.from_arrays([g["label"].take(take), g["fp"].take(take), g["copies"].take(take), g["text"].take(take), pa.array(q)], names=["label", "fp", "copies", "text", "q"])
+
+    return run
+
+
+_LINKS = "fp binary, links bigint, up binary"
+
+
+def verified(stand: DataFrame, p: Similarity, made: list[str]) -> DataFrame:
+    """fp, links, up (rows add up by fp) of the nodes stand(label, n, fp, copies, text), label being the least fp of n nodes."""
+    columns = ["key", "label", "fp", "copies", "text", "side"]
+    small = stand.where(F.col("n") <= p.block).select("label", "fp", "copies", "text", F.xxhash64("label").alias("key"), F.lit(2).alias("side"))
+    out = _compared(small.select(*columns), _verified(p), _LINKS)
+    large = stand.where(F.col("n") > p.block)
+    if large.isEmpty():
+        return out
+    parts = to_pivots(large, "label", "n", p.block, F.col("fp") == F.col("label")).select(*columns)
+    far = written(_compared(parts, _distances(p), "label binary, fp binary, copies bigint, text string, q bigint"), "distances", made)
+    hist = far.groupBy("label", "q").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"))
+    # at most a thousand rows a label: rows within each distance up to a link's
+    within = F.transform(F.sequence(F.lit(0), F.lit(p.far)), lambda k: F.aggregate(F.filter("h", lambda x: x["q"] <= k), F.lit(0).cast("long"), lambda s, x: s + x["copies"]))
+    hist = hist.groupBy("label").agg(F.max("q").alias("most"), F.collect_list(F.struct("q", "copies", "n")).alias("h"))
+    open_ = F.aggregate(F.filter("h", lambda x: (x["q"] + F.col("most") > p.far) & (x["q"] > 0)), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    hist = written(hist.select("label", "most", within.alias("within"), open_.alias("n")), "labels", made)
+    few = hist.count() <= p.broadcast_rows // 100
+    salt = F.pmod(F.xxhash64("fp"), F.lit(16)).cast("int")
+    each = far.select("*", salt.alias("salt")).join(F.broadcast(hist.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))) if few else hist.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["label", "salt"])
+    near = each.where(F.col("q") <= p.far)
+    sure = F.get("within", (p.far - F.col("q")).cast("int")) - F.when(2 * F.col("q") <= p.far, F.col("copies")).otherwise(0)
+    out = out.unionByName(near.select("fp", sure.alias("links"), F.when(F.col("fp") != F.col("label"), F.col("label")).alias("up")))
+    rest = each.where((F.col("q") + F.col("most") > p.far) & (F.col("q") > 0)).select("label", "n", "fp", "copies", "text", "q")
+    if hist.where("n > 0").isEmpty():
+        return out
+    return out.unionByName(_compared(in_blocks(rest, "label", "n", p.block).select(*columns, "q"), _verified(p, True), _LINKS))
+
+
+def by_set(rows: DataFrame, facts: DataFrame, p: Similarity) -> DataFrame:
+    """rows left-joined with facts (one row of few bytes for some sets, by __fp): broadcast up to a number of rows; beyond, rows of one set are spread by salts, so that copies do not land in one task."""
+    if facts.count() <= p.broadcast_rows:
+        return rows.join(F.broadcast(facts), "__fp", "left")
+    salted = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(16)).cast("int")).join(salted, ["__fp", "__salt"], "left").drop("__salt")
+
+
 def classes(rows: DataFrame, p: Similarity, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Returns (rows, nodes). rows: those given, with fp and sig, from a written table. nodes: fp, label, links, copies for every set of shingles; label is equal within a class, links counts the rows of other sets that are similar.
+    """Returns (rows, nodes), both written tables. rows: those given, with __row (a number of its own for each), __fp and __sig. nodes: fp, label, links, copies, least for every set of shingles; label is equal within a class, links counts the rows of other sets that are similar, least is the row that stands for the set (order, then __row).
 
     rows: a column text and the columns of `order`, by which the row that stands for its copies is the least, nulls last.
     """
     bounded(rows.sparkSession)
-    t = written(signed(rows, p), "signed")
+    made: list[str] = []
+    t = written(signed(rows.withColumn("__row", F.monotonically_increasing_id()), p), "signed")
     copies = F.count(F.lit(1)).alias("copies")
-    least = F.min(F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])).alias("least")
-    reps = written(t.where("fp is not null").groupBy("fp").agg(copies, least, F.first("sig").alias("sig")), "sets")
-    width = 2 * p.rows
-    keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(p.bands)])
-    bands = reps.select("fp", F.explode(keys).alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    meet = bands.join(shared, "bucket").join(reps.select("fp", "sig"), "fp")
-    parts = _in_blocks(meet, "bucket", "n", p.block).select("key", "bucket", "fp", "sig", "side")
-    edges = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(p), "a binary, b binary")
-    label = components(edges)
+    least = F.min(F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))], F.col("__row").alias("row"))).alias("least")
+    reps = written(t.where("__fp is not null").groupBy(F.col("__fp").alias("fp")).agg(copies, least, F.first("__sig").alias("sig")), "sets", made)
+    label = components(candidates(reps, p, made), made)
     sized = label.join(label.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label").withColumnRenamed("v", "fp")
-    stand = reps.join(sized, "fp").select("fp", "copies", "label", "n", *[F.col(f"least.{c}").alias(c) for c in order])
-    pairs_on = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ["fp", *order]]
-    texts = t.select("fp", *order, "text").alias("y").join(stand.alias("x"), pairs_on).select("x.fp", "x.copies", "x.label", "x.n", "y.text").dropDuplicates(["fp"])
-    parts = _in_blocks(written(texts, "stand"), "label", "n", p.block).select("key", "label", "fp", "copies", "text", "side")
-    found = written(parts.repartition("key").sortWithinPartitions("key").mapInArrow(_verified(p), "fp binary, links bigint, up binary"), "links")
-    label = components(found.where("up is not null").select(F.col("fp").alias("a"), F.col("up").alias("b"))).withColumnRenamed("v", "fp")
+    stand = written(reps.join(sized, "fp").select("fp", "copies", "label", "n", F.col("least.row").alias("__row")), "stand", made)
+    few = stand.count() <= p.broadcast_rows
+    texts = t.select("__row", "text").join(F.broadcast(stand) if few else stand, "__row").drop("__row")
+    found = written(verified(written(texts, "texts", made), p, made), "links", made)
+    label = components(found.where("up is not null").select(F.col("fp").alias("a"), F.col("up").alias("b")), made).withColumnRenamed("v", "fp")
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     nodes = reps.join(label, "fp", "left").join(links, "fp", "left")
-    return t, written(nodes.select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("links", F.lit(0)).alias("links"), "copies", "least"), "nodes")
+    nodes = written(nodes.select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("links", F.lit(0)).alias("links"), "copies", "least"), "nodes")
+    removed(rows.sparkSession, made)
+    return t, nodes

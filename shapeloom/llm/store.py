@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def bounded(spark: SparkSession) -> None:
-    """Arrow batches of bounded bytes, whatever the texts' lengths; no setting of the session is loosened."""
+    """Arrow batches of bounded bytes, whatever the texts' lengths. The session keeps these bounds, as its later queries are lazy; no setting is loosened."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
         try:
             now = int(spark.conf.get(key).removesuffix("b"))
@@ -22,11 +22,12 @@ def bounded(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of our own where it is unset, as in tests."""
+    """The session's spark.checkpoint.dir. Where it is unset: a folder of the warehouse, which all machines share, or on a single machine (master local) a temporary one."""
     bounded(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="shapeloom-")
+        local = spark.sparkContext.master.startswith("local[") and "cluster" not in spark.sparkContext.master
+        path = "file://" + tempfile.mkdtemp(prefix="shapeloom-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shapeloom-scratch"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -35,8 +36,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from a table that was written just now."""
+def written(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """The same rows, read from a table that was written just now; its path is added to made."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, made: list[str]) -> None:
+    """Deletes tables that nothing reads any more, wherever they are stored."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in made:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    made.clear()
