@@ -135,17 +135,18 @@ def _groups(table: pa.Table, columns: list[str]):
         yield {c: v.slice(begin, end - begin) for c, v in data.items()}
 
 
-def _candidates(p: Similarity):
-    """a, b: a spanning forest of the pairs that the pruning keeps."""
+def _candidates(p: Similarity, known: bool = False):
+    """a, b: a spanning forest of the pairs that the pruning keeps, rooted at the least pivot; known: of pairs with different labels only."""
 
     def run(batches):
         for table in flat.runs(batches, "key"):
             out_a, out_b = [], []
-            for g in _groups(table, ["bucket", "fp", "sig", "side"]):
+            for g in _groups(table, ["bucket", "fp", "sig", "side", *(["label"] if known else [])]):
                 bucket = g["bucket"].to_numpy(zero_copy_only=False)
                 for value in np.unique(bucket) if len(bucket) > 1 else ():  # two buckets may share a key's hash
                     at = np.flatnonzero(bucket == value)
-                    at = np.array(sorted(at, key=lambda k: g["fp"][int(k)].as_py()))  # the least node is the root in every bucket, so forests of a group's buckets share edges
+                    # the least node or pivot is the root in every bucket and block, so forests of a group share edges
+                    at = np.array(sorted(at, key=lambda k: (g["side"][int(k)].as_py() == 1, g["fp"][int(k)].as_py())))
                     fp = [g["fp"][int(k)].as_py() for k in at]
                     sig = np.frombuffer(b"".join(g["sig"][int(k)].as_py() for k in at), np.uint16).reshape(len(at), p.hashes)
                     side = g["side"].to_numpy(zero_copy_only=False)[at]
@@ -155,6 +156,9 @@ def _candidates(p: Similarity):
                         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
                         i, j = survivors(sig[left], sig[right], p, False)
                         i, j = left[i], right[j]
+                    if known:
+                        label = g["label"].take(pa.array(at)).dictionary_encode().indices.to_numpy()
+                        i, j = i[label[i] != label[j]], j[label[i] != label[j]]
                     for r, v in forest(len(at), i, j):
                         out_a.append(fp[r])
                         out_b.append(fp[v])
@@ -199,10 +203,10 @@ def candidates(reps: DataFrame, p: Similarity, made: list[str]) -> DataFrame:
     blocks = lambda c: F.ceil(F.col(c) / p.block).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
     own = lambda c: F.pmod(F.xxhash64("fp"), blocks(c)).cast("int")
-    these = of.where("label <> main").select("bucket", "fp", "sig", own("m").alias("i"), every("n").alias("j"), F.lit(0).alias("side"))
-    those = of.select("bucket", "fp", "sig", every("m").alias("i"), own("n").alias("j"), F.lit(1).alias("side"))
-    again = these.unionByName(those).select("*", F.xxhash64("bucket", "i", "j").alias("key")).select(*columns)
-    return first.unionByName(_compared(again, _candidates(p), _PAIRS))
+    these = of.where("label <> main").select("bucket", "fp", "sig", "label", own("m").alias("i"), every("n").alias("j"), F.lit(0).alias("side"))
+    those = of.select("bucket", "fp", "sig", "label", every("m").alias("i"), own("n").alias("j"), F.lit(1).alias("side"))
+    again = these.unionByName(those).select("*", F.xxhash64("bucket", "i", "j").alias("key")).select(*columns, "label")
+    return first.unionByName(_compared(again, _candidates(p, True), _PAIRS))
 
 
 def _sets(texts: list[str], p: Similarity) -> list[np.ndarray]:
