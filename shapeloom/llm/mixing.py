@@ -5,28 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import written
+
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-BINS = 4096
-#: Sources up to which their one row each is broadcast; beyond, the join shuffles.
+#: Rows of a plan (some 100 bytes each) up to which it is broadcast; beyond, the join shuffles.
 BROADCAST_SOURCES = 50_000
-_SPACE = r"[\x20\x09-\x0D]+"
+#: Levels of 4,096 parts each by which a source's keys are searched for the place where its budget ends.
+LEVELS = 4
 
 
 def n_words(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ of a text; 0 for null."""
-    inner = F.regexp_replace(F.coalesce(text, F.lit("")), _SPACE, " ")
-    inner = F.trim(inner)
-    return F.when(inner == "", F.lit(0)).otherwise(F.length(inner) - F.length(F.replace(inner, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def quality(text: Column) -> Column:
     """The default weight of a document, from 0.1 to 1: the share of its characters that are not symbols, digits or capitals."""
     n = F.length(F.coalesce(text, F.lit("")))
-    plain = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[#*$%&|<>!0-9A-Z]", ""))
-    return F.when(n == 0, F.lit(0.1)).otherwise(F.greatest(F.lit(0.1), plain / n))
+    marked = F.coalesce(F.regexp_count(text, F.lit(r"[#*$%&|<>!0-9A-Z]")), F.lit(0))
+    return F.when(n == 0, F.lit(0.1)).otherwise(F.greatest(F.lit(0.1), (n - marked) / n))
 
 
 def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights=WEIGHTS) -> DataFrame:
@@ -48,44 +48,63 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights=
     return w.select("source", F.col("source_size").cast("long").alias("source_size"), F.coalesce(F.least("cap", F.col("w") * F.col("level")), "cap").alias("target"))
 
 
-def mixed(docs: DataFrame, weight=quality, seed: str = "mix", **shares) -> DataFrame:
-    """docs with size, source_size, target and taken.
+def _with(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """rows(source, __h, ...) joined with plan(__source, ...): by broadcast of few sources, else with rows of a source spread by salts."""
+    on = F.col("source").eqNullSafe(F.col("__source"))
+    if few:
+        return rows.join(F.broadcast(plan), on)
+    plan = plan.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    return rows.join(plan, on & (F.pmod(F.xxhash64("__h"), F.lit(32)) == F.col("__salt"))).drop("__salt")
+
+
+def mixed(docs: DataFrame, weight=quality, seed: str = "mix", carry: list[str] | None = None, **shares) -> DataFrame:
+    """docs (of them the columns of carry, if given) with size, source_size, target and taken.
 
     Each source gives floor(target / source_size) complete epochs; of the rest, documents are taken whole in order of
     the key -ln(u) / weight (u from a hash of id and text) until the budget is used up, the last one in part, by its
-    first words. Rows of the same id and text tie and are told apart by nothing: one of them may be taken in part.
-    A null text has size 0; an empty source gets target 0. Existing columns of these names are replaced.
+    first words. Rows of one id and text have one key: where the budget ends at them, they share what is left evenly
+    (rounded down). A null text has size 0; an empty source gets target 0. Existing columns of these names are
+    replaced.
+
+    Where a budget ends is searched by sums over 4,096 parts of the key's range, then over 4,096 parts of that part and
+    so on, so a task holds the sums of a source's parts and never its documents, whatever their number and weights.
     """
     names = ("size", "source_size", "target", "taken")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in names]
     h = F.md5(F.concat_ws("\x01", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))).cast("binary"))
-    u = (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    x = docs.select("*", n_words(F.col("text")).alias("size"), u.alias("__u"), weight(F.col("text")).alias("__w"), h.alias("__h"))
-    x = x.withColumn("__key", -F.log("__u") / F.col("__w")).withColumn("__bin", F.floor((1 - F.exp(-F.col("__key"))) * BINS).cast("int"))
-    bins = x.groupBy("source", "__bin").agg(F.sum("size").alias("n"))
-    plan = targets(bins.groupBy("source").agg(F.sum("n").alias("source_size")), **shares)
+    u = (F.conv(F.substring("__h", 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    x = docs.select(*[F.col(f"`{c}`") for c in kept], *([] if "source" in kept else ["source"]), n_words(F.col("text")).alias("size"), weight(F.col("text")).alias("__w"), h.alias("__h"))
+    x = x.withColumn("__key", -F.log(u) / F.col("__w"))
+    # 1 - exp(-key) rises with the key, so whole numbers of it keep the order, but for ties that the key breaks
+    place = F.least(F.floor(-F.expm1(-F.col("__key")) * float(1 << 48)), F.lit((1 << 48) - 1)).cast("long")
+    x = written(x.withColumn("__place", place).drop("__w"), "keyed")
+    narrow = x.select("source", "size", "__place", "__key", "__h")
+    plan = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), **shares)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    plan = plan.withColumn("budget", F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + 0.5).cast("long"))
-    p, b = plan.alias("p"), bins.alias("b")
-    before = F.coalesce(F.sum("b.n").over(Window.partitionBy("b.source").orderBy("b.__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = b.join(p, F.col("b.source").eqNullSafe(F.col("p.source"))).select("b.source", "b.__bin", before.alias("before"), "b.n", "p.budget")
-    # the one bin of a source in which its budget ends
-    edge = edge.where("before <= budget and budget < before + n").groupBy("source").agg(F.max("__bin").alias("edge_bin"), F.max("before").alias("edge_before"))
-    plan = plan.alias("p").join(edge.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left").select("p.*", "e.edge_bin", "e.edge_before")
-    plan = plan.withColumnRenamed("source", "__source")
-    if bins.select("source").distinct().count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
-    x = x.join(plan, F.col("source").eqNullSafe(F.col("__source")))
-    at_edge = F.col("__bin") == F.col("edge_bin")
-    # rows of other bins get a partition of their own hash, so that only the bins where budgets end are sorted together
-    spread = F.when(at_edge, F.lit(None).cast("long")).otherwise(F.xxhash64("__h"))
-    w = Window.partitionBy("source", spread).orderBy("__key", "__h").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("budget") - F.col("edge_before") - F.coalesce(F.sum("size").over(w), F.lit(0))
-    part = F.when(F.col("edge_bin").isNull() | (F.col("__bin") < F.col("edge_bin")), F.when(F.col("budget") > 0, F.col("size")).otherwise(0)).when(at_edge, F.greatest(F.lit(0), F.least("size", left))).otherwise(0)
-    x = x.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))
-    return x.drop("__u", "__w", "__h", "__key", "__bin", "__source", "epochs", "budget", "edge_bin", "edge_before")
+    plan = plan.withColumn("left", F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + 0.5).cast("long"))
+    plan = written(plan.withColumnRenamed("source", "__source").withColumn("whole", F.col("left") >= F.col("source_size")), "plan")
+    few = plan.count() <= BROADCAST_SOURCES
+    # edge: of each source the part of its keys in which the budget ends (low), and what is left of it there
+    edge = plan.where(~F.col("whole")).select("__source", F.lit(0).cast("long").alias("low"), "left")
+    for level in range(LEVELS):
+        shift = 36 - 12 * level
+        here = _with(narrow.select("source", "size", "__place", *([] if few else ["__h"])), edge, few).where(F.shiftright("__place", shift + 12) == F.col("low"))
+        sums = here.groupBy("__source", "low", "left", F.shiftright("__place", shift).alias("part")).agg(F.sum("size").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("__source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sums = sums.withColumn("before", before).where("before <= left and left < before + n")
+        edge = written(sums.groupBy("__source").agg(F.max("part").alias("low"), F.max(F.col("left") - F.col("before")).alias("left")), "edge")
+    # keys that agree in 48 bits are few; they are told apart by key and hash
+    last = _with(narrow, edge, few).where(F.col("__place") == F.col("low")).groupBy("__source", "left", "__key", "__h").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("__source").orderBy("__key", "__h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = last.withColumn("before", before).where("before <= left and left < before + n")
+    last = last.groupBy("__source").agg(F.max(F.struct("__key", "__h")).alias("at"), F.max(F.floor((F.col("left") - F.col("before")) / F.col("rows"))).cast("long").alias("rest"))
+    plan = plan.join(last, plan["__source"].eqNullSafe(last["__source"]), "left").select(plan["__source"], "source_size", "target", "epochs", "whole", "at", "rest")
+    x = _with(x, written(plan, "ends"), few)
+    mine = F.struct("__key", "__h")
+    part = F.when(F.col("whole") | (mine < F.col("at")), F.col("size")).when(mine == F.col("at"), F.least("size", "rest")).otherwise(0)
+    return x.select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed(docs, carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")

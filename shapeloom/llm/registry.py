@@ -21,8 +21,10 @@ l AS (SELECT a.*, (SELECT max(x.level) FROM (SELECT (b.total - coalesce((SELECT
 t AS (SELECT source, n, least(cap, coalesce(w * level, cap)) AS target FROM l),
 e AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS epochs FROM t),
 b AS (SELECT *, floor(target - epochs * n + 0.5) AS budget FROM e),
-r AS (SELECT k.doc_id, k.size, b.n, b.target, b.epochs, b.budget, coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, size::BIGINT AS size, n::BIGINT AS source_size, target, (epochs * size + greatest(0, least(size, budget - before)))::BIGINT AS taken FROM r"""
+g AS (SELECT source, key, h, sum(size) AS n, count(*) AS rows FROM k GROUP BY ALL),
+o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY key, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
+r AS (SELECT k.doc_id, k.size, b.n, b.target, b.epochs, b.budget, o.before, o.n AS own, o.rows FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source JOIN o ON o.source IS NOT DISTINCT FROM k.source AND o.key = k.key AND o.h = k.h)
+SELECT doc_id, size::BIGINT AS size, n::BIGINT AS source_size, target, (epochs * size + CASE WHEN budget >= before + own THEN size WHEN budget > before THEN least(size, floor((budget - before) / rows)) ELSE 0 END)::BIGINT AS taken FROM r"""
 
 _WARC = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS b, sha1(coalesce(html, '')) AS hex FROM pages), m AS (SELECT hex, max(page_id) AS last FROM p GROUP BY hex)
