@@ -193,7 +193,8 @@ def candidates(reps: DataFrame, p: Similarity, made: list[str]) -> DataFrame:
     if one.where(F.col("n") > p.block).isEmpty():
         return edges
     big = written(meet.where(F.col("n") > p.block).select("bucket", "n", "fp", "sig"), "large", made)
-    pivot = F.pmod(F.xxhash64("fp", F.lit(2)), F.ceil(F.col("n") / p.block)) == 0
+    # the least nodes are pivots (fp is uniform), so the least one of a group is the root in all its buckets
+    pivot = F.conv(F.hex(F.substring("fp", 1, 4)), 16, 10).cast("double") * F.col("n") < float(p.block << 32)
     first = written(edges.unionByName(_compared(to_pivots(big, "bucket", "n", p.block, pivot).select(*columns), _candidates(p), _PAIRS)), "pivoted", made)
     # nodes that are in one component by now need not meet; those outside a bucket's largest one meet all
     label = components(first, made).withColumnRenamed("v", "fp")
@@ -206,7 +207,7 @@ def candidates(reps: DataFrame, p: Similarity, made: list[str]) -> DataFrame:
     these = of.where("label <> main").select("bucket", "fp", "sig", "label", own("m").alias("i"), every("n").alias("j"), F.lit(0).alias("side"))
     those = of.select("bucket", "fp", "sig", "label", every("m").alias("i"), own("n").alias("j"), F.lit(1).alias("side"))
     again = these.unionByName(those).select("*", F.xxhash64("bucket", "i", "j").alias("key")).select(*columns, "label")
-    return first.unionByName(_compared(again, _candidates(p, True), _PAIRS))
+    return label.select(F.col("fp").alias("a"), F.col("label").alias("b")).unionByName(_compared(again, _candidates(p, True), _PAIRS))
 
 
 def _sets(texts: list[str], p: Similarity) -> list[np.ndarray]:
