@@ -1,36 +1,50 @@
 """Benchmark decontamination by spaced seeds.
 
 A mask of ones and zeros is laid over the words from each position; the words under its ones are hashed, so a hit
-survives substitutions under its zeros. Around hits the texts are compared word by word along the same diagonal.
+survives substitutions under its zeros. Around hits the texts are compared word by word along the same diagonal. A
+benchmark of bounded bytes is indexed and broadcast; beyond, the hashes of both sides are joined by shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import flat
 from .flat import U, mix
-from .store import bounded
+from .store import bounded, written
 
 
 @dataclass(frozen=True)
 class Seeds:
-    """masks: fixed seeds of weight 8. min_words, min_share: an overlap counts if it has this many equal words, or all but a fifth of a shorter item, and this share of equal words. block_bytes: of benchmark texts that are broadcast at once; a larger benchmark is taken in blocks."""
+    """masks: fixed seeds of weight 8, for items of `short` words or more. short_masks: of weight 5, for shorter ones; items under 10 words are looked up whole, from 5 words on with any one word left out. min_words, min_share: an overlap counts if it has this many equal words, or all but a fifth of a shorter item, and this share of equal words. block_bytes: of benchmark texts up to which they are broadcast. bits: of the table by which the texts' hashes are sifted before a join (2 to that power). broadcast_keys: of leaked texts, up to which they are broadcast."""
 
     masks: tuple[str, ...] = ("11111111", "1101100110101", "10110101011001")
+    short_masks: tuple[str, ...] = ("11111", "1100111", "1101101", "110010101", "1010011001")
+    short: int = 40
     min_words: int = 12
     min_share: float = 0.8
     drop: int = 6
-    block_bytes: int = 4 << 20
+    block_bytes: int = 16 << 20
+    bits: int = 27
+    broadcast_keys: int = 1_000_000
 
-    @property
-    def span(self) -> int:
-        return max(map(len, self.masks))
+    def laid(self) -> list[tuple[str, int, int]]:
+        """(mask, least, most): every mask with the sizes of the items it is for; a mask as long as these is laid over their first word only."""
+        out = [(m, self.short, 1 << 40) for m in self.masks] + [(m, 10, self.short - 1) for m in self.short_masks]
+        for n in range(1, 10):
+            out += [("1" * n, n, n)] if n < 5 else [("1" * k + "0" + "1" * (n - k - 1), n, n) for k in range(n)]
+        return out
+
+    def need(self, size: np.ndarray) -> np.ndarray:
+        return np.minimum(self.min_words, np.ceil(0.8 * size).astype(np.int64))
 
 
 def masked(word: np.ndarray, at: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -44,127 +58,258 @@ def masked(word: np.ndarray, at: np.ndarray, mask: str) -> tuple[np.ndarray, np.
             if c == "1":
                 h = h * U(0xC2B2AE3D27D4EB4F) + word[k : k + n]
         h = mix(h + U(int(mask, 2) + (len(mask) << 20)))
-    fits = np.ones(n, bool)
-    for end in at[1:-1]:
-        fits[max(0, end - len(mask) + 1) : max(0, end)] = False
-    ok = np.flatnonzero(fits)
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    ok = np.flatnonzero(owner[:n] == owner[len(mask) - 1 :])
     return h[ok], ok
 
 
+def item_seeds(word: np.ndarray, at: np.ndarray, seeds: Seeds) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all items under the masks for their sizes, and their places."""
+    size = np.diff(at)
+    hashes, places = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for mask, least, most in seeds.laid():
+        if ((size >= least) & (size <= most)).any():
+            h, ok = masked(word, at, mask)
+            own = size[np.searchsorted(at, ok, "right") - 1]
+            fits = (own >= least) & (own <= most)
+            hashes.append(h[fits])
+            places.append(ok[fits])
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def _starts(h: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Which hashes differ from that of the position before: of places in runs of one hash, the others lie on the same diagonals."""
+    out = np.ones(len(h), bool)
+    out[1:] = (h[1:] != h[:-1]) | (ok[1:] != ok[:-1] + 1)
+    return out
+
+
+def overlap(word: np.ndarray, begin: int, end: int, item: np.ndarray, diagonal: int, seeds: Seeds) -> tuple[int, int, int] | None:
+    """(equal words, words compared, first word in the text) of the best-scoring run on a diagonal (place in the text less place in the item): equal words count 1, others -2, and a run ends once it has lost `drop`."""
+    low, high = max(begin, diagonal), min(end, diagonal + len(item))
+    equal = word[low:high] == item[low - diagonal : high - diagonal]
+    score = np.where(equal, 1, -2)
+    best, found, k = 0, None, 0
+    total = np.cumsum(score)
+    base = 0
+    # runs between the places where a run has lost `drop` since its best
+    while k < len(total):
+        part = total[k:] - base
+        fell = np.flatnonzero(np.maximum.accumulate(np.maximum(part, 0)) - part >= seeds.drop)
+        stop = k + (int(fell[0]) + 1 if len(fell) else len(part))
+        part = part[: stop - k]
+        right = int(np.argmax(part))
+        left = int(np.argmin(np.concatenate([[0], part[:right]]))) if right else 0
+        gain = int(part[right] - (part[left - 1] if left else 0))
+        if gain > best:
+            best, found = gain, (k + left, k + right + 1)
+        base, k = int(total[stop - 1]), stop
+    if found is None:
+        return None
+    a, b = found
+    n, m = int(equal[a:b].sum()), b - a
+    return (n, m, int(low + a - begin)) if n >= seeds.need(np.array([len(item)]))[0] and n >= seeds.min_share * m else None
+
+
+def best(word: np.ndarray, begin: int, end: int, item: np.ndarray, diagonals, seeds: Seeds) -> tuple[int, int, int] | None:
+    """The best overlap of a text and an item on some diagonals; none better than the whole item is sought."""
+    found = None
+    for d in diagonals:
+        got = overlap(word, begin, end, item, int(d), seeds)
+        if got and (found is None or (got[0], -got[1], -got[2]) > (found[0], -found[1], -found[2])):
+            found = got
+            if got[0] == len(item):
+                break
+    return found
+
+
 class Index:
-    """Masked hashes of the items of one block, sorted, with a bit table before the search."""
+    """Masked hashes of items, sorted, with a bit table before the search."""
+
+    #: Pairs of places looked at together.
+    PAIRS = 1 << 20
 
     def __init__(self, ids: list, texts: list[str], seeds: Seeds):
         self.ids, self.seeds = ids, seeds
         self.word, self.at = flat.words(texts)
         size = np.diff(self.at)
-        short = sorted({int(n) for n in size if 0 < n < seeds.span})
-        # an item too short for a mask is looked up whole
-        self.masks = [(m, None) for m in seeds.masks] + [("1" * n, n) for n in short]
-        hashes, places = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        for mask, n in self.masks:
-            h, ok = masked(self.word, self.at, mask)
-            if n is not None:
-                whole = size[np.searchsorted(self.at, ok, "right") - 1] == n
-                h, ok = h[whole], ok[whole]
-            hashes.append(h)
-            places.append(ok)
-        h, ok = np.concatenate(hashes), np.concatenate(places)
-        order = np.argsort(h, kind="stable")
+        self.laid = [x for x in seeds.laid() if ((size >= x[1]) & (size <= x[2])).any()]
+        h, ok = item_seeds(self.word, self.at, seeds)
+        order = np.lexsort((ok, h))
         self.hash, self.place = h[order], ok[order]
+        first = _starts(self.hash, self.place)
+        self.first_hash, self.first_place = self.hash[first], self.place[first]
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.hash >> U(42)).astype(np.int64)] = True
 
-    def matches(self, word: np.ndarray, at: np.ndarray):
-        """(text, item, equal words, compared words, first word in the text, words of the item): the best overlap of each text and item."""
-        best: dict = {}
-        seen = set()
-        for mask, _ in self.masks:
+    def _pairs(self, h: np.ndarray, ok: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+        keep = hi > lo
+        ok, lo, n = ok[keep], lo[keep], (hi - lo)[keep]
+        begin = 0
+        while begin < len(n):
+            end = max(begin + 1, int(np.searchsorted(np.cumsum(n[begin:]), self.PAIRS)) + begin)
+            k = n[begin:end]
+            yield np.repeat(ok[begin:end], k), places[np.repeat(lo[begin:end], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
+            begin = end
+
+    def candidates(self, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows (text, item, diagonal within the text) on which a mask agrees and enough words are equal."""
+        found = [np.zeros((0, 3), np.int64)]
+        for mask, _, _ in self.laid:
             h, ok = masked(word, at, mask)
             maybe = self.bits[(h >> U(42)).astype(np.int64)]
             h, ok = h[maybe], ok[maybe]
-            lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-            for x, a, b in zip(ok[hi > lo], lo[hi > lo], hi[hi > lo]):
-                doc = int(np.searchsorted(at, x, "right")) - 1
-                for place in self.place[a:b]:
-                    item = int(np.searchsorted(self.at, place, "right")) - 1
-                    key = (doc, item, int(x - place))
-                    if key not in seen:
-                        seen.add(key)
-                        found = self._overlap(word, at[doc], at[doc + 1], item, int(x), int(place))
-                        if found and (doc, item) not in best or found and found > best[doc, item]:
-                            best[doc, item] = found
-        return [(doc, item, *f, int(self.at[item + 1] - self.at[item])) for (doc, item), f in sorted(best.items())]
-
-    def _overlap(self, word, begin, end, item, x, place):
-        """Best-scoring run on the diagonal through (x, place): equal words count 1, others -2, and it ends once it has lost `drop`."""
-        a, b = self.at[item], self.at[item + 1]
-        back, ahead = int(min(place - a, x - begin)), int(min(b - place, end - x))
-        equal = word[x - back : x + ahead] == self.word[place - back : place + ahead]
-        score = np.where(equal, 1, -2)
-
-        def reach(s: np.ndarray) -> int:
-            total = np.cumsum(s)
-            low = np.flatnonzero(np.maximum.accumulate(total) - total >= self.seeds.drop)
-            total = total[: low[0]] if len(low) else total
-            return int(np.argmax(total)) + 1 if len(total) and total.max() > 0 else 0
-
-        left, right = back - reach(score[:back][::-1]), back + reach(score[back:])
-        n, m = int(equal[left:right].sum()), right - left
-        need = min(self.seeds.min_words, int(np.ceil(0.8 * (b - a))))
-        return (n, m, int(x - back + left - begin)) if m and n >= need and n >= self.seeds.min_share * m else None
-
-
-def _indexes(benchmark: DataFrame, seeds: Seeds):
-    """A broadcast index for each block of the benchmark; how many blocks there are follows from its measured size."""
-    spark = benchmark.sparkSession
+            first = _starts(h, ok)
+            for pairs in (self._pairs(h[first], ok[first], self.hash, self.place), self._pairs(h[~first], ok[~first], self.first_hash, self.first_place)):
+                for x, place in pairs:
+                    doc, item = np.searchsorted(at, x, "right") - 1, np.searchsorted(self.at, place, "right") - 1
+                    found.append(np.unique(np.stack([doc, item, (x - at[doc]) - (place - self.at[item])], 1), axis=0))
+        rows = np.unique(np.concatenate(found), axis=0)
+        size = (self.at[rows[:, 1] + 1] - self.at[rows[:, 1]]) if len(rows) else np.zeros(0, np.int64)
+        keep = np.zeros(len(rows), bool)
+        order = np.argsort(size, kind="stable")
+        begin = 0
+        while begin < len(order):
+            end = min(len(order), begin + max(1, self.PAIRS // int(size[order[begin]])))
+            some = order[begin:end]
+            width = np.arange(int(size[some].max()))
+            x = at[rows[some, 0]][:, None] + rows[some, 2][:, None] + width
+            inside = (width < size[some][:, None]) & (x >= at[rows[some, 0]][:, None]) & (x < at[rows[some, 0] + 1][:, None])
+            y = np.minimum(self.at[rows[some, 1]][:, None] + width, len(self.word) - 1)
+            equal = (inside & (word[np.clip(x, 0, len(word) - 1)] == self.word[y])).sum(1)
+            keep[some] = equal >= self.seeds.need(size[some])
+            begin = end
+        return rows[keep]
+
+    def matches(self, word: np.ndarray, at: np.ndarray) -> list[tuple]:
+        """(text, item, equal words, compared words, first word in the text, words of the item): the best overlap of each text and item."""
+        out = []
+        rows = self.candidates(word, at)
+        cut = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1
+        for begin, end in zip([0, *cut], [*cut, len(rows)]) if len(rows) else ():
+            doc, item = int(rows[begin, 0]), int(rows[begin, 1])
+            got = best(word, at[doc], at[doc + 1], self.word[self.at[item] : self.at[item + 1]], at[doc] + rows[begin:end, 2], self.seeds)
+            if got:
+                out.append((doc, item, *got, int(self.at[item + 1] - self.at[item])))
+        return out
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
     bounded(benchmark.sparkSession)
-    items = benchmark.select("item_id", "text").where("text is not null")
-    n = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(n // seeds.block_bytes) + 1
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        if rows:
-            yield spark.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text for r in rows], seeds))
+    return benchmark.select("item_id", "text").where("text is not null")
+
+
+def _index(benchmark: DataFrame, seeds: Seeds):
+    """A broadcast index of the benchmark, or none where its texts are larger than a block."""
+    items = _items(benchmark)
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > seeds.block_bytes:
+        return None
+    rows = items.orderBy("item_id", "text").collect()
+    return benchmark.sparkSession.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text for r in rows], seeds))
+
+
+def _key() -> Column:
+    """Rows of one id and text share their candidates; a collision only adds some that are not verified."""
+    return F.xxhash64("doc_id", "text").alias("__key")
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, seeds: Seeds) -> DataFrame:
+    """__key, doc_id, item_id and the overlap, from hashes of both sides joined by shuffle. The texts' hashes are sifted by a table of bits of fixed size first."""
+    items = written(_items(benchmark).withColumn("__item", F.monotonically_increasing_id()), "items")
+
+    def of_items(batches):
+        for whole in batches:
+            for b in flat.slices(whole, "text"):
+                word, at = flat.words(b.column("text").to_pylist())
+                h, ok = item_seeds(word, at, seeds)
+                item = np.searchsorted(at, ok, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("__item").take(pa.array(item)), pa.array(ok - at[item])], names=["h", "item", "place"])
+
+    hashes = written(items.select("__item", "text").mapInArrow(of_items, "h bigint, item bigint, place bigint"), "seeds")
+    slot = F.shiftrightunsigned("h", 64 - seeds.bits)
+    words = hashes.groupBy(F.shiftright(slot, 5).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - seeds.bits}) & 31 as int))")).alias("b")).toPandas()
+    table = np.zeros(1 << (seeds.bits - 5), np.uint32)
+    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
+    sieve = docs.sparkSession.sparkContext.broadcast(table)
+
+    def of_texts(batches):
+        for whole in batches:
+            for b in flat.slices(whole, "text"):
+                word, at = flat.words(b.column("text").to_pylist())
+                for mask, _, _ in seeds.laid():
+                    h, ok = masked(word, at, mask)
+                    k = h >> U(64 - seeds.bits)
+                    hit = (sieve.value[(k >> U(5)).astype(np.int64)] >> (k & U(31)).astype(np.uint32)) & 1 == 1
+                    h, ok = h[hit], ok[hit]
+                    doc = np.searchsorted(at, ok, "right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("__key").take(pa.array(doc)), pa.array(ok - at[doc])], names=["h", "__key", "x"])
+
+    keyed = docs.where("text is not null").select("doc_id", "text", _key())
+    hits = keyed.select("__key", "text").mapInArrow(of_texts, "h bigint, __key bigint, x bigint").join(hashes, "h")
+    pairs = hits.select("__key", "item", (F.col("x") - F.col("place")).alias("d")).distinct().groupBy("__key", "item").agg(F.collect_list("d").alias("diagonals"))
+    rows = keyed.join(pairs, "__key").join(items.select(F.col("__item").alias("item"), "item_id", F.col("text").alias("item_text")), "item")
+    item_type = benchmark.schema["item_id"].dataType
+    schema = T.StructType([T.StructField("__key", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", item_type), *(T.StructField(c, T.LongType()) for c in ("n_equal", "n_compared", "first_word", "item_words")), T.StructField("coverage", T.DoubleType())])
+
+    def verify(batches):
+        for whole in batches:
+            for b in flat.slices(whole, "text"):
+                found = []
+                for i, (text, item, diagonals) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "item_text", "diagonals")))):
+                    (word, at), (other, _) = flat.words([text]), flat.words([item])
+                    got = best(word, 0, at[1], other, sorted(diagonals), seeds)
+                    if got:
+                        found.append((i, *got, len(other), got[0] / len(other)))
+                if found:
+                    i, *rest = zip(*found)
+                    take = pa.array(i)
+                    yield pa.RecordBatch.from_arrays([b.column("__key").take(take), b.column("doc_id").take(take), b.column("item_id").take(take), *(pa.array(c, pa.int64()) for c in rest[:4]), pa.array(rest[4])], names=schema.names)
+
+    return rows.select("__key", "doc_id", "text", "item_id", "item_text", "diagonals").mapInArrow(verify, schema)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> DataFrame:
     """doc_id, item_id, n_equal, n_compared, first_word, item_words, coverage: every document row and item that overlap.
 
     Words are compared in lower case without punctuation. Null and empty texts overlap with nothing, an empty
-    benchmark or table gives no rows, repeated rows give repeated results, null ids are carried. Other columns are ignored.
+    benchmark or table gives no rows, repeated rows give repeated results, null ids are carried, ids may be of any type.
+    Other columns are ignored.
     """
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, n_equal bigint, n_compared bigint, first_word bigint, item_words bigint, coverage double"
-    out = None
-    for index in _indexes(benchmark, seeds):
+    index = _index(benchmark, seeds)
+    if index is None:
+        return _joined(docs, benchmark, seeds).drop("__key")
+    item_type = benchmark.schema["item_id"].dataType
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", item_type), *(T.StructField(c, T.LongType()) for c in ("n_equal", "n_compared", "first_word", "item_words")), T.StructField("coverage", T.DoubleType())])
+    arrow = to_arrow_type(item_type)
 
-        def run(batches, index=index):
-            for whole in batches:
-                for b in flat.slices(whole, "text"):
-                    x = index.value
-                    found = x.matches(*flat.words(b.column("text").to_pylist()))
-                    if found:
-                        doc, item, n, m, first, size = zip(*found)
-                        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array([x.ids[i] for i in item], pa.int64()), *[pa.array(c, pa.int64()) for c in (n, m, first, size)], pa.array([a / s for a, s in zip(n, size)])], names=["doc_id", "item_id", "n_equal", "n_compared", "first_word", "item_words", "coverage"])
+    def run(batches):
+        for whole in batches:
+            for b in flat.slices(whole, "text"):
+                x = index.value
+                found = x.matches(*flat.words(b.column("text").to_pylist()))
+                if found:
+                    doc, item, n, m, first, size = zip(*found)
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array([x.ids[i] for i in item], arrow), *[pa.array(c, pa.int64()) for c in (n, m, first, size)], pa.array([a / s for a, s in zip(n, size)])], names=schema.names)
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> DataFrame:
     """The rows of docs that overlap with no item, as they are."""
-    for index in _indexes(benchmark, seeds):
+    index = _index(benchmark, seeds)
+    if index is None:
+        leaked = written(_joined(docs, benchmark, seeds).select("__key").distinct(), "leaked")
+        return docs.join(F.broadcast(leaked) if leaked.count() <= seeds.broadcast_keys else leaked, F.xxhash64("doc_id", "text") == F.col("__key"), "left_anti")
 
-        def run(batches, index=index):
-            for whole in batches:
-                for b in flat.slices(whole, "text"):
-                    keep = np.ones(b.num_rows, bool)
-                    keep[[m[0] for m in index.value.matches(*flat.words(b.column("text").to_pylist()))]] = False
-                    yield b.filter(pa.array(keep))
+    def run(batches):
+        for whole in batches:
+            for b in flat.slices(whole, "text"):
+                keep = np.ones(b.num_rows, bool)
+                keep[[m[0] for m in index.value.matches(*flat.words(b.column("text").to_pylist()))]] = False
+                yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
