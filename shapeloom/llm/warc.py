@@ -2,11 +2,16 @@
 
 Files are gzip members, one per record; each member's header carries its compressed length in an extra field, so a
 reader that doesn't want a record steps over it. A reader inflates a record's header block first, tests the pushed
-filters on it, and inflates the payload only of records that pass, and only if payloads are asked for.
+filters on it, and inflates the payload only of records that pass, and only if payloads are asked for. Archives of
+others are read too: plain records are stepped over by their length, and members without the extra field are inflated
+in pieces to find their end, without being kept.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -18,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from .store import new_path
+from .store import new_path, written
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, refers_to string, payload_length bigint, file string, offset bigint, payload binary"
 #: Header names of the columns that filters can be pushed on.
@@ -103,11 +108,87 @@ class File(InputPartition):
     names: list
 
 
+class Bytes:
+    """The bytes of a plain file or of the gzip members of one, read on demand. take(n) gives the next n bytes of a record, skip(n) passes them by, end() goes to the next record."""
+
+    def __init__(self, f, size: int):
+        self.f, self.size, self.at = f, size, 0
+        self.plain = f.read(2) != b"\x1f\x8b"
+        self.open()
+
+    def open(self) -> None:
+        """At the begin of a record."""
+        self.f.seek(self.at)
+        self.raw = b"" if self.plain else self.f.read(min(_HEAD, self.size - self.at))
+        self.held, self.passed = b"", 0
+        if self.plain:
+            return
+        if self.raw[:2] != b"\x1f\x8b":
+            raise ValueError(f"no gzip member at {self.at}")
+        self.length = struct.unpack("<I", self.raw[16:20])[0] if self.raw[3] & 4 and self.raw[12:14] == b"LX" else None
+        self.z = zlib.decompressobj(31)
+
+    def _more(self, most: int = 1 << 16) -> bool:
+        """Fetches some bytes; whether there were any."""
+        if self.plain:
+            got = self.f.read(most)
+        else:
+            got = b""
+            while not got and not self.z.eof:
+                fed = self.z.unconsumed_tail or self.raw or self.f.read(_HEAD)
+                self.raw = b""
+                if not fed:
+                    raise ValueError(f"the record at {self.at} is cut off")
+                got = self.z.decompress(fed, most)
+        self.held += got
+        return bool(got)
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What comes before the mark, which is passed; None at the end of the file."""
+        begin = 0
+        while (k := self.held.find(mark, begin)) < 0:
+            begin = max(0, len(self.held) - len(mark) + 1)
+            if not self._more(4096):
+                return None
+        out, self.held = self.held[:k], self.held[k + len(mark) :]
+        self.passed += k + len(mark)
+        return out
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n and self._more(max(1 << 16, n - len(self.held))):
+            pass
+        if len(self.held) < n:
+            raise ValueError(f"the record at {self.at} is cut off")
+        out, self.held = self.held[:n], self.held[n:]
+        self.passed += n
+        return out
+
+    def end(self, rest: int) -> None:
+        """To the next record; rest: bytes of this one's block that were not taken."""
+        if self.plain:
+            self.at += self.passed + rest
+            self.f.seek(self.at)
+            while (c := self.f.read(1)) in (b"\r", b"\n"):
+                self.at += 1
+        elif self.length is not None:
+            self.at += self.length
+        else:
+            while not self.z.eof:
+                self.held = b""
+                self._more()
+            self.at = self.f.tell() - len(self.z.unused_data)
+        if self.at < self.size:
+            self.open()
+
+
 class WarcReader(DataSourceReader):
-    """Options: path; payload (default true); partition_bytes: small files are read together up to this size."""
+    """Options: path; payload (default true); verify (default false): a payload that does not have its digest is an error; partition_bytes: small files are read together up to this size.
+
+    Below path, the files that a writer listed in MANIFEST are read, or all .warc and .warc.gz files where there is none.
+    """
 
-    def __init__(self, path: str, payload: bool, partition_bytes: int):
-        self.path, self.payload, self.partition_bytes = path, payload, partition_bytes
+    def __init__(self, path: str, payload: bool, partition_bytes: int, verify: bool = False):
+        self.path, self.payload, self.partition_bytes, self.verify = path, payload, partition_bytes, verify
         self.tests: list[tuple[str, object]] = []
 
     def pushFilters(self, filters):
@@ -124,14 +205,18 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         store, root = _open(self.path)
-        with store.open_input_stream(f"{root}/MANIFEST", compression=None) as f:
-            names = f.read().decode().split()
+        if store.get_file_info(f"{root}/MANIFEST").type == fs.FileType.File:
+            with store.open_input_stream(f"{root}/MANIFEST", compression=None) as f:
+                names = f.read().decode().split()
+        else:
+            every = store.get_file_info(fs.FileSelector(root, recursive=True))
+            names = sorted(i.path[len(root) :].lstrip("/") for i in every if i.type == fs.FileType.File and i.path.lower().endswith((".warc", ".warc.gz")))
         out, size = [], 0
-        for info in store.get_file_info([f"{root}/{n}" for n in names]):
+        for name, info in zip(names, store.get_file_info([f"{root}/{n}" for n in names])):
             if not out or size + info.size > self.partition_bytes:
                 out.append(File([]))
                 size = 0
-            out[-1].names.append(info.base_name)
+            out[-1].names.append(name)
             size += info.size
         return out or [File([])]
 
@@ -143,37 +228,34 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         for name in partition.names:
             with store.open_input_file(f"{root}/{name}") as f:
-                end, at = f.size(), 0
-                while at < end:
-                    f.seek(at)
-                    raw = f.read(min(_HEAD, end - at))
-                    if raw[:3] != b"\x1f\x8b\x08" or raw[12:14] != b"LX":
-                        raise ValueError(f"{name}: no record with a length at {at}")
-                    n = struct.unpack("<I", raw[16:20])[0]
-                    z = zlib.decompressobj(-15)
-                    head = z.decompress(raw[20:n], 4096)
-                    while b"\r\n\r\n" not in head and not z.eof:
-                        fed = z.unconsumed_tail or f.read(_HEAD)
-                        if not fed:
-                            raise ValueError(f"{name}: the record at {at} ends in its header")
-                        head += z.decompress(fed, 4096)
-                    lines, _, rest = head.partition(b"\r\n\r\n")
-                    h = dict(x.split(": ", 1) for x in lines.decode("utf-8").split("\r\n")[1:])
-                    row = {c: h.get(k) for c, k in HEADERS.items()}
+                size = f.size()
+                source = Bytes(f, size) if size else None
+                while source and source.at < size:
+                    lines = source.until(b"\r\n\r\n")
+                    if lines is None:
+                        raise ValueError(f"{name}: the record at {source.at} ends in its header")
+                    # names of headers have no case; a line that begins with white space goes on with the one before
+                    fields = re.sub(r"\r\n[ \t]+", " ", lines.decode("utf-8", "replace")).split("\r\n")[1:]
+                    h = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in fields)}
+                    row = {c: h.get(k.lower()) for c, k in HEADERS.items()}
                     row["payload_digest"] = (row["payload_digest"] or "").removeprefix("sha1:") or None
+                    rest = int(h.get("content-length", 0))
                     if self._passes(row):
-                        row |= {"file": name, "offset": at, "payload": None, "payload_length": int(h.get("X-Payload-Length", -1))}
-                        if self.payload and row["record_type"] == "response":
-                            got = f.tell() - at
-                            more = raw[got:n] + f.read(max(0, n - got)) if got < n else b""
-                            block = rest + z.decompress(z.unconsumed_tail + more) + z.flush()
-                            row["payload"] = block[: int(h["Content-Length"])].partition(b"\r\n\r\n")[2]
-                            held += len(row["payload"])
+                        known = int(h.get("x-payload-length", -1))
+                        row |= {"file": name, "offset": source.at, "payload": None, "payload_length": known}
+                        if row["record_type"] == "response" and (self.payload or known < 0 or self.verify):
+                            block, rest = source.take(rest), 0
+                            body = block.partition(b"\r\n\r\n")[2] if h.get("content-type", "").lower().startswith("application/http") else block
+                            row["payload_length"] = len(body)
+                            if self.verify and row["payload_digest"] and len(row["payload_digest"]) == 32 and base64.b32encode(hashlib.sha1(body).digest()).decode() != row["payload_digest"].upper():
+                                raise ValueError(f"{name}: the payload at {source.at} does not have its digest")
+                            row["payload"] = body if self.payload else None
+                            held += len(body) if self.payload else 0
                         rows.append(row)
                         if len(rows) >= 5000 or held > 8 << 20:
                             yield self._batch(rows)
                             rows, held = [], 0
-                    at += n
+                    source.end(rest)
         if rows:
             yield self._batch(rows)
 
@@ -192,7 +274,7 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() == "true", int(self.options.get("partition_bytes", 64 << 20)))
+        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() == "true", int(self.options.get("partition_bytes", 64 << 20)), self.options.get("verify", "false").lower() == "true")
 
     def writer(self, schema, overwrite):
         return WarcWriter(self.options["path"], int(self.options.get("max_bytes", 64 << 20)))
@@ -212,16 +294,22 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def planned(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def planned(pages: DataFrame, least_bytes: int = 0, broadcast_rows: int = 250_000) -> DataFrame:
     """pages(page_id, url, html) as records: of equal payloads of at least least_bytes, the one with the largest page_id is the response, and the others revisit it.
 
     A null html is an empty payload. Rows that share the largest page_id and the payload are all responses; where all
-    page_ids are null, so are all. A null page_id or url gives a record without that header.
+    page_ids are null, so are all. A null page_id or url gives a record without that header. Digests that occur more
+    than once are broadcast up to broadcast_rows of them; beyond, the join shuffles, rows of one digest spread by salts.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     x = pages.select("page_id", "url", body.alias("payload"), F.octet_length(body).cast("long").alias("payload_length"), F.sha1(body).alias("hex"))
     last = x.where(F.col("payload_length") >= least_bytes).groupBy("hex").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null").select("hex", "last")
-    x = x.join(last, "hex", "left")
+    last = written(last, "digests")
+    if last.count() <= broadcast_rows:
+        x = x.join(F.broadcast(last), "hex", "left")
+    else:
+        last = last.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        x = x.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(16)).cast("int")).join(last, ["hex", "salt"], "left")
     again = F.col("last").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("last")))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     return x.select(
