@@ -22,11 +22,14 @@ from .store import bounded
 
 @dataclass(frozen=True)
 class Profiles:
-    """dim: of the vectors. sample: expected number of learned texts of a language, drawn by a hash of id and text; prototypes change little beyond. cache: n-gram vectors that a task holds; others are bound anew."""
+    """dim: of the vectors. sample: expected number of learned texts of a language, drawn by a hash of the text; prototypes change little beyond. cache: n-gram vectors that a task holds; others are bound anew. languages: that can be learned at most, as their vectors come to the driver; more are an error. deviations, grams: a text of `grams` different n-grams or more is of no learned language if no cosine exceeds this many standard deviations of the cosine of unrelated vectors, which is 1 / sqrt(dim)."""
 
     dim: int = 1024
     sample: int = 2000
     cache: int = 16_384
+    languages: int = 5000
+    deviations: float = 4.0
+    grams: int = 30
 
 
 def _letters() -> np.ndarray:
@@ -103,11 +106,13 @@ def _space(p: Profiles) -> Space:
 
 
 def prototypes(labelled: DataFrame, p: Profiles = Profiles()) -> pd.DataFrame:
-    """lang and vector of every language of labelled(doc_id, text, lang); rows with a null text or lang teach nothing. Languages are few; their vectors come to the driver."""
+    """lang and vector of every language of labelled(text, lang); rows with a null text or lang teach nothing. Languages are few (p.languages); their vectors come to the driver."""
     bounded(labelled.sparkSession)
     rows = labelled.where("text is not null and lang is not null")
     n = rows.groupBy("lang").count().withColumnRenamed("count", "n_lang")
-    draw = F.pmod(F.xxhash64(F.lit("profiles"), F.col("doc_id"), F.length("text")), F.lit(1 << 30)) * F.col("n_lang")
+    if n.limit(p.languages + 1).count() > p.languages:
+        raise ValueError(f"more than {p.languages} languages")
+    draw = F.pmod(F.xxhash64(F.lit("profiles"), F.col("text")), F.lit(1 << 30)) * F.col("n_lang")
     taken = rows.join(F.broadcast(n), "lang").where(draw < F.lit(p.sample * (1 << 30))).select("lang", "text")
 
     def run(batches):
@@ -155,6 +160,34 @@ def identify(docs: DataFrame, learned: pd.DataFrame, p: Profiles = Profiles()) -
     return docs.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, learned: pd.DataFrame, p: Profiles = Profiles(), wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of docs whose language is known, and one of `wanted` if that is given.
+
+    Rejected are texts without a letter (null and empty ones too) and texts that are like no prototype. A text of few
+    n-grams is too short to be unlike all and stays. Where nothing was learned, all texts with a letter stay.
+    """
+    names = list(learned["lang"])
+    unit = np.array([v / max(np.linalg.norm(v), 1e-12) for v in learned["vector"]], np.float32).reshape(len(names), p.dim)
+
+    def run(batches):
+        space = _space(p)
+        for whole in batches:
+            for b in flat.slices(whole, "text"):
+                keep = []
+                for text in b.column("text").to_pylist():
+                    codes, counts = space.codes(text)
+                    good = len(codes) > 0
+                    if good and names:
+                        v = space.bundle(codes, counts)
+                        cos = unit @ v / max(float(np.linalg.norm(v)), 1e-12)
+                        k = int(np.argmax(cos))
+                        good = (len(codes) < p.grams or float(cos[k]) > p.deviations / p.dim**0.5) and (wanted is None or names[k] in wanted)
+                    keep.append(good)
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id) -> Column:
     """The fold that teaches nothing: crc32 of the id as text, modulo 4, is 2. A null id has no remainder and is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -162,6 +195,6 @@ def held_out(doc_id) -> Column:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    learned = prototypes(docs.where(~held_out(F.col("doc_id"))))
+    learned = prototypes(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
     out = identify(docs.select("doc_id", "text"), learned)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

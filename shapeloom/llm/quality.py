@@ -20,11 +20,11 @@ _SPACE = " \t\n\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class Rules:
-    """buckets: of the hashed one- and two-word counts. least: mean log-likelihood ratio a text must reach; at -0.15, of the labelled rows of sf0.1 that pass the base rules, 4 of 301 bad ones and all 3,302 good ones are kept. broadcast_ids: trusted ids up to which they are broadcast; beyond, the join shuffles."""
+    """buckets: of the hashed one- and two-word counts. least: mean log-likelihood ratio a text must reach; at -0.15, of the labelled rows of sf0.1 that pass the base rules, 4 of 301 bad ones and all 3,302 good ones are kept. broadcast_bytes: of trusted ids, up to which they are broadcast; beyond, the join shuffles."""
 
     buckets: int = 1 << 16
     least: float = -0.15
-    broadcast_ids: int = 5_000_000
+    broadcast_bytes: int = 32 << 20
 
 
 def _grams(texts: list, rules: Rules):
@@ -42,7 +42,8 @@ def ratios(docs: DataFrame, trusted: DataFrame, rules: Rules = Rules()) -> np.nd
     """log(p_target / p_raw) of each bucket, both multinomials smoothed by one. raw: all of docs(doc_id, text); target: those whose id is in trusted(doc_id). The counts are of fixed size and come to the driver summed."""
     bounded(docs.sparkSession)
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct().withColumn("__in", F.lit(True))
-    if ids.count() <= rules.broadcast_ids:
+    # a row of a broadcast table takes some 32 bytes besides its key
+    if (ids.agg(F.sum(F.octet_length(F.col("__id").cast("string")) + 32)).first()[0] or 0) <= rules.broadcast_bytes:
         ids = F.broadcast(ids)
     rows = docs.join(ids, docs["doc_id"] == F.col("__id"), "left").select("text", F.col("__in").isNotNull().alias("target"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -26,14 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
     bounded(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        local = spark.sparkContext.master.startswith("local[") and "cluster" not in spark.sparkContext.master
+        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
         path = "file://" + tempfile.mkdtemp(prefix="shapeloom-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shapeloom-scratch"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """A list of all paths that are given out inside, so that a caller who has written its result can remove them."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield made
+    finally:
+        _scratch[:] = [x for x in _scratch if x is not made]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _scratch:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
