@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from shapeloom.llm.decontamination import without_leaks
 from shapeloom.llm.jaccard_join import one_of_each
-from shapeloom.llm.language import identify, prototypes
+from shapeloom.llm.language import accepted, prototypes
 from shapeloom.llm.mixing import mixed
 from shapeloom.llm.paragraphs import without_repeats
-from shapeloom.llm.store import new_path
+from shapeloom.llm.store import new_path, removed, scratch
+
+#: Languages that stay; None: every one that is learned.
+LANGUAGES = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose language is undetermined: null texts and texts without a letter."""
-    return identify(docs, prototypes(docs.select("doc_id", "text", "lang"))).where("lang_pred <> 'und'").select(*docs.columns)
+    """Rejects texts without a letter, texts that are like no learned language, and those of languages that are not wanted. A corpus without any label passes as far as it has letters."""
+    return accepted(docs, prototypes(docs.select("text", "lang")), wanted=LANGUAGES)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts paragraphs that stand in an earlier document; n_chars follows the text."""
+    """Cuts paragraphs and passages that stand in an earlier document; n_chars follows the text."""
     out = without_repeats(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -46,9 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's intermediate tables, and its input if a stage wrote it, go once its output is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch() as made:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        removed(spark, made + before)
+        docs, before = spark.read.parquet(path), [path]
     return docs
