@@ -1,4 +1,4 @@
-"""Command verbs: python -m shapeloom prepare | scan | infer | evaluate | remesh | tetrahedralize.
+"""Command verbs: python -m shapeloom prepare | scan | infer | evaluate | gates | remesh | tetrahedralize.
 
 Tables are Parquet below the output folder; meshes are STL files. Exit codes: 0 done, 1 a gate stopped it, 2 nothing to do.
 """
@@ -10,8 +10,9 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import inference, shapes
+from .operators import frames, inference, shapes
 from .sources import shapes as files
+from .sources import tables
 
 #: Libraries that fill a surface with tetrahedra, in the order of preference; none is substituted by another method.
 BACKENDS = ("tetgen", "gmsh", "wildmeshing")
@@ -30,7 +31,7 @@ def _export(meshes: DataFrame, root: str) -> int:
     return files.write_files(files.as_stl(meshes).withColumn("name", F.concat("shape_id", F.lit(".stl"))), root, "name", "stl").count()
 
 
-def prepare(spark: SparkSession, src: str, out: str, n_points: int = 1000, n_queries: int = 2000, val_share: float = 0.1) -> int:
+def prepare(spark: SparkSession, src: str, out: str, n_points: int = 1000, n_queries: int = 100_000, val_share: float = 0.1) -> int:
     """STL files -> build (one row a file, status ok/reject/error), meshes in the shared frame, clouds, labelled queries and the split within folders. Two files of one stem stop it."""
     read = _named(files.read_stl(spark, src))
     if read.isEmpty():
@@ -72,24 +73,53 @@ def scan(spark: SparkSession, data: str, p99_most: float = 0.02, watertight_leas
     return int(sound < watertight_least or misfit > misfit_most or frame.coordinate > coordinate_most or frame.spread > spread_most)
 
 
-def infer(spark: SparkSession, src: str, net: str, out: str, res: int = 128, target: int = 4000, low=(-0.5,) * 3, high=(0.5,) * 3) -> int:
-    """Clouds (.npy, taken as they are) and meshes (.stl, put in the frame and sampled) -> STL files and a report; 1 where an emitted surface is broken."""
-    solid = shapes.sampled(shapes.normalized(_named(files.read_stl(spark, src)).where("error is null").drop("error")).where("error is null").drop("error")).select("shape_id", "points")
-    cloud = _named(files.read_clouds(spark, src)).where("error is null and width = 6").select("shape_id", "points")
-    given = _kept(solid.unionByName(cloud).dropDuplicates(["shape_id"]), f"{out}/inputs")
+def _bounds(spark: SparkSession, data: str | None) -> tuple:
+    """The box of the data, padded, or the frame where no data is named."""
+    if data is None:
+        return inference.FRAME
+    r = frames.padded_bounds(spark.read.parquet(f"{data}/bounds")).first()
+    return tuple(r.low), tuple(r.high)
+
+
+def infer(spark: SparkSession, src: str, net: str, out: str, res: int = 128, target: int = 4000, data: str | None = None) -> int:
+    """Clouds (.npy, taken as they are) and meshes (.stl, put in the frame and sampled) -> STL files and a report; 1 where an emitted surface is broken, or a cloud and a mesh have one name (listed in collisions). data: a prepared folder whose bounds are used."""
+    solid = shapes.sampled(shapes.normalized(_named(files.read_stl(spark, src)).where("error is null").drop("error")).where("error is null").drop("error")).select("shape_id", F.lit("stl").alias("kind"), "points")
+    cloud = _named(files.read_clouds(spark, src)).where("error is null and width = 6").select("shape_id", F.lit("npy").alias("kind"), "points")
+    given = _kept(solid.unionByName(cloud), f"{out}/inputs")
     if given.isEmpty():
         return 2
-    made = _kept(inference.meshes(given, inference.loaded(spark, net), res, low, high, target), f"{out}/predicted")
+    twice = _kept(given.groupBy("shape_id").agg(F.sort_array(F.collect_list("kind")).alias("kinds")).where("size(kinds) > 1"), f"{out}/collisions")
+    if not twice.isEmpty():
+        return 1
+    made = _kept(inference.meshes(given, inference.loaded(spark, net), res, *_bounds(spark, data), target), f"{out}/predicted")
     _export(made.where("size(tri) > 0"), f"{out}/stl")
     facts = shapes.described(made.select("shape_id", "xyz", "tri")).drop("error")
     report = _kept(given.select("shape_id").join(made.select("shape_id", "failed_step", "reason", "faces_in", "faces_out", "error"), "shape_id", "left").join(facts, "shape_id", "left"), f"{out}/report")
     return int(not report.where("faces_out > 0 and (is_watertight = 0 or is_winding_consistent = 0)").isEmpty())
 
 
-def evaluate(spark: SparkSession, predicted: str, data: str, out: str, n: int = 2000, res: int = 32) -> int:
-    """Scores of every held-out shape; shapes without a prediction stay in as failures."""
-    truth = spark.read.parquet(f"{data}/meshes").join(spark.read.parquet(f"{data}/split").where("side = 'val'").select("shape_id"), "shape_id", "left_semi")
-    return 2 if _kept(inference.scored(spark.read.parquet(predicted), truth, n, res), out).isEmpty() else 0
+def evaluate(spark: SparkSession, predicted: str, data: str, out: str, n: int = 100_000, res: int = 128, limit: int = 0) -> int:
+    """Scores of every held-out shape (the first `limit` by folder and name, if given) in the data's box; shapes without a prediction stay in as failures."""
+    held = spark.read.parquet(f"{data}/split").where("side = 'val'").select("shape_id", "folder")
+    held = held.orderBy("folder", "shape_id").limit(limit) if limit else held
+    truth = spark.read.parquet(f"{data}/meshes").join(held.select("shape_id"), "shape_id", "left_semi")
+    return 2 if _kept(inference.scored(spark.read.parquet(predicted), truth, n, res, *_bounds(spark, data)), out).isEmpty() else 0
+
+
+def gates(spark: SparkSession, scores: str, out: str, domain_gap_max: float = 0.10, names: str | None = None) -> int:
+    """Scores (of evaluate) -> gates and domain gaps as tables and CSV, and a summary as JSON. names: a JSON file of the shapes that count. 1 where, of several folders, one's IoU lies below the overall one by more than domain_gap_max."""
+    rows = spark.read.parquet(scores).withColumnRenamed("iou", "iou128")
+    if names is not None:
+        rows = frames.in_order(rows, tables.read_names(names), "shape_id").drop("ordinal")
+    if rows.isEmpty():
+        return 2
+    judged = _kept(frames.gates(rows), f"{out}/gates")
+    gaps = _kept(frames.domain_gaps(rows, domain_gap_max), f"{out}/gaps")
+    tables.write_csv(judged, f"{out}/gates_csv", ["scope", "gate", "value", "n", "n_missing", "verdict"], ["scope", "gate"])
+    tables.write_csv(gaps, f"{out}/gaps_csv", gaps.columns, ["folder_iou", "folder"])
+    counts = judged.where("scope = '*'").groupBy("verdict").count()
+    tables.write_summary(rows.agg(F.count(F.lit(1)).alias("n_shapes"), F.count("error").alias("n_failed")).join(counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("verdict", "count")))).alias("verdicts"))), f"{out}/summary.json")
+    return int(gaps.count() > 1 and not gaps.where("interferes").isEmpty())
 
 
 def remesh(spark: SparkSession, src: str, out: str, target: int = 4000) -> int:
@@ -112,15 +142,18 @@ def available_backend() -> str | None:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(prog="shapeloom")
     verbs = p.add_subparsers(dest="verb", required=True)
-    for verb, names, numbers in (("prepare", ("src", "out"), {"n_points": 1000, "n_queries": 2000}), ("scan", ("data",), {}), ("infer", ("src", "net", "out"), {"res": 128, "target": 4000}), ("evaluate", ("predicted", "data", "out"), {"n": 2000, "res": 32}), ("remesh", ("src", "out"), {"target": 4000}), ("tetrahedralize", ("src",), {})):
+    for verb, names, options in (
+        ("prepare", ("src", "out"), {"n_points": 1000, "n_queries": 100_000}), ("scan", ("data",), {}), ("infer", ("src", "net", "out"), {"res": 128, "target": 4000, "data": None}),
+        ("evaluate", ("predicted", "data", "out"), {"n": 100_000, "res": 128, "limit": 0}), ("gates", ("scores", "out"), {"domain_gap_max": 0.10, "names": None}), ("remesh", ("src", "out"), {"target": 4000}), ("tetrahedralize", ("src",), {}),
+    ):
         v = verbs.add_parser(verb)
         for x in names:
             v.add_argument(x)
-        for x, default in numbers.items():
-            v.add_argument(f"--{x.replace('_', '-')}", type=int, default=default)
+        for x, default in options.items():
+            v.add_argument(f"--{x.replace('_', '-')}", type=str if default is None else type(default), default=default)
     given = vars(p.parse_args(argv))
     verb = given.pop("verb")
     if verb == "tetrahedralize":
         print(f"no tetrahedra: {available_backend() or 'none of ' + ', '.join(BACKENDS)} is not supported here")
         return 2
-    return {"prepare": prepare, "scan": scan, "infer": infer, "evaluate": evaluate, "remesh": remesh}[verb](spark or SparkSession.builder.getOrCreate(), **given)
+    return {"prepare": prepare, "scan": scan, "infer": infer, "evaluate": evaluate, "gates": gates, "remesh": remesh}[verb](spark or SparkSession.builder.getOrCreate(), **given)

@@ -16,6 +16,7 @@ MACROS = {
     "SEED": ("cast(cast(conv(substr(sha1($1), 1, 16), 16, 10) as decimal(20, 0)) % $2 as bigint)", "cast(('0x' || substr(sha1($1), 1, 16))::ubigint % $2 as bigint)"),
     "GSUB": ("regexp_replace($1, $2, $3)", "regexp_replace($1, $2, $3, 'g')"),
     "SORTED": ("array_join(sort_array(collect_list($1)), ',')", "array_to_string(list_sort(list($1)), ',')"),
+    "STAMP": ("date_format($1, 'yyyyMMdd_HHmmss')", "strftime($1, '%Y%m%d_%H%M%S')"),
     "SPACE": ("'(?U)\\\\s+'", "'[\\s\\x{00A0}\\x{2000}-\\x{200A}\\x{3000}]+'"),
 }
 _CALL = re.compile(r"@([A-Z]+)(?:\[((?:[^\[\]]|\[[^\[\]]*\])*)\])?")

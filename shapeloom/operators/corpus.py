@@ -20,7 +20,7 @@ SQL = {
     "pinned_missing": "select l.doc_id as stem from (select doc_id from {labels} where toxic = 1) l left anti join {pages} c on c.page_id = l.doc_id",
     "split_within_folder": f"{_C}, r as (select stem, folder, count(*) over (partition by folder) as n, row_number() over (partition by folder order by sha1(cast(stem as varchar(20))), stem) as rn from corpus) select stem, folder, case when rn <= greatest(1, @BROUND[n * cast(0.1 as double)]) then 'val' else 'train' end as side from r",
     "split_pinned": f"{_C}, p as (select c.stem, c.folder, case when l.doc_id is null then 0 else 1 end as pinned from corpus c left join (select distinct doc_id from {{labels}} where toxic = 1) l on l.doc_id = c.stem), r as (select *, count(*) over (partition by folder) as n, row_number() over (partition by folder order by pinned desc, sha1(cast(stem as varchar(20))), stem) as rn from p) select stem, folder, case when pinned = 1 or rn <= greatest(1, @BROUND[n * cast(0.1 as double)]) then 'val' else 'train' end as side, pinned from r",
-    "stratified_round_robin": f"{_C}, r as (select stem, folder, row_number() over (partition by folder order by stem) as rn from corpus), p as (select *, row_number() over (order by rn, folder) as place from r) select stem, folder, place from p where place <= 30",
+    "stratified_round_robin": f"{_C}, r as (select stem, folder, row_number() over (partition by folder order by stem) as rn from corpus), t as (select * from r where rn <= 30 order by rn, folder limit 30) select stem, folder, row_number() over (order by rn, folder) as place from t",
     "stems_by_folder": f"{_C} select folder, @SORTED[cast(stem as varchar(20))] as stems, count(*) as n from corpus group by folder",
     "folders": f"{_C} select distinct folder from corpus",
     "inventory": f"{_C} select folder, count(*) as n, count_if(n_chars > 5000) as oversize, min(n_chars) as least, max(n_chars) as most from corpus group by folder",
@@ -30,7 +30,16 @@ SQL = {
     "internal_duplicates": "select p_brand as folder, count(*) as n, count(*) - count(distinct concat(p_size % 7, '/', p_partkey % 5, '/', p_partkey % 3)) as duplicates from {part} group by p_brand",
     "folder_cap": f"{_C}, r as (select stem, folder, row_number() over (partition by folder order by stem) as rn from corpus) select stem, folder from r where rn <= 20",
     "folder_pooling": f"{_C} select case when folder in ('src1', 'src2', 'src3') then 'pooled' else folder end as pool, count(*) as n from corpus group by case when folder in ('src1', 'src2', 'src3') then 'pooled' else folder end",
-    "reconcile": f"{_C}, s as (select count(*) as selected, count_if(stem % 31 = 0) as rejected, count_if(stem % 31 <> 0) as cached from corpus) select selected, rejected, cached, selected - rejected = cached as holds from s",
+    "reconcile": f"{_C}, b as (select stem, folder from corpus left semi join {{labels}} l on stem = l.doc_id), r as (select doc_id as stem from {{labels}} where quality = 0), k as (select doc_id as stem from {{labels}} where quality = 1), v as (select stem from b where stem % 10 = 0), t as (select stem from b left anti join r on r.stem = b.stem) select (select count(*) from b) as selected, (select count(*) from r) as rejected, (select count(*) from k) as cached, (select count(*) from v left semi join k on k.stem = v.stem) as val, (select count(*) from t left anti join v on v.stem = t.stem) as train, (select count(*) from b) - (select count(*) from r) = (select count(*) from k) and (select count(*) from v left semi join k on k.stem = v.stem) + (select count(*) from t left anti join v on v.stem = t.stem) = (select count(*) from k) as holds",
+    "shortfall": f"{_C}, s as (select folder, cast(stem % 7 as bigint) as n_topup, 100 - cast(stem % 7 as bigint) as n_even, stem % 13 <> 0 as ok from corpus) select cast(coalesce(sum(case when ok then n_topup end), 0) as bigint) as n_topup, round(coalesce(sum(case when ok then n_topup end), 0) / cast(greatest(1, 100 * count_if(ok)) as double), 9) as share, coalesce(max(case when ok then n_topup end), 0) as most, round(count_if(ok and n_topup > 0) / cast(greatest(1, count_if(ok)) as double), 9) as shapes_share from s",
+    "smallest_file": f"{_C} select folder, min(stem) as stem, min(n_chars) as size from (select folder, stem, n_chars, min(n_chars) over (partition by folder) as least from corpus) t where n_chars = least group by folder",
+    "written_order": f"{_C} select stem, folder, n_chars from corpus order by folder, stem limit 50",
+    "given_before_default": "select l.doc_id as stem, coalesce(p.page_id * 2, l.quality + 4000, 4000) as budget, case when p.page_id is not null then 'flag' when l.quality is not null then 'network' else 'data' end as origin from {labels} l left join {pages} p on p.page_id = l.doc_id",
+    "run_names": "select event_id, @STAMP[ts] as run from {events}",
+    "run_boundaries": "with s as (select user_id, event_id, event_type, lag(event_type) over (partition by user_id order by event_id) as was from {events}), r as (select user_id, event_id, event_type, cast(sum(case when was is null or was <> event_type then 1 else 0 end) over (partition by user_id order by event_id rows between unbounded preceding and current row) as bigint) as run from s) select user_id, run, min(event_id) as first_id, count(*) as n from r group by user_id, run",
+    "exclusive_offsets": f"{_C} select folder, stem, n_chars, cast(coalesce(sum(n_chars) over (partition by folder order by stem rows between unbounded preceding and 1 preceding), 0) as bigint) as begin_at from corpus",
+    "folder_counts_map": f"{_C}, c as (select folder, count(*) as n from corpus group by folder) select @SORTED[concat(folder, '=', cast(n as varchar(20)))] as counts, count(*) as n_folders from c",
+    "status_reasons": f"{_C} select stem, concat('[', case when n_chars < 200 then 'reject' when stem % 17 = 0 then 'error' else 'ok' end, '] ', concat_ws('; ', case when n_chars < 200 then 'too short' end, case when stem % 17 = 0 then 'unreadable' end, case when lang <> 'en' then 'not english' end)) as reason from corpus",
     "union_with_side": f"{_C} select 'corpus' as side, stem from corpus union all select 'labels', doc_id from {{labels}}",
     "best_step": f"{_L} select min_by(step, val_bce) as best_step, round(min(val_bce), 9) as best_bce from (select min(step) as step, val_bce from log group by val_bce) t",
     "running_best": f"{_L}, b as (select cast(floor(step / 100) as bigint) as step, min(val_bce) as v from log group by cast(floor(step / 100) as bigint)) select step, round(v, 9) as v, round(min(v) over (order by step rows between unbounded preceding and current row), 9) as best from b",

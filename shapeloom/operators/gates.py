@@ -25,7 +25,7 @@ SQL = {
     "euler_transitions": f"{_PAIR} select case when euler_a = 1 and euler_b = 1 then 'kept' when euler_a = 1 then 'lost' when euler_b = 1 then 'gained' else 'never' end as change, count(*) as n from d group by case when euler_a = 1 and euler_b = 1 then 'kept' when euler_a = 1 then 'lost' when euler_b = 1 then 'gained' else 'never' end",
     "paired_delta_counts": f"{_PAIR} select count_if(delta > 0) as up, count_if(delta < 0) as down, count_if(delta = 0) as equal, count_if(abs(delta) > 0.02) as large, count(*) as n from d",
     "top_movers": f"{_PAIR}, t as (select stem, delta from d order by abs(delta) desc, stem limit 4) select stem, delta from t where abs(delta) >= 0.0001",
-    "interleave_groups": f"{_PAIR}, g as (select stem, case when euler_b > euler_a then 'gained' else 'lost' end as side from d where euler_a <> euler_b), r as (select stem, side, row_number() over (partition by side order by stem) as rn from g), p as (select *, row_number() over (order by rn, side) as place from r) select stem, side, place from p where place <= 12",
+    "interleave_groups": f"{_PAIR}, g as (select stem, case when euler_b > euler_a then 'gained' else 'lost' end as side from d where euler_a <> euler_b), r as (select stem, side, row_number() over (partition by side order by stem) as rn from g), t as (select * from r where rn <= 12 order by rn, side limit 12) select stem, side, row_number() over (order by rn, side) as place from t",
     "stems_in_both": f"{_PAIR} select a.stem from a left semi join b on a.stem = b.stem",
     "symmetric_difference": f"{_PAIR} select 'only_a' as side, stem from (select stem from a except select stem from b) x union all select 'only_b', stem from (select stem from b except select stem from a) y",
     "reject_crosstab": f"{_E} select watertight, winding_consistent, self_intersection_free, euler_match, count(*) as n from eval group by watertight, winding_consistent, self_intersection_free, euler_match",

@@ -57,6 +57,10 @@ SQL = {
     "signed_tet_volume": f"{_T} select shape_id, tid, round(v, 6) as volume from vol",
     "tet_orientation": f"{_T}, c as (select shape_id, count_if(abs(v) <= 1e-12 * box_volume) as n_degenerate, count_if(v > 1e-12 * box_volume) as n_positive, count_if(v < -1e-12 * box_volume) as n_negative from vol group by shape_id) select shape_id, n_degenerate, n_positive, n_negative, case when n_positive >= n_negative then 'positive' else 'negative' end as orientation, least(n_positive, n_negative) + n_degenerate as n_inverted from c",
     "tet_rollup": f"{_T}, s as (select shape_id, max(folder) as folder, count(*) as n_tets, sum(abs(v)) as vt, max(box_volume) as vs from vol group by shape_id) select coalesce(folder, '*') as scope, count(*) as n, round(min(vt), 6) as least, round(@PCT[vt; 0.01], 6) as p01, round(median(vt), 6) as mid, round(avg(vt), 6) as mean_volume, round(sum(n_tets), 0) as total_tets, round(avg(case when abs(vt-vs)/greatest(vs, 1e-30) < 0.01 then 1 else 0 end), 9) as agree from s group by grouping sets ((), (folder))",
+    "tet_status": f"{_T}, s as (select shape_id, count(*) as n_tets, sum(abs(v)) as vt, max(box_volume) as vs, count_if(v < 0) as n_negative from vol group by shape_id) select shape_id, case when shape_id % 19 = 0 then 'skip' when n_tets = 0 then 'fail' when n_negative > 0 then 'error' when abs(vt - vs) / greatest(vs, 1e-30) >= 0.01 then 'fail' else 'ok' end as status, case when shape_id % 19 = 0 then 'not watertight' when n_tets = 0 then 'no tetrahedra' when n_negative > 0 then 'inverted tetrahedra' when abs(vt - vs) / greatest(vs, 1e-30) >= 0.01 then 'volume differs' else '' end as reason from s",
+    "shell_offsets": f"{_T}, n as (select folder, shape_id, count(*) as n_tets, count(*) + 2 as n_nodes from tets group by folder, shape_id) select folder, shape_id, n_tets, cast(coalesce(sum(n_nodes) over (partition by folder order by shape_id rows between unbounded preceding and 1 preceding), 0) as bigint) as first_node from n",
+    "shared_cube": f"{_B}, u as (select folder, min(least(ax,bx,cx)) as x0, max(greatest(ax,bx,cx)) as x1, min(least(ay,by_,cy)) as y0, max(greatest(ay,by_,cy)) as y1, min(least(az,bz,cz)) as z0, max(greatest(az,bz,cz)) as z1 from tri group by folder) select folder, (x0+x1)/2 as x, (y0+y1)/2 as y, (z0+z1)/2 as z, round(1.05 * greatest(x1-x0, y1-y0, z1-z0) / 2, 9) as half from u",
+    "single_precision": f"{_B} select shape_id, fid, cast(cast(ax / 3 as float) as double) as ax, cast(cast(ay / 7 as float) as double) as ay, cast(cast(az / 11 as float) as double) as az from tri",
     "volume_error": f"{_T} select shape_id, round(abs(sum(v) - max(box_volume)) / greatest(max(box_volume), 1e-30), 9) as rel_error, abs(sum(v) - max(box_volume)) / greatest(max(box_volume), 1e-30) < 0.01 as volume_ok from vol group by shape_id",
 }
 

@@ -58,36 +58,32 @@ def fields(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("shape_id").agg(F.flatten(F.transform(rows, lambda r: r["logits"])).alias("field"))
 
 
-def meshes(clouds: DataFrame, net: Network, res: int = 128, low=(-0.5,) * 3, high=(0.5,) * 3, target: int = 4000, drop_floaters: bool = True, width: int = 6, chunk: int = 1 << 16) -> DataFrame:
+#: Shapes of extent 1 around their area centroid lie inside, wherever that is.
+FRAME = ((-1.0,) * 3, (1.0,) * 3)
+
+
+def meshes(clouds: DataFrame, net: Network, res: int = 128, low=FRAME[0], high=FRAME[1], target: int = 4000, drop_floaters: bool = True, width: int = 6, chunk: int = 1 << 16) -> DataFrame:
     """shape_id, xyz, tri, failed_step, reason, faces_in, faces_out of every cloud that could be encoded."""
     found = shapes.surfaces(fields(decoded(encoded(clouds, net, width).select("shape_id", "code"), net, res, low, high, chunk)), res, low, high)
     found = shapes.without_floaters(found) if drop_floaters else found
     return shapes.remeshed(found, target)
 
 
-def scored(predicted: DataFrame, truth: DataFrame, n: int = 2000, res: int = 32, low=(-0.5,) * 3, high=(0.5,) * 3) -> DataFrame:
+def scored(predicted: DataFrame, truth: DataFrame, n: int = 100_000, res: int = 128, low=FRAME[0], high=FRAME[1]) -> DataFrame:
     """One row a shape of truth: topology flags, self-intersections, IoU on a grid, Chamfer x 1000, normal consistency, Euler and component matches. A shape without a prediction scores 0 (Chamfer NaN) and has an error, so it stays in the means."""
     from ..functions import mesh, sampling
 
     both = truth.select("shape_id", "folder", F.col("xyz").alias("xyz_gt"), F.col("tri").alias("tri_gt")).join(predicted.select("shape_id", "xyz", "tri"), "shape_id", "left")
 
-    def nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d, at = np.empty(len(a)), np.empty(len(a), int)
-        for k in range(0, len(a), 256):
-            d2 = ((a[k : k + 256, None, :3] - b[None, :, :3]) ** 2).sum(2)
-            at[k : k + 256], d[k : k + 256] = d2.argmin(1), d2.min(1)
-        return d, at
-
     def kernel(row):
         gt = shapes.unpacked({"xyz": row["xyz_gt"], "tri": row["tri_gt"]})
         v, f = shapes.unpacked(row)
         if not len(f):
             raise ValueError("an empty prediction")
-        points = grid(low, high, res)
-        inside, inside_gt = mesh.winding(points, v, f) > 0.5, mesh.winding(points, *gt) > 0.5
+        inside, inside_gt = mesh.occupied(v, f, low, high, res), mesh.occupied(*gt, low, high, res)
         either = (inside | inside_gt).sum()
         a, b = sampling.cloud(v, f, n, 0)[0], sampling.cloud(*gt, n, 0)[0]
-        (da, ia), (db, ib) = nearest(a, b), nearest(b, a)
+        (da, ia), (db, ib) = mesh.nearest(a[:, :3], b[:, :3]), mesh.nearest(b[:, :3], a[:, :3])
         cosine = lambda x, y: np.abs((x[:, 3:] * y[:, 3:]).sum(1)).mean()
         hits, parts, parts_gt = mesh.self_intersections(v, f), int(mesh.components(f).max()) + 1, int(mesh.components(gt[1]).max()) + 1
         return {"watertight": int(mesh.is_watertight(f)), "winding_consistent": int(mesh.is_consistent(f)), "self_intersections": hits, "self_intersection_free": int(hits == 0),

@@ -13,7 +13,7 @@ eval as (select folder, stem, case when bad then 'unreadable' else '' end as err
   case when bad then null else cast(1 + l_orderkey % 2 as int) end as n_components_gt, case when bad then null else cast(4 * l_orderkey % 997 + 4 as int) end as pred_faces, l_extendedprice, l_tax, l_linestatus from raw_eval)"""
 #: The gates.
 GATES = """
-spec as (select * from (values ('watertight', 0.98, 0.90, 'higher'), ('winding_consistent', 0.98, 0.90, 'higher'), ('self_intersection_free', 1.00, 0.98, 'higher'), ('iou128', 0.90, 0.80, 'higher'),
+spec as (select * from (values ('watertight', 0.98, 0.90, 'higher'), ('winding_consistent', 0.98, 0.90, 'higher'), ('self_intersection_free', 1.00, 0.90, 'higher'), ('iou128', 0.90, 0.80, 'higher'),
   ('chamfer_l2_x1e3', 1.00, 2.00, 'lower'), ('normal_consistency', 0.90, 0.80, 'higher'), ('euler_match', 0.85, 0.70, 'higher')) as s(gate, pass_at, partial_at, direction)),
 long as (select folder, s.gate, s.pass_at, s.partial_at, s.direction, cast(case s.gate when 'watertight' then watertight when 'winding_consistent' then winding_consistent when 'self_intersection_free' then self_intersection_free
   when 'iou128' then iou128 when 'chamfer_l2_x1e3' then chamfer_l2_x1e3 when 'normal_consistency' then normal_consistency else euler_match end as double) as v from eval join spec s on true),
