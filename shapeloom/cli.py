@@ -1,4 +1,4 @@
-"""Command verbs: python -m shapeloom prepare | scan | infer | evaluate | gates | remesh | tetrahedralize.
+"""Command verbs: python -m shapeloom prepare | scan | train | infer | evaluate | gates | remesh | tetrahedralize.
 
 Tables are Parquet below the output folder; meshes are STL files. Exit codes: 0 done, 1 a gate stopped it, 2 nothing to do.
 """
@@ -6,11 +6,12 @@ Tables are Parquet below the output folder; meshes are STL files. Exit codes: 0
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import frames, inference, shapes
+from .operators import frames, inference, shapes, training
 from .sources import shapes as files
 from .sources import tables
 
@@ -73,6 +74,12 @@ def scan(spark: SparkSession, data: str, p99_most: float = 0.02, watertight_leas
     return int(sound < watertight_least or misfit > misfit_most or frame.coordinate > coordinate_most or frame.spread > spread_most)
 
 
+def train(spark: SparkSession, data: str, out: str, steps: int = 1000, batch: int = 32, n: int = 2048, smoke: int = 0, smoke_bce: float = 0.5, size: str | None = None) -> int:
+    """Prepared shapes -> networks and a log (see operators.training). With smoke, 1 where the best loss on the probe shapes is above smoke_bce. size: JSON of the network's size where it is not the full one."""
+    got = training.train(spark, data, out, steps=steps, batch=batch, n=n, size=json.loads(size) if size else None, smoke=smoke)
+    return int(smoke > 0 and not got["best"] <= smoke_bce)
+
+
 def _bounds(spark: SparkSession, data: str | None) -> tuple:
     """The box of the data, padded, or the frame where no data is named."""
     if data is None:
@@ -143,7 +150,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p = argparse.ArgumentParser(prog="shapeloom")
     verbs = p.add_subparsers(dest="verb", required=True)
     for verb, names, options in (
-        ("prepare", ("src", "out"), {"n_points": 1000, "n_queries": 100_000}), ("scan", ("data",), {}), ("infer", ("src", "net", "out"), {"res": 128, "target": 4000, "data": None}),
+        ("prepare", ("src", "out"), {"n_points": 1000, "n_queries": 100_000}), ("scan", ("data",), {}), ("train", ("data", "out"), {"steps": 1000, "batch": 32, "n": 2048, "smoke": 0, "smoke_bce": 0.5, "size": None}), ("infer", ("src", "net", "out"), {"res": 128, "target": 4000, "data": None}),
         ("evaluate", ("predicted", "data", "out"), {"n": 100_000, "res": 128, "limit": 0}), ("gates", ("scores", "out"), {"domain_gap_max": 0.10, "names": None}), ("remesh", ("src", "out"), {"target": 4000}), ("tetrahedralize", ("src",), {}),
     ):
         v = verbs.add_parser(verb)
@@ -156,4 +163,4 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if verb == "tetrahedralize":
         print(f"no tetrahedra: {available_backend() or 'none of ' + ', '.join(BACKENDS)} is not supported here")
         return 2
-    return {"prepare": prepare, "scan": scan, "infer": infer, "evaluate": evaluate, "gates": gates, "remesh": remesh}[verb](spark or SparkSession.builder.getOrCreate(), **given)
+    return {"prepare": prepare, "scan": scan, "train": train, "infer": infer, "evaluate": evaluate, "gates": gates, "remesh": remesh}[verb](spark or SparkSession.builder.getOrCreate(), **given)

@@ -41,7 +41,7 @@ def write_csv(rows: DataFrame, path: str, fields: list[str], order: list[str] =
     """A folder with one CSV file: the fields in this order under a header, null as blank, flags as 0 and 1, rows in order; columns that are not fields are left out."""
     out = rows.select(*[F.col(c).cast("int").alias(c) if isinstance(rows.schema[c].dataType, BooleanType) else F.col(c) for c in fields])
     out = out.orderBy(*order) if order else out
-    out.coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    out.coalesce(1).write.mode("overwrite").option("header", True).option("escape", "\"").option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
