@@ -9,6 +9,7 @@ before it, and answers truncation and budget questions without encoding again.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from dataclasses import dataclass, field
 
@@ -25,6 +26,11 @@ from .store import bounded
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
 
+#: The same pieces of texts of Latin-1 characters only: letters, numbers and white space of \p{L}, \p{N} and \p{White_Space} below U+0100, for the faster matcher.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+
+
 def _byte_chars() -> list[str]:
     """The printable stand-in of each byte in the vocabulary file."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -34,8 +40,11 @@ def _byte_chars() -> list[str]:
 
 @dataclass
 class PrefixCounter:
+    """most_pieces: whose tables are held in each of two generations; a piece that is met again stays. most_prefixes: of up to 16 bytes, held for pieces that begin alike."""
+
     path: str
-    most_pieces: int = 600_000
+    most_pieces: int = 400_000
+    most_prefixes: int = 1_000_000
     memo: dict = field(default_factory=dict)
 
     def __post_init__(self):
@@ -44,72 +53,103 @@ class PrefixCounter:
         code = {c: b for b, c in enumerate(_byte_chars())}
         self.special = [t["content"] for t in spec["added_tokens"]]
         raw = lambda t: bytes(code[c] for c in t)
-        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(merges)}
-        self.tokens = {bytes([b]) for b in range(256)} | {a + b for a, b in self.rank}
+        #: Tokens by number; the first 256 are the bytes.
+        self.text = [bytes([b]) for b in range(256)]
+        self.id = {t: k for k, t in enumerate(self.text)}
+        #: Two tokens -> rank of their merge, and the token it gives.
+        self.join: dict[int, int] = {}
+        for rank, m in enumerate(spec["model"]["merges"]):
+            one, two = map(raw, m.split(" ") if isinstance(m, str) else m)
+            both = one + two
+            if both not in self.id:
+                self.id[both] = len(self.text)
+                self.text.append(both)
+            self.join[self.id[one] << 20 | self.id[two]] = rank << 20 | self.id[both]
         #: Bytes of the longest token that ends with two given bytes.
         self.reach: dict = {}
-        for t in self.tokens:
+        for t in self.text:
             self.reach[t[-2:]] = max(len(t), self.reach.get(t[-2:], 2))
         self.whole: dict = {}
         self.prefix: dict = {}
         self.pairs: dict = {}
-        self.pieces = regex.compile(PATTERN)
+        self.older: dict = {}
+        self.pieces, self.latin = regex.compile(PATTERN), re.compile(LATIN)
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
 
-    def merged(self, piece: bytes) -> list[bytes]:
+    def merged(self, piece: bytes) -> list[int]:
         """What the merges make of a short piece."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
+        parts, join = list(piece), self.join.get
         while len(parts) > 1:
-            k, i = min((self.rank.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if k == 1 << 60:
+            best, at, a = 1 << 60, -1, parts[0]
+            for i, b in enumerate(parts[1:]):
+                v = join(a << 20 | b)
+                if v is not None and v < best:
+                    best, at = v, i
+                a = b
+            if at < 0:
                 break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            parts[at : at + 2] = [best & 0xFFFFF]
         return parts
 
-    def follows(self, a: bytes, b: bytes) -> bool:
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > self.most_pieces:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self.merged(a + b) == [a, b]
+    def follows(self, a: int, b: int) -> bool:
+        """Whether the merges make these two tokens of the bytes of both."""
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        got = self.pairs[a << 20 | b] = self.merged(self.text[a] + self.text[b]) == [a, b]
         return got
 
-    def stands(self, token: bytes) -> bool:
+    def stands(self, token: int) -> bool:
         """Whether the merges make the token of its own bytes."""
         got = self.whole.get(token)
         if got is None:
-            got = self.whole[token] = self.merged(token) == [token]
+            got = self.whole[token] = self.merged(self.text[token]) == [token]
         return got
 
     def piece(self, text: str) -> tuple[bytes, int]:
         """Token counts after each code point of one piece, as 32-bit integers, and the last of them."""
         got = self.memo.get(text)
+        if got is not None:
+            return got
+        if len(self.memo) > self.most_pieces:
+            self.older, self.memo = self.memo, {}
+        got = self.older.get(text)
         if got is None:
             data = text.encode("utf-8", "replace")
-            # the last tokens and counts up to a prefix depend on nothing after it: pieces that begin alike share them
-            last, count, known, begun = [b""], [0], self.prefix, 0
-            for n in range(min(len(data), 24) // 3 * 3, 0, -3):
-                if (got := known.get(data[:n])) is not None:
-                    last, count, begun = [*got[0]], [*got[1]], n
+            # the last token and the count of a prefix depend on nothing after it: pieces that begin alike share them
+            last, count, known = [0], [0], self.prefix
+            if len(known) > self.most_prefixes:
+                known.clear()
+            share = known.get
+            for end in range(1, min(len(data), 16) + 1):
+                held = share(data[:end])
+                if held is None:
                     break
+                last.append(held >> 8)
+                count.append(held & 0xFF)
+            begun = len(last) - 1
+            number, longest, pairs = self.id.get, self.reach.get, self.pairs.get
             for end in range(begun + 1, len(data) + 1):
-                for begin in range(max(0, end - self.reach.get(data[max(0, end - 2) : end], 2)), end):
-                    token = data[begin:end]
-                    if token in self.tokens and (self.follows(last[begin], token) if begin else self.stands(token)):
+                for begin in range(max(0, end - longest(data[max(0, end - 2) : end], 2)), end):
+                    token = number(data[begin:end])
+                    if token is None:
+                        continue
+                    if begin:
+                        fits = pairs(last[begin] << 20 | token)
+                        if fits is None:
+                            fits = self.follows(last[begin], token)
+                    else:
+                        fits = self.stands(token)
+                    if fits:
                         last.append(token)
                         count.append(count[begin] + 1)
                         break
-                if end % 3 == 0 and end <= 24:
-                    if len(known) > self.most_pieces // 4:
-                        known.clear()
-                    known[data[:end]] = tuple(last), tuple(count)
+                if end <= 16:
+                    known[data[:end]] = last[-1] << 8 | count[-1]
             if len(data) != len(text):
                 ends = [k for k in range(1, len(data)) if data[k] & 0xC0 != 0x80]
                 count = [0, *(count[k] for k in ends), count[-1]]
-            if len(self.memo) > self.most_pieces:
-                self.memo.clear()
-            got = self.memo[text] = array("I", count[1:]).tobytes(), count[-1]
+            got = array("I", count[1:]).tobytes(), count[-1]
+        self.memo[text] = got
         return got
 
     def _plain(self, text: str) -> np.ndarray:
@@ -118,7 +158,11 @@ class PrefixCounter:
         Inside a piece the table of the piece holds, but where a prefix would be cut into other pieces: after white
         space that precedes a word, and inside contractions.
         """
-        found = self.pieces.findall(text)
+        try:
+            text.encode("latin-1")
+            found = self.latin.findall(text)
+        except UnicodeEncodeError:
+            found = self.pieces.findall(text)
         if not found:
             return np.zeros(0, np.int32)
         have, piece = self.memo.get, self.piece

@@ -102,6 +102,13 @@ def test_token_counts_at_every_prefix(spark, odd):
         assert p.tolist() == [count(s[: i + 1]) for i in range(len(s))]
         fit = counter.longest_within(p, 5)
         assert count(s[:fit]) <= 5 and all(count(s[:k]) > 5 for k in range(fit + 1, len(s) + 1))
+    for _ in range(300):
+        s = "".join(chr(r.choice((r.randrange(256), r.randrange(256), 32, 39, 97, 0xE9))) for _ in range(r.randint(0, 30)))
+        assert counter.latin.findall(s) == counter.pieces.findall(s) and counter.prefixes(s)[-1:].tolist() == [count(s)][: len(s)]
+    assert all(bool(counter.latin.fullmatch(c * 2)) == bool(counter.pieces.fullmatch(c * 2)) and counter.latin.findall(f"a{c}1 {c}") == counter.pieces.findall(f"a{c}1 {c}") for c in map(chr, range(256)))
+    small = tokens.PrefixCounter(path, most_pieces=3)
+    for s in ("the cat sat on the mat and the dog", "le café était fermé hier", "the cat") * 3:
+        assert small.prefixes(s).tolist() == [count(s[: i + 1]) for i in range(len(s))] and len(small.memo) <= 5
     got = tokens.token_counts(odd, path, budgets=(10,), tables=True).collect()
     assert len(got) == 13 and all(x.n_tokens == count(x.text or "") and x.n_bytes == len((x.text or "").encode()) and len(x.prefix_tokens) == len(x.text or "") for x in got)
 
