@@ -1,10 +1,12 @@
 """License scans with a positional index of rare words, in DataFrame functions only.
 
-Each template is a list of words. Its words of highest IDF (over the templates) are its rare words, and the best two
-of them are looked up in every file. A place of such a word, less its place in the template, proposes where the
-template would begin; the postings of the template's other rare words are intersected with the file's words at the
-same relative positions, and a template is found where enough of their IDF agrees and every mandatory phrase stands
-in its span.
+Each template is a list of words, and its words of highest IDF (over the templates) are its rare words. Of a file, the
+rare words that stand in it are looked up by falling IDF, for each template as many as any match must hold one of: a
+template of which too little stands in the file is left at once, and the words after the last one looked up are too few
+to make a match alone, so nothing is lost. A place of a word looked up, less its place in the template, proposes where
+the template would begin; the postings of the template's other rare words are intersected with the file's words at the
+same relative positions, and a template is found where enough of their IDF agrees and every mandatory phrase stands in
+its span.
 """
 
 from __future__ import annotations
@@ -37,14 +39,14 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
     ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),
 ]
-#: Share, in thousandths, of the rare words' IDF that must agree; rare words of a notice; of these, looked up.
-COVER, RARE, LOOKED_UP = 600, 6, 2
+#: Share, in thousandths, of the rare words' IDF that must agree; rare words of a notice.
+COVER, RARE = 600, 6
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def templates() -> list[dict]:
-    """id, label, base, n (words), rare [(position, word, idf)], looked_up {words}, total, phrases. IDF is an integer so that sums are exact."""
+    """id, label, base, n (words), rare [(position, word, idf)] by falling idf, total, phrases. IDF is an integer so that sums are exact."""
     raw = [(label, phrase, [phrase], True) for phrase, label in BASE.items()] + [(*x, False) for x in NOTICES]
     df = Counter(w for _, text, _, _ in raw for w in set(text.split()))
     out = []
@@ -52,7 +54,7 @@ def templates() -> list[dict]:
         words = text.split()
         ranked = sorted(((i, w, round(1000 * math.log(1 + len(raw) / df[w]))) for i, w in enumerate(words)), key=lambda x: (-x[2], x[0]))
         rare = ranked if base else ranked[:RARE]
-        out.append({"id": k, "label": label, "base": base, "n": len(words), "rare": rare, "looked_up": list(dict.fromkeys(w for _, w, _ in ranked))[: 1 if base else LOOKED_UP], "total": sum(x[2] for x in rare), "phrases": phrases})
+        out.append({"id": k, "label": label, "base": base, "n": len(words), "rare": rare, "total": sum(x[2] for x in rare), "phrases": phrases})
     return out
 
 
@@ -65,23 +67,28 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "found"]
     every = templates()
-    postings = ", ".join(f"named_struct('w', '{w}', 't', {t['id']}, 'p', {i})" for t in every for i, w, _ in t["rare"] if w in t["looked_up"])
     body = ", ".join(
-        f"named_struct('label', '{t['label']}', 'base', {str(t['base']).lower()}, 'n', {t['n']}, 'total', {t['total']}, 'need', {1000 if t['base'] else COVER}, "
+        f"named_struct('t', {t['id']}, 'label', '{t['label']}', 'base', {str(t['base']).lower()}, 'n', {t['n']}, 'total', {t['total']}, 'need', {1000 if t['base'] else COVER}, "
         f"'rare', array({', '.join(f"named_struct('p', {i}, 'w', '{w}', 'idf', {x})" for i, w, x in t['rare'])}), 'phrases', array({', '.join(f"' {p} '" for p in t['phrases'])}))"
         for t in every
     )
-    lookup = sorted({w for t in every for w in t["looked_up"]})
-    wanted = "array(" + ", ".join(f"'{w}'" for w in lookup) + ")"
+    body = f"array({body})"
+    rarest = sorted({(-i, w) for t in every for _, w, i in t["rare"]})
+    rare = "array(" + ", ".join(f"'{w}'" for _, w in rarest) + ")"
     x = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], F.split(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), _SEPARATORS).alias("__w"))
     # separators at an end of the text leave an empty word there
     x = x.withColumn("__lead", F.expr("int(__w[0] = '')")).withColumn("n_words", F.expr("cast(size(__w) - __lead - int(size(__w) > 1 and __w[size(__w) - 1] = '') as long)"))
-    hits = f"filter(transform(__w, (w, i) -> named_struct('w', w, 'i', i)), h -> array_contains({wanted}, h.w))"
-    x = x.withColumn("__hits", F.expr(f"case when arrays_overlap(__w, {wanted}) then {hits} end"))
-    starts = f"array_distinct(flatten(transform(__hits, h -> transform(filter(array({postings}), p -> p.w = h.w and h.i >= p.p), p -> named_struct('t', p.t, 's', h.i - p.p)))))"
+    x = x.withColumn("__here", F.expr(f"array_intersect({rare}, __w)"))
+    # a rare word is looked up while it and those after it could make a match without the words before it
+    left = "aggregate(slice(r, k + 1, size(r)), 0, (sum, y) -> sum + y.idf)"
+    looked = f"filter(transform(array(filter(t.rare, r -> array_contains(__here, r.w))), r -> transform(r, (y, k) -> named_struct('w', y.w, 't', t.t, 'p', y.p, 'left', {left})))[0], y -> y.left * 1000 >= t.need * t.total)"
+    x = x.withColumn("__keys", F.expr(f"case when size(__here) > 0 then flatten(transform({body}, t -> {looked})) end"))
+    x = x.withColumn("__hits", F.expr("case when size(__keys) > 0 then filter(transform(__w, (w, i) -> named_struct('w', w, 'i', i)), h -> exists(__keys, y -> y.w = h.w)) end"))
+    # template and start in one number: distinct numbers are hashed, distinct structs would be compared in pairs
+    starts = f"transform(array_distinct(flatten(transform(__hits, h -> transform(filter(__keys, y -> y.w = h.w and h.i >= y.p), y -> cast(h.i - y.p as long) * {len(every)} + y.t)))), c -> named_struct('t', cast(c % {len(every)} as int), 's', cast(c div {len(every)} as int)))"
     x = x.withColumn("__starts", F.expr(f"case when __hits is not null then {starts} end"))
     agree = "aggregate(t.rare, 0, (sum, r) -> sum + if(get(__w, c.s + r.p) = r.w, r.idf, 0))"
-    tried = f"transform(__starts, c -> transform(array(element_at(array({body}), c.t + 1)), t -> named_struct('label', t.label, 'base', t.base, 'start', c.s - __lead, 'cover', {agree}, 'total', t.total, 'need', t.need, 'phrases', t.phrases, 'span', concat(' ', array_join(slice(__w, c.s + 1, t.n), ' '), ' ')))[0])"
+    tried = f"transform(__starts, c -> transform(array(element_at({body}, c.t + 1)), t -> named_struct('label', t.label, 'base', t.base, 'start', c.s - __lead, 'cover', {agree}, 'total', t.total, 'need', t.need, 'phrases', t.phrases, 'span', concat(' ', array_join(slice(__w, c.s + 1, t.n), ' '), ' ')))[0])"
     good = f"filter({tried}, c -> c.cover * 1000 >= c.need * c.total and forall(c.phrases, p -> contains(c.span, p)))"
     x = x.withColumn("found", F.expr(f"coalesce(transform(case when size(__starts) > 0 then {good} end, c -> named_struct('label', c.label, 'base', c.base, 'start', cast(c.start as long), 'cover', c.cover / c.total)), array())"))
     base = "filter(found, c -> c.base)"
@@ -95,7 +102,7 @@ def scan(docs: DataFrame) -> DataFrame:
             "score": F.expr("coalesce(array_max(transform(found, c -> c.cover)), 0D)"),
         }
     )
-    return x.drop("__w", "__lead", "__hits", "__starts")
+    return x.drop("__w", "__lead", "__here", "__keys", "__hits", "__starts")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,18 +111,18 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same rows in SQL, from every place of every rare word that is looked up."""
+    """The same rows in SQL, from every place of every rare word."""
     every = templates()
     values = lambda rows: ", ".join(str(r) for r in rows)
     tpl = values((t["id"], t["label"], t["base"], t["n"], t["total"], 1000 if t["base"] else COVER) for t in every)
-    rare = values((t["id"], i, w, x, w in t["looked_up"]) for t in every for i, w, x in t["rare"])
+    rare = values((t["id"], i, w, x) for t in every for i, w, x in t["rare"])
     phrase = values((t["id"], f" {p} ") for t in every for p in t["phrases"])
     return rf"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
-tpl(t, label, base, n, total, need) AS (VALUES {tpl}), rare(t, p, w, idf, looked) AS (VALUES {rare}), phrase(t, ph) AS (VALUES {phrase}),
+tpl(t, label, base, n, total, need) AS (VALUES {tpl}), rare(t, p, w, idf) AS (VALUES {rare}), phrase(t, ph) AS (VALUES {phrase}),
 pos AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
-hit AS (SELECT doc_id, t, i - p AS s, sum(idf) AS cover, bool_or(looked) AS looked FROM pos JOIN rare USING (w) WHERE i >= p GROUP BY ALL),
-good AS (SELECT h.doc_id, h.t, h.s, h.cover, tpl.* EXCLUDE (t), ' ' || array_to_string(d.ws[s + 1 : s + n], ' ') || ' ' AS span FROM hit h JOIN tpl USING (t) JOIN d ON d.doc_id = h.doc_id WHERE looked AND cover * 1000 >= need * total),
+hit AS (SELECT doc_id, t, i - p AS s, sum(idf) AS cover FROM pos JOIN rare USING (w) WHERE i >= p GROUP BY ALL),
+good AS (SELECT h.doc_id, h.t, h.s, h.cover, tpl.* EXCLUDE (t), ' ' || array_to_string(d.ws[s + 1 : s + n], ' ') || ' ' AS span FROM hit h JOIN tpl USING (t) JOIN d ON d.doc_id = h.doc_id WHERE cover * 1000 >= need * total),
 found AS (SELECT * FROM good g WHERE NOT EXISTS (SELECT 1 FROM phrase p WHERE p.t = g.t AND NOT contains(g.span, p.ph))),
 per AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
   array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(cover / total) AS score FROM found GROUP BY doc_id)
