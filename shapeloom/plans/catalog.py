@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from ..functions.dialect import oracle, spark_query
 from ..operators import corpus, gates, geometry
-from . import frames, solids
+from . import frames, reports, solids
 
 SQL = {name: sql for name, sql in (gates.SQL | corpus.SQL | geometry.SQL).items() if name not in frames.QUERIES}
 
 
 def queries() -> dict:
-    return {name: spark_query(sql) for name, sql in SQL.items()} | frames.QUERIES | solids.QUERIES
+    return {name: spark_query(sql) for name, sql in SQL.items()} | frames.QUERIES | reports.QUERIES | solids.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(sql) for name, sql in (SQL | frames.PLAIN | frames.ORACLES).items()} | solids.ORACLES
+    return {name: oracle(sql) for name, sql in (SQL | frames.PLAIN | frames.ORACLES | reports.ORACLES).items()} | solids.ORACLES
