@@ -1,4 +1,4 @@
-"""Command verbs: python -m shapeloom prepare | scan | train | infer | evaluate | gates | remesh | tetrahedralize.
+"""Command verbs: python -m shapeloom prepare | scan | train | meshify | infer | evaluate | gates | figures | remesh | verify | tetrahedralize.
 
 Tables are Parquet below the output folder; meshes are STL files. Exit codes: 0 done, 1 a gate stopped it, 2 nothing to do.
 """
@@ -11,7 +11,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import frames, inference, shapes, training
+from . import verify as verification
+from .operators import frames, inference, reports, shapes, training
 from .sources import shapes as files
 from .sources import tables
 
@@ -32,9 +33,14 @@ def _export(meshes: DataFrame, root: str) -> int:
     return files.write_files(files.as_stl(meshes).withColumn("name", F.concat("shape_id", F.lit(".stl"))), root, "name", "stl").count()
 
 
-def prepare(spark: SparkSession, src: str, out: str, n_points: int = 1000, n_queries: int = 100_000, val_share: float = 0.1) -> int:
-    """STL files -> build (one row a file, status ok/reject/error), meshes in the shared frame, clouds, labelled queries and the split within folders. Two files of one stem stop it."""
-    read = _named(files.read_stl(spark, src))
+def prepare(spark: SparkSession, src: str, out: str, n_points: int = 1000, n_queries: int = 100_000, val_share: float = 0.1, limit: int = 0, force: bool = False, pin_val: str | None = None) -> int:
+    """STL files -> build (one row a file, status ok/reject/error), meshes in the shared frame, clouds, labelled queries and the split within folders. Two files of one stem stop it.
+
+    Queries that an earlier run made stay, whatever its options, and only those of new shapes are added, unless force is
+    given. limit: the first so many files by folder and name. pin_val: JSON of shape ids that are held out first and
+    always; those that are not there are listed in pins_missing. summary.json tells counts and the points' shortfall.
+    """
+    read = _named(files.read_stl(spark, src, limit))
     if read.isEmpty():
         return 2
     if not files.collisions(read).isEmpty():
@@ -52,10 +58,19 @@ def prepare(spark: SparkSession, src: str, out: str, n_points: int = 1000, n_que
     if box[0] is None:
         return 2
     _kept(spark.createDataFrame([(list(box[:3]), list(box[3:]))], "low array<double>, high array<double>"), f"{out}/bounds")
-    _kept(shapes.query_points(good, list(box[:3]), list(box[3:]), n_queries).drop("xyz", "tri"), f"{out}/queries")
-    good.select("shape_id", "folder").createOrReplaceTempView("__prepared")
-    rank = f"row_number() over (partition by folder order by sha1(shape_id), shape_id) <= greatest(1, bround(count(*) over (partition by folder) * {float(val_share)}D))"
-    _kept(spark.sql(f"select shape_id, folder, case when {rank} then 'val' else 'train' end as side from __prepared"), f"{out}/split")
+    todo, place = good, f"{out}/queries"
+    if not force and tables.exists(spark, place):
+        todo = good.join(spark.read.parquet(place).select("shape_id"), "shape_id", "left_anti")
+    shapes.query_points(todo, list(box[:3]), list(box[3:]), n_queries).drop("xyz", "tri").write.mode("overwrite" if todo is good else "append").parquet(place)
+    pins = None if pin_val is None else spark.createDataFrame([(x,) for x in tables.read_names(pin_val)], "shape_id string")
+    _kept(frames.split(good.select("shape_id", "folder"), val_share, "shape_id", "folder", pins), f"{out}/split")
+    if pins is not None:
+        _kept(frames.missing(pins, good, "shape_id"), f"{out}/pins_missing")
+    built = spark.read.parquet(f"{out}/build").select("shape_id", "status").join(spark.read.parquet(f"{out}/clouds").select("shape_id", "n_topup"), "shape_id", "left")
+    sides = spark.read.parquet(f"{out}/split").agg(F.count_if(F.col("side") == "train").alias("n_train"), F.count_if(F.col("side") == "val").alias("n_val"))
+    states = built.agg(F.count_if(F.col("status") == "reject").alias("n_reject"), F.count_if(F.col("status") == "error").alias("n_error"))
+    # three single rows side by side
+    tables.write_summary(reports.shortfall(built, n_points).crossJoin(states).crossJoin(sides), f"{out}/summary.json")
     return 0
 
 
@@ -88,21 +103,66 @@ def _bounds(spark: SparkSession, data: str | None) -> tuple:
     return tuple(r.low), tuple(r.high)
 
 
-def infer(spark: SparkSession, src: str, net: str, out: str, res: int = 128, target: int = 4000, data: str | None = None) -> int:
-    """Clouds (.npy, taken as they are) and meshes (.stl, put in the frame and sampled) -> STL files and a report; 1 where an emitted surface is broken, or a cloud and a mesh have one name (listed in collisions). data: a prepared folder whose bounds are used."""
-    solid = shapes.sampled(shapes.normalized(_named(files.read_stl(spark, src)).where("error is null").drop("error")).where("error is null").drop("error")).select("shape_id", F.lit("stl").alias("kind"), "points")
-    cloud = _named(files.read_clouds(spark, src)).where("error is null and width = 6").select("shape_id", F.lit("npy").alias("kind"), "points")
-    given = _kept(solid.unionByName(cloud), f"{out}/inputs")
+def _box(spark: SparkSession, net: str, data: str | None, bounds: str | None) -> tuple | None:
+    """The shapes' box: of a file (JSON) before the network's own before the data's; None where there is none."""
+    given = tables.read_bounds(spark, bounds).first() if bounds else None
+    own = inference.bounds_of(spark, net)
+    ready = spark.read.parquet(f"{data}/bounds").select("low", "high").first() if data else None
+    box = tables.first_given(given, own, ready)
+    return box and (list(box[0]), list(box[1]))
+
+
+def _grid(spark: SparkSession, box: tuple | None) -> tuple:
+    if box is None:
+        return inference.FRAME
+    r = frames.padded_bounds(spark.createDataFrame([box], "low array<double>, high array<double>")).first()
+    return tuple(r.low), tuple(r.high)
+
+
+def meshify(spark: SparkSession, net: str, data: str, out: str, side: str = "val", names: str | None = None, limit: int = 0, res: int = 128, drop_floaters: bool = False) -> int:
+    """Prepared clouds of a side of the split (or those that the JSON file names lists; the first `limit` by name) -> level sets as a table and STL files, not simplified. Shapes without a level set have a row and no file."""
+    clouds = spark.read.parquet(f"{data}/clouds").where("error is null").select("shape_id", "points")
+    chosen = frames.in_order(clouds, tables.read_names(names, side), "shape_id").drop("ordinal") if names else clouds.join(spark.read.parquet(f"{data}/split").where(F.col("side") == side).select("shape_id"), "shape_id", "left_semi")
+    if limit:
+        chosen = chosen.join(chosen.select("shape_id").orderBy("shape_id").limit(limit), "shape_id", "left_semi")
+    made = _kept(inference.surfaces(chosen, inference.loaded(spark, net), res, *_grid(spark, _box(spark, net, data, None)), drop_floaters), f"{out}/surfaces")
+    return 0 if _export(made.where("size(tri) > 0"), f"{out}/stl") else 2
+
+
+def infer(spark: SparkSession, src: str, net: str, out: str, res: int = 128, target: int = 4000, data: str | None = None, bounds: str | None = None, n_points: int = 1000, no_decimate: bool = False, no_drop_floaters: bool = False) -> int:
+    """Clouds (.npy, taken as they are) and meshes (.stl, put in the frame and sampled) -> STL files and a report of every input (see reports.answer_status); 1 where an emitted surface is broken, or a cloud and a mesh have one name (listed in collisions). bounds: JSON of the shapes' box, before the network's own and that of data, a prepared folder."""
+    read, cloud = _named(files.read_stl(spark, src)).persist(), _named(files.read_clouds(spark, src))
+    none = lambda kind, c: F.lit(None).cast(kind).alias(c)
+    row = lambda d, kind, points=None, topup=None, error="error", reject=None: d.select("shape_id", F.lit(kind).alias("kind"), F.col(points) if points else none("array<double>", "points"), F.col(topup) if topup else none("int", "n_topup"), F.col(error).alias("error") if error else none("string", "error"), (reject if reject is not None else none("string", "reject")).alias("reject"))
+    framed = _kept(shapes.normalized(read.where("error is null and size(tri) > 0").drop("error")).select("shape_id", "xyz", "tri", "error"), f"{out}/framed")
+    flat = F.exists(F.sequence(F.lit(0), (F.size("points") / 6).cast("int") - 1), lambda i: ~F.coalesce(sum(F.pow(F.get("points", i * 6 + k), F.lit(2)) for k in (3, 4, 5)) > 0, F.lit(False)))
+    refused = F.when(F.col("error").startswith("ValueError: a cloud of shape"), F.col("error")).when(F.col("width") != 6, "points without normals").when(F.size("points") == 0, "no points").when(flat, "normals of length zero")
+    parts = [
+        row(read.where("error is not null"), "stl"), row(read.where("error is null and size(tri) = 0"), "stl", error=None, reject=F.lit("no faces")), row(framed.where("error is not null"), "stl"),
+        row(shapes.sampled(framed.where("error is null").drop("error"), n_points), "stl", "points", "n_topup"),
+        row(cloud.withColumn("reject", refused).withColumn("error", F.when(F.col("reject").isNull(), F.col("error"))), "npy", "points", reject=F.col("reject")),
+    ]
+    given = parts[0]
+    for p in parts[1:]:
+        given = given.unionByName(p)
+    given = _kept(given, f"{out}/inputs")
+    read.unpersist()
     if given.isEmpty():
         return 2
     twice = _kept(given.groupBy("shape_id").agg(F.sort_array(F.collect_list("kind")).alias("kinds")).where("size(kinds) > 1"), f"{out}/collisions")
     if not twice.isEmpty():
         return 1
-    made = _kept(inference.meshes(given, inference.loaded(spark, net), res, *_bounds(spark, data), target), f"{out}/predicted")
+    box = _box(spark, net, data, bounds)
+    made = _kept(inference.meshes(given.where("error is null and reject is null").select("shape_id", "points"), inference.loaded(spark, net), res, *_grid(spark, box), 0 if no_decimate else target, not no_drop_floaters), f"{out}/predicted")
     _export(made.where("size(tri) > 0"), f"{out}/stl")
     facts = shapes.described(made.select("shape_id", "xyz", "tri")).drop("error")
-    report = _kept(given.select("shape_id").join(made.select("shape_id", "failed_step", "reason", "faces_in", "faces_out", "error"), "shape_id", "left").join(facts, "shape_id", "left"), f"{out}/report")
-    return int(not report.where("faces_out > 0 and (is_watertight = 0 or is_winding_consistent = 0)").isEmpty())
+    axis = lambda f, a: f(F.filter("points", lambda x, i: i % 6 == a))
+    over = F.greatest(*[x for a in range(3) for x in (box[0][a] - axis(F.array_min, a), axis(F.array_max, a) - box[1][a])]) if box else F.lit(None).cast("double")
+    asked = given.select("shape_id", "kind", F.col("error").alias("input_error"), "reject", "n_topup", F.when(F.col("points").isNotNull(), F.size("points") / 6).cast("int").alias("n_given"), F.greatest(over, F.lit(0.0)).alias("overflow") if box else over.alias("overflow"))
+    rows = asked.join(made.select("shape_id", "failed_step", "reason", "faces_in", "faces_out", F.col("emitted_broken").alias("broken"), F.col("error").alias("mesh_error")), "shape_id", "left")
+    rows = rows.withColumns({"error": F.coalesce("input_error", "mesh_error"), "found": F.col("faces_in"), "broken": F.when(F.col("faces_out") > 0, F.col("broken"))})
+    report = _kept(reports.answer_status(rows, n_points).drop("input_error", "mesh_error", "found").join(facts, "shape_id", "left"), f"{out}/report")
+    return int(not report.where("broken = 1").isEmpty())
 
 
 def evaluate(spark: SparkSession, predicted: str, data: str, out: str, n: int = 100_000, res: int = 128, limit: int = 0) -> int:
@@ -129,16 +189,39 @@ def gates(spark: SparkSession, scores: str, out: str, domain_gap_max: float = 0.
     return int(gaps.count() > 1 and not gaps.where("interferes").isEmpty())
 
 
-def remesh(spark: SparkSession, src: str, out: str, target: int = 4000) -> int:
-    """STL files -> STL files within the budget of faces, and a table of those given back unchanged."""
+def figures(spark: SparkSession, scores: str, out: str, other: str | None = None, run: str | None = None, n: int = 6) -> int:
+    """Tables behind the figures of scores, one CSV folder each (see reports.figures); other: a second evaluation; run: a training folder, whose log is the loss curve."""
+    rows = spark.read.parquet(scores)
+    if rows.isEmpty():
+        return 2
+    made = reports.figures(rows, n, spark.read.parquet(other) if other else None, spark.read.parquet(f"{run}/log") if run else None)
+    for name, table in made.items():
+        tables.write_csv(table, f"{out}/{name}", table.columns, [table.columns[0]])
+    return 0
+
+
+def remesh(spark: SparkSession, src: str, out: str, target: int = 4000, reverts_csv: str | None = None) -> int:
+    """STL files -> STL files within the budget of faces, and a table (and CSV) of those given back unchanged."""
     read = _named(files.read_stl(spark, src)).where("error is null").drop("error")
     done = _kept(shapes.remeshed(read, target), f"{out}/remeshed")
     if not _export(done.where("error is null"), f"{out}/stl"):
         return 2
-    _kept(done.where("failed_step is not null").select("shape_id", "failed_step", "reason", "faces_in", "faces_out"), f"{out}/reverts")
+    reverts = _kept(done.where("failed_step is not null").select("shape_id", "failed_step", "reason", "faces_in", "faces_out", "emitted_broken"), f"{out}/reverts")
+    if reverts_csv:
+        tables.write_csv(reverts, reverts_csv, reverts.columns, ["shape_id"])
     return 0
 
 
+def verify(spark: SparkSession, net: str, src: str, data: str | None = None, res: int = 128, target: int = 4000, n_points: int = 1000, no_decode: bool = False) -> int:
+    """Prints one line a check (see verify.checks) and a summary; 1 where one fails."""
+    done = verification.checks(spark, net, src, _box(spark, net, data, None) if tables.exists(spark, net) else None, res, target, n_points, not no_decode)
+    for c in done:
+        print(f"{'ok  ' if c.good else 'FAIL'}  {c.section}: {c.label}" + (f"  {c.detail}" if c.detail else ""))
+    bad = [c.label for c in done if not c.good]
+    print(f"{len(bad)} of {len(done)} checks failed" + "".join(f"\n  {x}" for x in bad))
+    return int(bool(bad))
+
+
 def available_backend() -> str | None:
     """The first library for tetrahedra that can be imported."""
     from importlib.util import find_spec
@@ -150,17 +233,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p = argparse.ArgumentParser(prog="shapeloom")
     verbs = p.add_subparsers(dest="verb", required=True)
     for verb, names, options in (
-        ("prepare", ("src", "out"), {"n_points": 1000, "n_queries": 100_000}), ("scan", ("data",), {}), ("train", ("data", "out"), {"steps": 1000, "batch": 32, "n": 2048, "smoke": 0, "smoke_bce": 0.5, "size": None}), ("infer", ("src", "net", "out"), {"res": 128, "target": 4000, "data": None}),
-        ("evaluate", ("predicted", "data", "out"), {"n": 100_000, "res": 128, "limit": 0}), ("gates", ("scores", "out"), {"domain_gap_max": 0.10, "names": None}), ("remesh", ("src", "out"), {"target": 4000}), ("tetrahedralize", ("src",), {}),
+        ("prepare", ("src", "out"), {"n_points": 1000, "n_queries": 100_000, "limit": 0, "force": False, "pin_val": None}), ("scan", ("data",), {}), ("train", ("data", "out"), {"steps": 1000, "batch": 32, "n": 2048, "smoke": 0, "smoke_bce": 0.5, "size": None}),
+        ("meshify", ("net", "data", "out"), {"side": "val", "names": None, "limit": 0, "res": 128, "drop_floaters": False}), ("infer", ("src", "net", "out"), {"res": 128, "target": 4000, "data": None, "bounds": None, "n_points": 1000, "no_decimate": False, "no_drop_floaters": False}),
+        ("evaluate", ("predicted", "data", "out"), {"n": 100_000, "res": 128, "limit": 0}), ("gates", ("scores", "out"), {"domain_gap_max": 0.10, "names": None}), ("figures", ("scores", "out"), {"other": None, "run": None, "n": 6}), ("remesh", ("src", "out"), {"target": 4000, "reverts_csv": None}),
+        ("verify", ("net", "src"), {"data": None, "res": 128, "target": 4000, "n_points": 1000, "no_decode": False}), ("tetrahedralize", ("src",), {"backend": None, "size_factor": 1.0, "volume_tol": 0.01, "no_write": False}),
     ):
         v = verbs.add_parser(verb)
         for x in names:
             v.add_argument(x)
         for x, default in options.items():
-            v.add_argument(f"--{x.replace('_', '-')}", type=str if default is None else type(default), default=default)
+            how = {"action": "store_true"} if default is False else {"type": str if default is None else type(default), "default": default}
+            v.add_argument(f"--{x.replace('_', '-')}", **how)
     given = vars(p.parse_args(argv))
     verb = given.pop("verb")
     if verb == "tetrahedralize":
-        print(f"no tetrahedra: {available_backend() or 'none of ' + ', '.join(BACKENDS)} is not supported here")
+        print(f"no tetrahedra: {given['backend'] or available_backend() or 'none of ' + ', '.join(BACKENDS)} is not supported here")
         return 2
-    return {"prepare": prepare, "scan": scan, "train": train, "infer": infer, "evaluate": evaluate, "gates": gates, "remesh": remesh}[verb](spark or SparkSession.builder.getOrCreate(), **given)
+    return {"prepare": prepare, "scan": scan, "train": train, "meshify": meshify, "infer": infer, "evaluate": evaluate, "gates": gates, "figures": figures, "remesh": remesh, "verify": verify}[verb](spark or SparkSession.builder.getOrCreate(), **given)

@@ -84,6 +84,11 @@ def split(rows: DataFrame, share: float = 0.1, id: str = "stem", by: str = "fold
     return x.withColumn("side", F.when(val, "val").otherwise("train")).drop("__p", "__h", "__by", "__edge", "__left")
 
 
+def missing(wanted: DataFrame, rows: DataFrame, on: str = "stem") -> DataFrame:
+    """The keys that were wanted and that no row has, once each."""
+    return wanted.select(on).where(F.col(on).isNotNull()).distinct().join(rows.select(on), on, "left_anti")
+
+
 def pair(left: DataFrame, right: DataFrame, on: str = "stem") -> DataFrame:
     """on, has_left, has_right: every key of either side once."""
     one = lambda d, c: d.select(on).where(F.col(on).isNotNull()).distinct().withColumn(c, F.lit(True))

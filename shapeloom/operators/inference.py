@@ -14,10 +14,11 @@ from ..functions.network import Network
 from . import shapes
 
 
-def saved(spark: SparkSession, net: Network, path: str) -> None:
-    """Writes the network as a table (name, shape, data); its size is that of the parameters."""
+def saved(spark: SparkSession, net: Network, path: str, bounds: tuple | None = None) -> None:
+    """Writes the network as a table (name, shape, data); its size is that of the parameters. bounds: the box of the shapes it is trained on."""
     size = [(k, None, [float(v)]) for k, v in net.size.items()]
     rows = [(f"w:{k}", list(v.shape), v.ravel().tolist()) for k, v in net.w.items()]
+    rows += [("bounds", [2, 3], [float(x) for corner in bounds for x in corner])] if bounds else []
     spark.createDataFrame([*(("s:" + k, s, d) for k, s, d in size), *rows], "name string, shape array<int>, data array<double>").coalesce(1).write.mode("overwrite").parquet(path)
 
 
@@ -27,6 +28,12 @@ def loaded(spark: SparkSession, path: str) -> Network:
     return Network(size, {k[2:]: np.array(r.data).reshape(r["shape"]) for k, r in rows.items() if k.startswith("w:")})
 
 
+def bounds_of(spark: SparkSession, path: str) -> tuple | None:
+    """The box of the shapes that a written network was trained on, if it carries one."""
+    r = spark.read.parquet(path).where("name = 'bounds'").first()
+    return r and (tuple(r.data[:3]), tuple(r.data[3:]))
+
+
 def encoded(clouds: DataFrame, net: Network, width: int = 6) -> DataFrame:
     """code: the packed code of each cloud (points). The network's parameters (megabytes) are broadcast."""
     held = clouds.sparkSession.sparkContext.broadcast(net)
@@ -62,11 +69,15 @@ def fields(chunks: DataFrame) -> DataFrame:
 FRAME = ((-1.0,) * 3, (1.0,) * 3)
 
 
-def meshes(clouds: DataFrame, net: Network, res: int = 128, low=FRAME[0], high=FRAME[1], target: int = 4000, drop_floaters: bool = True, width: int = 6, chunk: int = 1 << 16) -> DataFrame:
-    """shape_id, xyz, tri, failed_step, reason, faces_in, faces_out of every cloud that could be encoded."""
+def surfaces(clouds: DataFrame, net: Network, res: int = 128, low=FRAME[0], high=FRAME[1], drop_floaters: bool = True, width: int = 6, chunk: int = 1 << 16) -> DataFrame:
+    """shape_id, xyz, tri of the level set of every cloud that could be encoded."""
     found = shapes.surfaces(fields(decoded(encoded(clouds, net, width).select("shape_id", "code"), net, res, low, high, chunk)), res, low, high)
-    found = shapes.without_floaters(found) if drop_floaters else found
-    return shapes.remeshed(found, target)
+    return shapes.without_floaters(found) if drop_floaters else found
+
+
+def meshes(clouds: DataFrame, net: Network, res: int = 128, low=FRAME[0], high=FRAME[1], target: int = 4000, drop_floaters: bool = True, width: int = 6, chunk: int = 1 << 16) -> DataFrame:
+    """shape_id, xyz, tri, failed_step, reason, faces_in, faces_out, emitted_broken of every cloud that could be encoded; target 0 keeps all faces."""
+    return shapes.remeshed(surfaces(clouds, net, res, low, high, drop_floaters, width, chunk), target)
 
 
 def scored(predicted: DataFrame, truth: DataFrame, n: int = 100_000, res: int = 128, low=FRAME[0], high=FRAME[1]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import levelset, mesh, sampling, simplify
 from ..functions.seeds import stable_seed
+from ..sources.shapes import decode_stl, encode_stl
 
 
 def each(shapes: DataFrame, made: str, kernel: Callable[[dict], dict], drop: tuple[str, ...] = ()) -> DataFrame:
@@ -104,14 +105,24 @@ def without_floaters(meshes: DataFrame, least: float = 0.001) -> DataFrame:
 
 
 def remeshed(meshes: DataFrame, target: int = 4000) -> DataFrame:
-    """xyz, tri of at most target faces, or the input where a step broke it: failed_step, reason, faces_in, faces_out."""
+    """xyz, tri of at most target faces (0: as many as there are), or the input where a step broke it: failed_step, reason, faces_in, faces_out, emitted_broken.
+
+    The last step is the file: the mesh is encoded as STL (single precision) and read again, and what was sound but is
+    not in its file goes back to the input too (step export). emitted_broken tells of the file of what is given out.
+    """
+    sound = lambda f: len(f) > 0 and mesh.is_watertight(f) and mesh.is_consistent(f)
+    written = lambda w, g: decode_stl(encode_stl(w, g))[1]
 
     def kernel(row):
         v, f = unpacked(row)
-        (w, g), failure = simplify.remeshed(v, f, target)
-        return packed(w, g) | {"failed_step": (failure or {}).get("step"), "reason": (failure or {}).get("reason"), "faces_in": len(f), "faces_out": len(g)}
-
-    return each(meshes, "xyz array<double>, tri array<int>, failed_step string, reason string, faces_in int, faces_out int", kernel)
+        (w, g), failure = simplify.remeshed(v, f, target) if target else ((v, f), None)
+        h = written(w, g)
+        if failure is None and sound(g) and not sound(h):
+            w, g, failure = v, f, {"step": "export", "reason": "winding inconsistent" if mesh.is_watertight(h) else "not watertight"}
+            h = written(w, g)
+        return packed(w, g) | {"failed_step": (failure or {}).get("step"), "reason": (failure or {}).get("reason"), "faces_in": len(f), "faces_out": len(g), "emitted_broken": int(not sound(h))}
+
+    return each(meshes, "xyz array<double>, tri array<int>, failed_step string, reason string, faces_in int, faces_out int, emitted_broken int", kernel)
 
 
 def sampled(meshes: DataFrame, n: int = 1000, seed_of: str = "shape_id") -> DataFrame:

@@ -97,7 +97,7 @@ def validated(rows: DataFrame, net: Network, n: int, batches: int, seed: int) ->
 def train(spark: SparkSession, data: str, out: str, steps: int = 1000, batch: int = 32, n: int = 2048, every: int = 100, patience: int = 15, seed: int = 0, size: dict | None = None, base: float = 1e-3, warm: int = 300, augment: bool = True, smoke: int = 0, tasks: int = 64) -> dict:
     """Trains on the prepared tables below data and returns {steps, best, step_of_best}.
 
-    Writes below out: config.json, last_run.txt, log (one row appended at each evaluation), best and last (networks).
+    Writes below out: config.json, last_run.txt, log (one row appended at each evaluation), best and last (networks, with the data's box if it has one).
     The best one changes where the validation loss falls by more than 1e-6, and training ends early after `patience`
     evaluations without that. smoke: train and validate on the first so many shapes by name only.
     """
@@ -110,6 +110,7 @@ def train(spark: SparkSession, data: str, out: str, steps: int = 1000, batch: in
         fit, val = (rows.join(split.where(F.col("side") == s).select("shape_id"), "shape_id", "left_semi") for s in ("train", "val"))
     fit, val = fit.persist(), val.persist()
     net, adam = Network.fresh(size or {}, seed), AdamW()
+    box = spark.read.parquet(f"{data}/bounds").select("low", "high").first() if tables.exists(spark, f"{data}/bounds") else None
     config = {"data": data, "steps": steps, "batch": batch, "n": n, "every": every, "patience": patience, "seed": seed, "size": net.size, "base": base, "warm": warm, "augment": augment, "smoke": smoke}
     tables.write_text(f"{out}/config.json", json.dumps(config, indent=1))
     tables.write_text(f"{out}/last_run.txt", out)
@@ -134,11 +135,11 @@ def train(spark: SparkSession, data: str, out: str, steps: int = 1000, batch: in
                 stale = 0 if value < best - 1e-6 else stale + 1
                 if not stale:
                     best, at = value, step
-                    inference.saved(spark, net, f"{out}/best")
+                    inference.saved(spark, net, f"{out}/best", box)
                 entry = (step, time.time() - began, rate, float(np.mean(seen)), value, right, best)
                 spark.createDataFrame([entry], "step long, wall_s double, lr double, train_bce double, val_bce double, val_acc double, best_val_bce double").coalesce(1).write.mode("append").parquet(f"{out}/log")
                 seen = []
-    inference.saved(spark, net, f"{out}/last")
+    inference.saved(spark, net, f"{out}/last", box)
     fit.unpersist()
     val.unpersist()
     return {"steps": step, "best": best, "step_of_best": at}

@@ -60,13 +60,15 @@ def encode_vtu(nodes: np.ndarray, tets: np.ndarray) -> bytes:
     ]).encode()
 
 
-def listed(spark: SparkSession, root: str, suffix: str) -> DataFrame:
-    """path, stem, folder (of the file below root, '.' at the top), sha1, content of every file below root whose name ends in suffix, in any case."""
+def listed(spark: SparkSession, root: str, suffix: str, limit: int = 0) -> DataFrame:
+    """path, stem, folder (of the file below root, '.' at the top), sha1, content of every file below root whose name ends in suffix, in any case; with limit the first so many by folder and stem."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.lower("path").endswith(suffix))
     bare = F.regexp_replace("path", r"^[a-zA-Z0-9+.-]+:/*", "/")
     below = F.substring(bare, F.length(F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-zA-Z0-9+.-]+:/*", "/")) + 2, F.length(bare))
     folder = F.regexp_extract(below, r"^(.*)/[^/]*$", 1)
-    return files.select("path", F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("stem"), F.when(folder == "", ".").otherwise(folder).alias("folder"), F.sha1("content").alias("sha1"), "content")
+    named = files.select("path", F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("stem"), F.when(folder == "", ".").otherwise(folder).alias("folder"), F.sha1("content").alias("sha1"), "content")
+    # names alone are sorted; contents of the chosen files are read by the join
+    return named.join(named.orderBy("folder", "stem", "path").limit(limit).select("path"), "path", "left_semi") if limit else named
 
 
 def collisions(files: DataFrame) -> DataFrame:
@@ -91,9 +93,9 @@ def _decoded(files: DataFrame, schema: str, decode) -> DataFrame:
     return files.mapInPandas(run, f"path string, stem string, folder string, sha1 string, {schema}")
 
 
-def read_stl(spark: SparkSession, root: str) -> DataFrame:
-    """path, stem, folder, sha1, xyz, tri, error of every .stl file below root."""
-    return _decoded(listed(spark, root, ".stl"), "xyz array<double>, tri array<int>, error string", lambda c: [x.ravel() for x in decode_stl(c)])
+def read_stl(spark: SparkSession, root: str, limit: int = 0) -> DataFrame:
+    """path, stem, folder, sha1, xyz, tri, error of every .stl file below root (the first `limit` by folder and stem, if given)."""
+    return _decoded(listed(spark, root, ".stl", limit), "xyz array<double>, tri array<int>, error string", lambda c: [x.ravel() for x in decode_stl(c)])
 
 
 def _cloud(content: bytes) -> tuple[np.ndarray, int]:

@@ -37,6 +37,12 @@ def read_text(path: str) -> str:
         return f.read().decode()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something stands there, wherever Spark itself would read it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def write_csv(rows: DataFrame, path: str, fields: list[str], order: list[str] = ()) -> None:
     """A folder with one CSV file: the fields in this order under a header, null as blank, flags as 0 and 1, rows in order; columns that are not fields are left out."""
     out = rows.select(*[F.col(c).cast("int").alias(c) if isinstance(rows.schema[c].dataType, BooleanType) else F.col(c) for c in fields])
