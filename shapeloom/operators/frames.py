@@ -126,6 +126,31 @@ def ranked(rows: DataFrame, order: list[Column], name: str = "place", parts: int
     return x.join(offsets, "__part").withColumn(name, place.cast("long")).drop("__part", "__before", *keys)
 
 
+def sums_before(counts: DataFrame, key: str, n: str) -> tuple[DataFrame, int]:
+    """(counts with before, the sum of n over all rows of lesser key, and the whole sum); keys are distinct. Ranges of the key are summed apart, and only one sum a range comes to the driver."""
+    spark = counts.sparkSession
+    x = counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    parts, before, done = {r["__part"]: r["s"] for r in x.groupBy("__part").agg(F.sum(n).alias("s")).collect()}, [], 0
+    for k in sorted(parts):
+        before.append((k, done))
+        done += parts[k]
+    offsets = F.broadcast(spark.createDataFrame(before or [(0, 0)], "__part int, __start long"))
+    w = Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return x.join(offsets, "__part").withColumn("before", F.coalesce(F.sum(n).over(w), F.lit(0)) + F.col("__start")).drop("__part", "__start"), done
+
+
+def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """One row rho, n: the correlation of the ranks of two numbers, ties at their mean rank; rows where one is unknown are left out, and rho is null where one does not vary. Equal pairs are counted first, so only distinct values are ranked and joined."""
+    pairs = rows.select(known(F.col(a)).alias("a"), known(F.col(b)).alias("b")).dropna().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    total, x = 0, pairs
+    for c in ("a", "b"):
+        placed, total = sums_before(pairs.groupBy(c).agg(F.sum("n").alias("k")), c, "k")
+        # mean ranks less their mean
+        x = x.join(placed.select(c, (F.col("before") + (F.col("k") + 1) / 2 - (total + 1) / 2).alias(f"r{c}")), c)
+    dot = lambda p, q: F.sum(F.col("n") * F.col(p) * F.col(q))
+    return x.agg((dot("ra", "rb") / F.nullif(F.sqrt(dot("ra", "ra") * dot("rb", "rb")), F.lit(0.0))).alias("rho"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def evenly_spaced(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
     """n rows evenly spaced over the order, first and last included, with pick (from 0); positions are rounded half to even, and a row may be picked twice."""
     x = ranked(rows, order, "__place")

@@ -65,6 +65,11 @@ def _spaced(spark, sf_dir):
     return frames.evenly_spaced(d, [-F.col("iou"), F.col("stem")], 6).select("pick", "stem", "iou")
 
 
+def _spearman(spark, sf_dir):
+    d = _eval(spark, sf_dir).where("error = ''").groupBy("stem").agg(F.max("pred_faces").alias("f"), F.round(F.avg("iou128"), 9).alias("q"))
+    return frames.spearman(d, "f", "q").select(F.round("rho", 6).alias("rho"), "n")
+
+
 def _batches_of_epoch(spark, sf_dir):
     log = _log(spark, sf_dir)
     d = frames.ranked(log.select("step"), [F.sha1(F.col("step").cast("string")), F.col("step")], "rn")
@@ -141,7 +146,7 @@ def _overflow(spark, sf_dir):
 
 QUERIES = {
     "gates_overall_and_folder": _gates, "gate_verdict_counts": _verdicts, "domain_gap": _gap, "split_within_folder": _split, "split_pinned": _pinned, "pair_full_outer": _pair, "manifest_strict_join": _strict,
-    "evenly_spaced_rank": _spaced, "epoch_batches": _batches_of_epoch, "nearest_neighbour": _nearest, "chamfer_l2": _chamfer, "normal_consistency": _normals, "frame_p99": _p99, "aabb_candidates": _candidates,
+    "evenly_spaced_rank": _spaced, "spearman_faces_iou": _spearman, "epoch_batches": _batches_of_epoch, "nearest_neighbour": _nearest, "chamfer_l2": _chamfer, "normal_consistency": _normals, "frame_p99": _p99, "aabb_candidates": _candidates,
     "vertex_sharing_filter": _disjoint, "running_best": _best, "floater_filter": _floaters, "crossing_counts": _crossings, "train_batches": _train_batches, "padded_bounds": _padded, "bbox_overflow": _overflow,
 }
 

@@ -1,6 +1,7 @@
 """DataFrame operators against brute force, and on empty and odd tables."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -108,3 +109,12 @@ def test_nearest_of_clouds():
     d = ((a[:, None] - b[None]) ** 2).sum(2)
     got, at = mesh.nearest(a, b)
     assert np.allclose(got, d.min(1)) and (at == d.argmin(1)).all()
+
+
+def test_spearman_of_ties_unknown_values_and_constants(spark):
+    rows = [(1.0, 2.0), (1.0, 2.0), (2.0, 2.0), (3.0, 1.0), (4.0, None), (float("nan"), 1.0), (5.0, 0.5), (5.0, 7.0)]
+    got = frames.spearman(spark.createDataFrame(rows, "a double, b double"), "a", "b").first()
+    known = pd.DataFrame(rows, columns=["a", "b"]).dropna()
+    assert got.n == len(known) and abs(got.rho - known.rank().corr().iloc[0, 1]) < 1e-12
+    assert tuple(frames.spearman(spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double"), "a", "b").first()) == (None, 2)
+    assert tuple(frames.spearman(spark.createDataFrame([], "a double, b double"), "a", "b").first()) == (None, 0)
