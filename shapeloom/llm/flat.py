@@ -40,9 +40,8 @@ NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[32, *range(9, 14)]] = False
 
 
-def words(texts: list[str | None], is_word: np.ndarray = _IS_WORD, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the batch, and for each text where its words begin (one entry more at the end)."""
-    parts = [((t or "").lower() if lower else t or "").encode("utf-8", "replace") for t in texts]
+def hashed(parts: list[bytes], is_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the parts, and for each part where its words begin (one entry more at the end)."""
     raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     ends_of_text = np.cumsum(np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))) if parts else np.zeros(0, np.int64)
     flag = is_word[raw]
@@ -57,6 +56,11 @@ def words(texts: list[str | None], is_word: np.ndarray = _IS_WORD, lower: bool =
         return mix((sums[end] - sums[begin]) * _power(_INV, len(raw), "inverse")[begin] + (end - begin).astype(U)), at
 
 
+def words(texts: list[str | None], is_word: np.ndarray = _IS_WORD, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The same of texts, in lower case if asked for."""
+    return hashed([((t or "").lower() if lower else t or "").encode("utf-8", "replace") for t in texts], is_word)
+
+
 def shingles(word: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's n-word shingles and where each text's begin; a text of 1 to n-1 words has one, of all its words."""
     count = np.diff(at)

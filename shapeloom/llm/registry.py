@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, html, jaccard_join, language, licenses, mixing, paragraphs, quality, tokens, warc
+from . import decontamination, html, jaccard_join, language, licenses, mixing, paragraphs, ppm, quality, search, tokens, vectors, warc
 
 
 def queries() -> dict:
-    made = [licenses.op1_license_scan, decontamination.op2_benchmark_decontamination, html.op3_html_extraction, jaccard_join.op4_ngram_jaccard_join, quality.op5_quality_rules, tokens.op6_token_counts, mixing.op7_mixing, warc.op8_warc, paragraphs.op9_substring_dedup, language.op10_language_id]
+    made = [licenses.op1_license_scan, decontamination.op2_benchmark_decontamination, html.op3_html_extraction, jaccard_join.op4_ngram_jaccard_join, quality.op5_quality_rules, tokens.op6_token_counts, mixing.op7_mixing, warc.op8_warc, paragraphs.op9_substring_dedup, language.op10_language_id, ppm.op11_lm_scoring, vectors.op12_vector_codes, search.op13_ranked_search]
     return {f.__name__: f for f in made}
 
 
@@ -35,4 +35,4 @@ FROM p JOIN m USING (hex)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op7_mixing": _MIX, "op8_warc": _WARC}
+    return {"op1_license_scan": licenses.oracle(), "op7_mixing": _MIX, "op8_warc": _WARC, "op12_vector_codes": vectors.oracle(), "op13_ranked_search": search.ORACLE}
