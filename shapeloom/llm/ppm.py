@@ -5,7 +5,7 @@ escapes (method C: as often as the context has different symbols) to the next sh
 context are excluded. All counts follow from those of the longest n-grams, which are gathered from every text. The
 trie is dealt out by the last bytes of its contexts, so that a task has whole subtrees and works out the log
 probability of each of its n-grams; the upper levels have a fixed number of nodes and are broadcast. A text's score is
-then the sum over its n-grams.
+then the sum over its n-grams: the most frequent ones, a fixed number, are looked up in place, the rest by a join.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,12 +35,11 @@ END = 0
 
 @dataclass(frozen=True)
 class Trie:
-    """order: bytes of the longest context, 3 to 5. broadcast_rows: n-grams and words up to which their values are broadcast (24 bytes each); beyond, they are joined to slices of the texts. slice_bytes: of texts in a slice. held: n-grams that a task merges before it passes them on."""
+    """order: bytes of the longest context, 3 to 5. head: most frequent n-grams and words, whose values are broadcast (24 bytes each); those of the others, which no text shares with many, are joined. held: n-grams that a task merges before it passes them on."""
 
     order: int = 5
-    broadcast_rows: int = 4_000_000
-    slice_bytes: int = 32 << 20
-    held: int = 2_000_000
+    head: int = 2_000_000
+    held: int = 1_000_000
 
     def __post_init__(self):
         if not 3 <= self.order <= 5:
@@ -71,23 +71,24 @@ def _tokens(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat.hashed(parts, flat.NOT_SPACE)
 
 
-def _merged(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _merged(key: np.ndarray, *n: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.argsort(key)
-    key, n = key[order], n[order]
+    key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[first], np.add.reduceat(n, first) if len(first) else n[:0]
+    return key[first], *(np.add.reduceat(x[order], first) if len(first) else x[:0] for x in n)
 
 
-def _distinct(key: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different keys, and how often they stand where learn is set."""
-    learnt = np.sort(key[learn])
-    key = np.sort(key)
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-    return key, np.searchsorted(learnt, key, "right") - np.searchsorted(learnt, key, "left")
+def _distinct(key: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys, how often they stand where learn is set, and how often in all."""
+    learnt, key = np.sort(key[learn]), np.sort(key)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    every = np.diff(np.append(first, len(key)))
+    key = key[first]
+    return key, np.searchsorted(learnt, key, "right") - np.searchsorted(learnt, key, "left"), every
 
 
 def counts(docs: DataFrame, learn: Column, p: Trie = Trie()) -> DataFrame:
-    """kind, key, n: every n-gram (GRAM) and word (WORD) of docs(text), and how often rows with `learn` have it; 0 where only others do."""
+    """kind, key, n, m: every n-gram (GRAM) and word (WORD) of docs(text), how often rows with `learn` have it, and how often all have."""
     bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,26 +100,26 @@ def counts(docs: DataFrame, learn: Column, p: Trie = Trie()) -> DataFrame:
                 held[kind] = [x]
                 if len(x[0]) > least:
                     held[kind] = []
-                    for lo in range(0, len(x[0]), 1 << 19):
-                        k, n = x[0][lo : lo + (1 << 19)], x[1][lo : lo + (1 << 19)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n)], names=["kind", "key", "n"])
+                    for lo in range(0, len(x[0]), 1 << 18):
+                        k, n, m = (c[lo : lo + (1 << 18)] for c in x)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n), pa.array(m)], names=["kind", "key", "n", "m"])
 
         for whole in batches:
-            for b in flat.slices(whole, "text", 4 << 20):
+            for b in flat.slices(whole, "text", 2 << 20):
                 parts, flag = _parts(b.column("text").to_pylist()), b.column("learn").to_numpy(zero_copy_only=False).astype(bool)
                 key, at = grams(parts, p.order)
                 held[GRAM].append(_distinct(key, np.repeat(flag, np.diff(at))))
                 key, at = _tokens(parts)
                 held[WORD].append(_distinct(key, np.repeat(flag, np.diff(at))))
-                held[WORD].append((np.array([END], U), np.array([flag.sum()], np.int64)))
+                held[WORD].append((np.array([END], U), np.array([flag.sum()], np.int64), np.array([len(flag)], np.int64)))
                 for kind in held:
-                    if sum(len(k) for k, _ in held[kind]) > 2 * p.held:
+                    if sum(len(x[0]) for x in held[kind]) > 2 * p.held:
                         yield from out(kind, p.held)
         for kind in held:
             yield from out(kind, 0)
 
-    rows = docs.select("text", F.coalesce(learn, F.lit(False)).alias("learn")).mapInArrow(run, "kind int, key bigint, n bigint")
-    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    rows = docs.select("text", F.coalesce(learn, F.lit(False)).alias("learn")).mapInArrow(run, "kind int, key bigint, n bigint, m bigint")
+    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 class Upper:
@@ -195,9 +196,9 @@ def log_probabilities(key: np.ndarray, n: np.ndarray, upper: Upper, order: int)
 
 
 def values(counted: DataFrame, p: Trie = Trie()) -> DataFrame:
-    """kind, key, value: the log10 probability of each n-gram's last byte; of each word how often it was learned."""
+    """kind, key, m, value: the log10 probability of each n-gram's last byte; of each word how often it was learned."""
     spark, levels = counted.sparkSession, p.order - 2
-    found = counted.where(F.col("kind") == GRAM).select("key", "n")
+    found = counted.where(F.col("kind") == GRAM).select("key", "n", "m")
     top = F.shiftleft(F.shiftright("key", 8 * (p.order + 2 - levels)), 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(0xFF)))
     # at most 2 ** 24 rows at order 5, one for each context of two bytes and its next byte
     rows = found.where("n > 0").groupBy(top.alias("key")).agg(F.sum("n").alias("n")).toPandas()
@@ -205,15 +206,15 @@ def values(counted: DataFrame, p: Trie = Trie()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in flat.runs(batches, "root"):
-            key, n = (t.column(c).combine_chunks().to_numpy() for c in ("key", "n"))
+            key, n, m = (t.column(c).combine_chunks().to_numpy() for c in ("key", "n", "m"))
             v = log_probabilities(key.view(U), n, upper.value, p.order)
-            for lo in range(0, len(key), 1 << 19):
-                yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + (1 << 19)]), pa.array(v[lo : lo + (1 << 19)])], names=["key", "value"])
+            for lo in range(0, len(key), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 18)]) for x in (key, m, v)], names=["key", "m", "value"])
 
     # a root's subtree has two levels and its symbols: at most 2 ** 24 rows
     roots = found.withColumn("root", F.shiftright("key", 8 * (p.order + 1 - levels))).repartition("root").sortWithinPartitions("root", "key")
-    out = roots.mapInArrow(run, "key bigint, value double").select(F.lit(GRAM).alias("kind"), "key", "value")
-    return out.unionByName(counted.where(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value")))
+    out = roots.mapInArrow(run, "key bigint, m bigint, value double").select(F.lit(GRAM).alias("kind"), "key", "m", "value")
+    return out.unionByName(counted.where(F.col("kind") == WORD).select("kind", "key", "m", F.col("n").cast("double").alias("value")))
 
 
 class Lookup:
@@ -232,115 +233,116 @@ class Lookup:
         with np.errstate(over="ignore"):
             return ((key * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
 
-    def of(self, key: np.ndarray) -> np.ndarray:
-        """0 for unknown keys."""
+    def of(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, 0 for unknown keys, and which are known."""
         at = self._slot(key)
-        out = self.value[at]
         left = np.flatnonzero((self.key[at] != key) & self.full[at])
         while len(left):
             at[left] += 1
-            out[left] = self.value[at[left]]
             left = left[(self.key[at[left]] != key[left]) & self.full[at[left]]]
-        return out
+        return self.value[at], self.full[at]
 
 
 _made: dict[str, tuple[Lookup, Lookup]] = {}
 
 
-def _columns(texts: list[str | None], gram: Lookup, word: Lookup, learned: int, different: int, order: int) -> list[pa.Array]:
-    parts = _parts(texts)
-    key, at = grams(parts, order)
-    score = np.add.reduceat(gram.of(key), at[:-1]) if len(parts) else np.zeros(0)
-    key, at = _tokens(parts)
-    of = np.repeat(np.arange(len(parts)), np.diff(at))
-    c = word.of(key)
-    end = float(word.of(np.array([END], U))[0])
-    logs = lambda x: np.log10((x + 1) / (learned + (different + 1)))
-    base = np.bincount(of, logs(c), len(parts)) + logs(end)
-    known = np.bincount(of[c > 0], minlength=len(parts)) + (end > 0)
-    return [pa.array(np.diff(at) + 1), pa.array(known.astype(np.int64)), pa.array(np.full(len(parts), learned, np.int64)), pa.array(base), pa.array(score)]
-
-
 _OUT = {"n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"}
 
 
-def scored(docs: DataFrame, learn: Column | None = None, trained: DataFrame | None = None, p: Trie = Trie()) -> DataFrame:
-    """docs with n_tokens, n_known, train_tokens, base_score and score; columns of these names are replaced.
+def _least(counted: DataFrame, most: int) -> int:
+    """The least m of which, with all above, there are at most `most` keys."""
+    rows = counted.groupBy(F.least("m", F.lit(1 << 16)).alias("m")).count().collect()
+    held = 0
+    for m, n in sorted(((r["m"], r["count"]) for r in rows), reverse=True):
+        if held + n > most:
+            return m + 1
+        held += n
+    return 0
 
-    learn: which rows of docs teach (none if it is missing); trained: counts() of another corpus, added to theirs.
-    score is the log10 probability of the whole text, bytes and end, in lower case (A-Z), base_score that of its words
-    and its end by add-one word counts. Null and empty texts have only an end. Where nothing was learned all bytes
-    are equally likely. Repeated rows are learned as often as they stand there and get equal scores.
-    """
-    spark = docs.sparkSession
-    bounded(spark)
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in _OUT])
-    counted = counts(docs, F.lit(False) if learn is None else learn, p)
-    if trained is not None:
-        counted = counted.unionByName(trained.select("kind", "key", "n")).groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counted = written(counted, "counts")
-    table = written(values(counted, p), "values")
-    sums = counted.where((F.col("kind") == WORD) & (F.col("n") > 0)).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in _OUT.items())])
-    few = table.count() <= p.broadcast_rows
-    return (_by_broadcast if few else _by_slices)(docs, table, sums[0], sums[1], schema, p)
 
+def _first_sums(docs: DataFrame, head: DataFrame, learned: int, different: int, p: Trie) -> DataFrame:
+    """docs with a number for each row, the sums over what the head has, and the keys that it has not."""
 
-def _by_broadcast(docs: DataFrame, table: DataFrame, learned: int, different: int, schema: T.StructType, p: Trie) -> DataFrame:
     def packed(batches):
         for b in batches:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array([b.column("kind")[0].as_py()], pa.int32()), *(pa.array([b.column(c).to_numpy().tobytes()]) for c in ("key", "value"))], names=["kind", "key", "value"])
 
-    sent = {}
+    spark, sent = docs.sparkSession, {}
     for kind in (GRAM, WORD):
-        rows = table.where(F.col("kind") == kind).mapInArrow(packed, "kind int, key binary, value binary").collect()
+        rows = head.where(F.col("kind") == kind).mapInArrow(packed, "kind int, key binary, value binary").collect()
         sent[kind] = np.frombuffer(b"".join(r.key for r in rows), np.int64).view(U), np.frombuffer(b"".join(r.value for r in rows), np.float64)
-    known = docs.sparkSession.sparkContext.broadcast(sent)
-    name = f"{docs.sparkSession.sparkContext.applicationId}-{known._jbroadcast.id()}"
+    known = spark.sparkContext.broadcast(sent)
+    name = f"{spark.sparkContext.applicationId}-{known._jbroadcast.id()}"
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _made:  # once for each worker
             _made.clear()
             _made[name] = tuple(Lookup(*known.value[k]) for k in (GRAM, WORD))
+        gram, word = _made[name]
+        row = TaskContext.get().partitionId() << 36
         for whole in batches:
             for b in flat.slices(whole, "text"):
-                yield pa.RecordBatch.from_arrays([*b.columns, *_columns(b.column("text").to_pylist(), *_made[name], learned, different, p.order)], names=[*b.schema.names, *_OUT])
+                parts = _parts(b.column("text").to_pylist())
+                key, at = grams(parts, p.order)
+                value, have = gram.of(key)
+                score = np.add.reduceat(value, at[:-1]) if len(parts) else np.zeros(0)
+                rest = [_lists(key, have, at)]
+                key, at = _tokens(parts)
+                key, at = np.insert(key, at[1:], U(END)), at + np.arange(len(at))
+                value, have = word.of(key)
+                rest.append(_lists(key, have, at))
+                of = np.repeat(np.arange(len(parts)), np.diff(at))
+                base = np.bincount(of[have], np.log10((value[have] + 1) / (learned + (different + 1))), len(parts)).astype(np.float64)
+                n_known = np.bincount(of[value > 0], minlength=len(parts))
+                own = np.arange(row, row + len(parts))
+                row += len(parts)
+                yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, (own, np.diff(at), n_known, base, score)), *rest], names=[*b.schema.names, "__row", "n_tokens", "__known", "__base", "__score", "__grams", "__words"])
 
-    return docs.mapInArrow(run, schema)
+    added = {"__row": "bigint", "n_tokens": "bigint", "__known": "bigint", "__base": "double", "__score": "double", "__grams": "array<bigint>", "__words": "array<bigint>"}
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in added.items())]))
 
 
-def _by_slices(docs: DataFrame, table: DataFrame, learned: int, different: int, schema: T.StructType, p: Trie) -> DataFrame:
-    """The texts are dealt into slices of bounded bytes by a hash of the row; each slice meets the values of its own n-grams and words only."""
-    n = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // p.slice_bytes
-    # rows that are equal in all columns go to one slice; their texts' bytes are what it must hold
-    dealt = written(docs.withColumn("__slice", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(n))).repartition(n, "__slice"), "slices")
+def _lists(key: np.ndarray, have: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    """Each text's keys that are not known."""
+    before = np.concatenate([[0], np.cumsum(~have)])
+    return pa.ListArray.from_arrays(pa.array(before[at].astype(np.int32)), pa.array(key[~have].view(np.int64)))
 
-    def keys(batches):
-        for whole in batches:
-            for b in flat.slices(whole, "text", 4 << 20):
-                at = b.column("__slice").to_numpy()
-                for s in np.unique(at):
-                    parts = _parts([t for t, x in zip(b.column("text").to_pylist(), at) if x == s])
-                    for kind, (key, _) in ((GRAM, grams(parts, p.order)), (WORD, _tokens(parts))):
-                        key = np.unique(np.append(key, U(END)) if kind == WORD else key)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), s)), pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64))], names=["__slice", "kind", "key"])
-
-    wanted = dealt.select("__slice", "text").mapInArrow(keys, "__slice bigint, kind int, key bigint").distinct()
-    own = wanted.join(table, ["kind", "key"])
-    names = [f.name for f in schema.fields if f.name not in _OUT]
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind = right.column("kind").to_numpy()
-        key, value = right.column("key").to_numpy().view(U), right.column("value").to_numpy()
-        looked = [Lookup(key[kind == k], value[kind == k]) for k in (GRAM, WORD)]
-        out = []
-        for whole in left.select(names).to_batches():
-            for b in flat.slices(whole, "text"):
-                out.append(pa.RecordBatch.from_arrays([*b.columns, *_columns(b.column("text").to_pylist(), *looked, learned, different, p.order)], names=[*names, *_OUT]))
-        return pa.Table.from_batches(out)
 
-    return dealt.groupBy("__slice").cogroup(own.groupBy("__slice")).applyInArrow(run, schema)
+def scored(docs: DataFrame, learn: Column | None = None, trained: DataFrame | None = None, p: Trie = Trie()) -> DataFrame:
+    """docs with n_tokens, n_known, train_tokens, base_score and score; columns of these names are replaced.
+
+    learn: which rows of docs teach (none if it is missing); trained: counts() of another corpus, added to theirs.
+    score is the log10 probability of the whole text, bytes and end, in lower case (A-Z), base_score that of its words
+    and its end by add-one word counts. Null and empty texts have only an end. Where nothing was learned all bytes
+    are equally likely. Repeated rows are learned as often as they stand there and get equal scores.
+    """
+    spark = docs.sparkSession
+    bounded(spark)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in _OUT])
+    counted = counts(docs, F.lit(False) if learn is None else learn, p)
+    if trained is not None:
+        counted = counted.unionByName(trained.select("kind", "key", "n", F.lit(0).cast("long").alias("m"))).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    counted = written(counted, "counts")
+    sums = counted.where((F.col("kind") == WORD) & (F.col("n") > 0)).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    learned, different = sums[0], sums[1]
+    table = written(values(counted, p), "values")
+    least = _least(counted.where("m > 0"), p.head)
+    known = written(_first_sums(docs, table.where(F.col("m") >= max(least, 1)), learned, different, p), "sums")
+    out = known
+    if least:
+        # a key of the rest stands in fewer than `least` places, so none is hot
+        rest = known.select("__row", F.lit(GRAM).alias("kind"), F.explode("__grams").alias("key")).unionByName(known.select("__row", F.lit(WORD).alias("kind"), F.explode("__words").alias("key")))
+        rest = rest.join(table.where(F.col("m") < least).select("kind", "key", "value"), ["kind", "key"])
+        word = F.col("kind") == WORD
+        log = F.log10((F.col("value") + 1) / F.lit(float(learned + different + 1)))
+        more = rest.groupBy("__row").agg(F.sum(F.when(~word, F.col("value"))).alias("__s"), F.sum(F.when(word, log)).alias("__b"), F.sum((word & (F.col("value") > 0)).cast("long")).alias("__k"))
+        out = known.join(more, "__row", "left")
+        more = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("__s", "__b", "__k")}
+    else:
+        more = {c: F.lit(0) for c in ("__s", "__b", "__k")}
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*names, "n_tokens", (F.col("__known") + more["__k"]).cast("long").alias("n_known"), F.lit(learned).cast("long").alias("train_tokens"), (F.col("__base") + more["__b"]).alias("base_score"), (F.col("__score") + more["__s"]).alias("score"))
 
 
 def adaptive(text: str | None, order: int = 5) -> float:

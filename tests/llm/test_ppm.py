@@ -46,10 +46,10 @@ def tokens(text):
 
 
 @pytest.mark.parametrize("order", [3, 5])
-@pytest.mark.parametrize("most", [10**6, 0])
+@pytest.mark.parametrize("most", [10**6, 20, 0])
 def test_scores_equal_tries_made_by_hand(spark, order, most):
     docs = spark.createDataFrame([(i, t, i % 3 != 1, "clash") for i, t in enumerate(TEXTS)], "doc_id long, text string, learn boolean, score string").repartition(3)
-    got = {r.doc_id: r for r in ppm.scored(docs, F.col("learn"), p=ppm.Trie(order=order, broadcast_rows=most, slice_bytes=64)).collect()}
+    got = {r.doc_id: r for r in ppm.scored(docs, F.col("learn"), p=ppm.Trie(order=order, head=most)).collect()}
     taught = [t or "" for i, t in enumerate(TEXTS) if i % 3 != 1]
     assert len(got) == len(TEXTS)
     for i, t in enumerate(TEXTS):
