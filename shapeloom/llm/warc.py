@@ -36,6 +36,16 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri)
 
 
+def _manifests(store: fs.FileSystem, root: str) -> dict[str, list[str]]:
+    """The lists of all commits, and the files each names."""
+    out = {}
+    for i in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if i.type == fs.FileType.File and (i.base_name == "MANIFEST" or i.base_name.startswith("MANIFEST-")):
+            with store.open_input_stream(i.path, compression=None) as f:
+                out[i.base_name] = f.read().decode().split()
+    return out
+
+
 def _one_line(x: str) -> str:
     return x.replace("\r", "%0D").replace("\n", "%0A")
 
@@ -65,10 +75,10 @@ class Part(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task writes files of its own names; the driver lists those of the tasks that were committed in MANIFEST."""
+    """Each task writes files of its own names. Every commit lists those of its tasks in a MANIFEST of its own, so a path holds what all commits appended; one that overwrites removes the earlier lists, and then their files."""
 
-    def __init__(self, path: str, max_bytes: int):
-        self.path, self.max_bytes = path, max_bytes
+    def __init__(self, path: str, max_bytes: int, overwrite: bool = False):
+        self.path, self.max_bytes, self.overwrite = path, max_bytes, overwrite
 
     def write(self, batches):
         files, out, size = [], None, 0
@@ -93,8 +103,14 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         store, root = _open(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/MANIFEST", compression=None) as f:
+        before = _manifests(store, root) if self.overwrite else {}
+        with store.open_output_stream(f"{root}/MANIFEST-{uuid.uuid4().hex}", compression=None) as f:
             f.write("".join(f"{x}\n" for m in messages if m for x in m.files).encode())
+        for name in before:
+            store.delete_file(f"{root}/{name}")
+        for names in before.values():
+            for x in names:
+                store.delete_file(f"{root}/{x}")
 
     def abort(self, messages):
         store, root = _open(self.path)
@@ -128,38 +144,41 @@ class Bytes:
         self.length = struct.unpack("<I", self.raw[16:20])[0] if self.raw[3] & 4 and self.raw[12:14] == b"LX" else None
         self.z = zlib.decompressobj(31)
 
-    def _more(self, most: int = 1 << 16) -> bool:
-        """Fetches some bytes; whether there were any."""
+    def _more(self, most: int = 1 << 16) -> bytes:
+        """Some more bytes of the record; none at its end."""
         if self.plain:
-            got = self.f.read(most)
-        else:
-            got = b""
-            while not got and not self.z.eof:
-                fed = self.z.unconsumed_tail or self.raw or self.f.read(_HEAD)
-                self.raw = b""
-                if not fed:
-                    raise ValueError(f"the record at {self.at} is cut off")
-                got = self.z.decompress(fed, most)
-        self.held += got
-        return bool(got)
+            return self.f.read(most)
+        got = b""
+        while not got and not self.z.eof:
+            fed = self.z.unconsumed_tail or self.raw or self.f.read(_HEAD)
+            self.raw = b""
+            if not fed:
+                raise ValueError(f"the record at {self.at} is cut off")
+            got = self.z.decompress(fed, most)
+        return got
 
     def until(self, mark: bytes) -> bytes | None:
         """What comes before the mark, which is passed; None at the end of the file."""
         begin = 0
         while (k := self.held.find(mark, begin)) < 0:
             begin = max(0, len(self.held) - len(mark) + 1)
-            if not self._more(4096):
+            got = self._more(4096)
+            if not got:
                 return None
+            self.held += got
         out, self.held = self.held[:k], self.held[k + len(mark) :]
         self.passed += k + len(mark)
         return out
 
     def take(self, n: int) -> bytes:
-        while len(self.held) < n and self._more(max(1 << 16, n - len(self.held))):
-            pass
-        if len(self.held) < n:
+        pieces, have = [self.held], len(self.held)
+        while have < n and (got := self._more(max(1 << 16, n - have))):
+            pieces.append(got)
+            have += len(got)
+        if have < n:
             raise ValueError(f"the record at {self.at} is cut off")
-        out, self.held = self.held[:n], self.held[n:]
+        every = b"".join(pieces)
+        out, self.held = every[:n], every[n:]
         self.passed += n
         return out
 
@@ -174,8 +193,8 @@ class Bytes:
             self.at += self.length
         else:
             while not self.z.eof:
-                self.held = b""
                 self._more()
+            self.held = b""
             self.at = self.f.tell() - len(self.z.unused_data)
         if self.at < self.size:
             self.open()
@@ -184,7 +203,7 @@ class Bytes:
 class WarcReader(DataSourceReader):
     """Options: path; payload (default true); verify (default false): a payload that does not have its digest is an error; partition_bytes: small files are read together up to this size.
 
-    Below path, the files that a writer listed in MANIFEST are read, or all .warc and .warc.gz files where there is none.
+    Below path, the files that writers listed in their MANIFESTs are read, or all .warc and .warc.gz files where there is none.
     """
 
     def __init__(self, path: str, payload: bool, partition_bytes: int, verify: bool = False):
@@ -205,10 +224,9 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         store, root = _open(self.path)
-        if store.get_file_info(f"{root}/MANIFEST").type == fs.FileType.File:
-            with store.open_input_stream(f"{root}/MANIFEST", compression=None) as f:
-                names = f.read().decode().split()
-        else:
+        listed = _manifests(store, root)
+        names = sorted(x for names in listed.values() for x in names)
+        if not listed:
             every = store.get_file_info(fs.FileSelector(root, recursive=True))
             names = sorted(i.path[len(root) :].lstrip("/") for i in every if i.type == fs.FileType.File and i.path.lower().endswith((".warc", ".warc.gz")))
         out, size = [], 0
@@ -277,7 +295,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], self.options.get("payload", "true").lower() == "true", int(self.options.get("partition_bytes", 64 << 20)), self.options.get("verify", "false").lower() == "true")
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options["path"], int(self.options.get("max_bytes", 64 << 20)))
+        return WarcWriter(self.options["path"], int(self.options.get("max_bytes", 64 << 20)), overwrite)
 
 
 def base32(hex_: Column) -> Column:

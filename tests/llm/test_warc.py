@@ -75,3 +75,40 @@ def test_plan_of_revisits(spark, most):
         last[t] = max(k, last.get(t, -1))
     want = {(f"<urn:page:{k}>", "response" if last[t] == k else "revisit", None if last[t] == k else f"<urn:page:{last[t]}>") for k, _, t in PAGES} | {(None, "revisit", f"<urn:page:{last[PAGES[0][2]]}>")}
     assert {(r.record_id, r.record_type, r.refers_to) for r in got} == want
+
+
+def test_appended_archives_hold_all_commits(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    path = f"file://{tmp_path}/many"
+    for lo, hi in ((0, 8), (8, 9), (9, 20)):
+        warc.archive(pages.where(f"page_id >= {lo} and page_id < {hi}"), path)
+    got = spark.read.format("warc").load(path)
+    assert sorted(r.target_uri for r in got.select("target_uri").collect()) == sorted(u for _, u, _ in PAGES)
+    before = len(list((tmp_path / "many").glob("*.gz")))
+    warc.planned(pages.where("page_id < 3")).write.format("warc").mode("overwrite").save(path)
+    assert spark.read.format("warc").load(path).count() == 3 and len(list((tmp_path / "many").glob("*.gz"))) < before and len(list((tmp_path / "many").glob("MANIFEST*"))) == 1
+
+
+def test_a_list_of_an_earlier_writer(tmp_path):
+    (tmp_path / "a.warc").write_bytes(foreign(b"a"))
+    (tmp_path / "b.warc").write_bytes(foreign(b"b"))
+    (tmp_path / "MANIFEST").write_text("a.warc\n")
+    assert [x["payload"] for x in rows(tmp_path)] == [b"a"]
+    (tmp_path / "MANIFEST-1").write_text("b.warc\n")
+    assert [x["payload"] for x in rows(tmp_path)] == [b"a", b"b"]
+
+
+def test_large_payloads_take_linear_time(tmp_path):
+    import os
+    import time
+
+    took = []
+    for mb in (32, 256):
+        body = os.urandom(1 << 20) * mb  # beyond the window of deflate: not compressed
+        (tmp_path / str(mb)).mkdir()
+        (tmp_path / str(mb) / "x.warc.gz").write_bytes(warc.member(warc.record("response", "r", "u", digest(body), body, None, len(body))))
+        began = time.time()
+        (got,) = rows(tmp_path / str(mb), verify=True)
+        took.append(time.time() - began)
+        assert got["payload"] == body
+    assert took[1] < 20 and took[1] < 24 * max(took[0], 0.1)
