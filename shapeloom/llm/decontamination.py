@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced seeds.
 
 A mask of ones and zeros is laid over the words from each position; the words under its ones are hashed, so a hit
-survives substitutions under its zeros. Around hits the texts are compared word by word along the same diagonal. A
+survives substitutions under its zeros. Around hits the texts are compared word by word along the same diagonal, and
+the run with the most equal words counts. A
 benchmark of bounded bytes is indexed and broadcast; beyond, the hashes of both sides are joined by shuffle.
 """
 
@@ -31,7 +32,6 @@ class Seeds:
     short: int = 40
     min_words: int = 12
     min_share: float = 0.8
-    drop: int = 6
     block_bytes: int = 16 << 20
     bits: int = 27
     broadcast_keys: int = 1_000_000
@@ -85,30 +85,21 @@ def _starts(h: np.ndarray, ok: np.ndarray) -> np.ndarray:
 
 
 def overlap(word: np.ndarray, begin: int, end: int, item: np.ndarray, diagonal: int, seeds: Seeds) -> tuple[int, int, int] | None:
-    """(equal words, words compared, first word in the text) of the best-scoring run on a diagonal (place in the text less place in the item): equal words count 1, others -2, and a run ends once it has lost `drop`."""
+    """(equal words, words compared, first word in the text) on a diagonal (place in the text less place in the item): of all runs with min_share of equal words or more, one with the most of them; of these the shortest, then the first. None if it has fewer than the item needs."""
     low, high = max(begin, diagonal), min(end, diagonal + len(item))
     equal = word[low:high] == item[low - diagonal : high - diagonal]
-    score = np.where(equal, 1, -2)
-    best, found, k = 0, None, 0
-    total = np.cumsum(score)
-    base = 0
-    # runs between the places where a run has lost `drop` since its best
-    while k < len(total):
-        part = total[k:] - base
-        fell = np.flatnonzero(np.maximum.accumulate(np.maximum(part, 0)) - part >= seeds.drop)
-        stop = k + (int(fell[0]) + 1 if len(fell) else len(part))
-        part = part[: stop - k]
-        right = int(np.argmax(part))
-        left = int(np.argmin(np.concatenate([[0], part[:right]]))) if right else 0
-        gain = int(part[right] - (part[left - 1] if left else 0))
-        if gain > best:
-            best, found = gain, (k + left, k + right + 1)
-        base, k = int(total[stop - 1]), stop
-    if found is None:
+    count = np.concatenate([[0], np.cumsum(equal)])
+    if count[-1] < seeds.need(np.array([len(item)]))[0]:
         return None
-    a, b = found
-    n, m = int(equal[a:b].sum()), b - a
-    return (n, m, int(low + a - begin)) if n >= seeds.need(np.array([len(item)]))[0] and n >= seeds.min_share * m else None
+    # a run from a to b has its share if surplus[b] >= surplus[a]; the first such a has the most equal words
+    surplus = count * 1_000_000 - np.arange(len(count)) * round(seeds.min_share * 1_000_000)
+    b = np.flatnonzero(equal) + 1
+    a = np.searchsorted(-np.minimum.accumulate(surplus), -surplus[b])
+    at = np.flatnonzero(equal)
+    a = at[np.searchsorted(at, a)]  # to the next equal word
+    n, m = count[b] - count[a], b - a
+    k = np.lexsort((a, m, -n))[0]
+    return (int(n[k]), int(m[k]), int(low + a[k] - begin)) if n[k] >= seeds.need(np.array([len(item)]))[0] else None
 
 
 def best(word: np.ndarray, begin: int, end: int, item: np.ndarray, diagonals, seeds: Seeds) -> tuple[int, int, int] | None:
@@ -146,13 +137,39 @@ class Index:
         lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
         keep = hi > lo
         ok, lo, n = ok[keep], lo[keep], (hi - lo)[keep]
+        for begin, end in self._portions(n):
+            k = n[begin:end]
+            yield np.repeat(ok[begin:end], k), places[np.repeat(lo[begin:end], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
+
+    def _portions(self, n: np.ndarray) -> Iterator[tuple[int, int]]:
         begin = 0
         while begin < len(n):
             end = max(begin + 1, int(np.searchsorted(np.cumsum(n[begin:]), self.PAIRS)) + begin)
-            k = n[begin:end]
-            yield np.repeat(ok[begin:end], k), places[np.repeat(lo[begin:end], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
+            yield begin, end
             begin = end
 
+    def _run_pairs(self, h: np.ndarray, ok: np.ndarray, first: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs for the later places of runs of one hash in a text. Where the whole item lies inside such a run of one word, all diagonals are equal, and the run's first place has them; so only those near its ends are looked at."""
+        begin = np.flatnonzero(first)
+        size = np.diff(np.append(begin, len(h)))
+        begin, size = begin[size > 1], size[size > 1]
+        lo, hi = np.searchsorted(self.first_hash, h[begin], "left"), np.searchsorted(self.first_hash, h[begin], "right")
+        for x, y in self._portions(hi - lo):
+            k = (hi - lo)[x:y]
+            place = self.first_place[np.repeat(lo[x:y], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
+            start, n = np.repeat(ok[begin[x:y]], k), np.repeat(size[x:y], k)
+            item = np.searchsorted(self.at, place, "right") - 1
+            inside = place - self.at[item]
+            last = start + n - 1
+            # from start + length - 1 to last all words are surely one, whatever stands under the mask's zeros
+            near = np.minimum(last, start + inside + length)  # the item begins before them, or with them
+            far = np.maximum(near + 1, last + 2 - (self.at[item + 1] - self.at[item]) + inside)  # it ends after them
+            for one, other in ((start + 1, near + 1), (far, last + 1)):
+                many = np.maximum(other - one, 0)
+                for u, v in self._portions(many):
+                    m = many[u:v]
+                    yield np.repeat(one[u:v], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m), np.repeat(place[u:v], m)
+
     def candidates(self, word: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Rows (text, item, diagonal within the text) on which a mask agrees and enough words are equal."""
         found = [np.zeros((0, 3), np.int64)]
@@ -161,7 +178,7 @@ class Index:
             maybe = self.bits[(h >> U(42)).astype(np.int64)]
             h, ok = h[maybe], ok[maybe]
             first = _starts(h, ok)
-            for pairs in (self._pairs(h[first], ok[first], self.hash, self.place), self._pairs(h[~first], ok[~first], self.first_hash, self.first_place)):
+            for pairs in (self._pairs(h[first], ok[first], self.hash, self.place), self._run_pairs(h, ok, first, len(mask))):
                 for x, place in pairs:
                     doc, item = np.searchsorted(at, x, "right") - 1, np.searchsorted(self.at, place, "right") - 1
                     found.append(np.unique(np.stack([doc, item, (x - at[doc]) - (place - self.at[item])], 1), axis=0))

@@ -70,6 +70,70 @@ def test_ids_of_any_type(spark, kind, ids):
         assert {(x.doc_id, x.item_id) for x in d.overlaps(docs, bench, d.Seeds(**how)).collect()} == {(str(k), i) for k, i in enumerate(ids)}
 
 
+def runs_by_hand(text: list[str], item: list[str]) -> int:
+    """Most equal words of any run on any diagonal of which four fifths are equal, or 0 where the item needs more."""
+    best = 0
+    for d in range(-len(item) + 1, len(text)):
+        equal = [0 <= d + k < len(text) and text[d + k] == item[k] for k in range(len(item))]
+        for a in range(len(item)):
+            n = 0
+            for b in range(a, len(item)):
+                n += equal[b]
+                if 5 * n >= 4 * (b + 1 - a) and 0 <= d + a and d + b < len(text):
+                    best = max(best, n)
+    return best if best >= min(12, -(-4 * len(item) // 5)) else 0
+
+
+@pytest.mark.parametrize("size", range(2, 21))
+def test_every_pattern_of_substitutions_is_reported(size):
+    """All patterns (300 of them, where there are more) that leave four fifths of an item, each in a text of its own."""
+    r = random.Random(size)
+    item = [f"i{k}" for k in range(size)]
+    most = size - -(-4 * size // 5)
+    patterns = list(itertools.combinations(range(size), most))
+    patterns = r.sample(patterns, 300) if len(patterns) > 300 else patterns
+    index = d.Index(["item"], [" ".join(item)], d.Seeds())
+    texts = [" ".join([f"b{r.random()}"[:8] for _ in range(7)] + [f"s{k}" if k in p else w for k, w in enumerate(item)] + ["after", "words"]) for p in patterns]
+    got = index.matches(*flat.words(texts))
+    assert [g[0] for g in got] == list(range(len(texts)))
+    for g, p in zip(got, patterns):
+        assert g[2] == size - most
+
+
+def test_runs_equal_all_runs_by_hand():
+    r = random.Random(5)
+    for _ in range(120):
+        words = [f"w{k}" for k in range(r.choice([2, 5, 40]))]
+        item = [r.choice(words) for _ in range(r.randint(5, 30))]
+        text = [r.choice(words) for _ in range(r.randint(0, 10))] + [r.choice(words) if r.random() < 0.2 else w for w in item[r.randint(0, 3) :]] + [r.choice(words) for _ in range(r.randint(0, 10))]
+        got = d.Index([1], [" ".join(item)], d.Seeds()).matches(*flat.words([" ".join(text)]))
+        want = runs_by_hand(text, item)
+        if not want:
+            assert not got, (item, text)
+        else:  # seeds may miss a run that is spread thinly; every one that is found has its exact count
+            assert not got or got[0][2] <= want
+            best = [d.best(flat.words([" ".join(text)])[0], 0, len(text), flat.words([" ".join(item)])[0], range(-len(item), len(text)), d.Seeds())]
+            assert best[0][0] == want
+
+
+def test_a_long_run_of_one_word_is_quick():
+    index = d.Index(list(range(50)), ["spam " * (40 + k) for k in range(50)] + [], d.Seeds())
+    began = time.time()
+    got = index.matches(*flat.words(["spam " * 300_000]))
+    took = time.time() - began
+    assert [g[2] for g in got] == [40 + k for k in range(50)] and took < 5
+
+
+def test_runs_of_one_word_give_what_all_diagonals_give():
+    r = random.Random(11)
+    for _ in range(60):
+        make = lambda n: [w for _ in range(n) for w in [r.choice("ab")] * r.randint(1, 30)]
+        item, text = make(3)[:60], make(r.randint(1, 12))
+        got = d.Index([1], [" ".join(item)], d.Seeds()).matches(*flat.words([" ".join(text)]))
+        want = d.best(flat.words([" ".join(text)])[0], 0, len(text), flat.words([" ".join(item)])[0], range(-len(item), len(text)), d.Seeds())
+        assert (got[0][2] if got else 0) == (want[0] if want else 0)
+
+
 def test_repeated_words_are_bounded():
     index = d.Index([1, 2], ["spam " * 3000, "spam ham " * 20], d.Seeds())
     began = time.time()
