@@ -39,6 +39,8 @@ HINTS = set("ad ads adv advert advertisement advertising sponsor sponsored promo
 #: Words that leave a class name of hints what it is: "site-footer" and "related-posts", but not "related-work" or "has-sidebar".
 PLAIN = set("site page top bottom left right main primary secondary box list bar wrap wrapper container block section area inner outer slot item items link links header text row col column unit message msg post posts article articles form buttons icons".split())
 _CLOSED_BY = {"p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}}
+#: The other way round: what a tag closes.
+_CLOSES = {tag: [x for x, by in _CLOSED_BY.items() if tag in by] for tag in set().union(*_CLOSED_BY.values())}
 _INLINE_STOP = {"article", "section", "div", "body", "main", "nav", "table", "td", "ul", "ol", "footer", "header", "aside", "form"}
 #: Marks of an element: text, evidence of something else (a class word, a form), or a tag that says so.
 TEXT, HINTED, TAGGED = 0, 1, 2
@@ -65,12 +67,22 @@ def _label(tag: str, attributes: str) -> tuple[str, int]:
 def events(html: str | None):
     """("open", tag, label, mark), ("void", tag, ...), ("close", tag, None, None), ("text", string, None, None), with every tag closed in order."""
     stack, at, html, articles = [], 0, html or "", 0
+    # where each tag is open, and the elements that end a search for one; so no tag searches the stack
+    places: dict[str, list[int]] = {}
+    stops: list[int] = []
 
     def close(upto: int):
         nonlocal articles
         while len(stack) > upto:
-            articles -= stack[-1] == "article"
-            yield "close", stack.pop(), None, None
+            tag = stack.pop()
+            articles -= tag == "article"
+            places[tag].pop()
+            if tag in _INLINE_STOP:
+                stops.pop()
+            yield "close", tag, None, None
+
+    def last(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else -1
 
     for m in _TOKEN.finditer(html):
         if m.start() > at:
@@ -81,25 +93,23 @@ def events(html: str | None):
             yield "text", m[0][9:].removesuffix("]]>").replace("&", "&amp;"), None, None
         if not tag or not m[0].endswith(">"):
             continue
+        stop = stops[-1] if stops else 0
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k] == tag:
-                    yield from close(k)
-                    break
-                if tag not in BLOCK and stack[k] in _INLINE_STOP or tag == "p" and stack[k] in _INLINE_STOP:
-                    break
+            k = last(tag)
+            if k >= 0 and (k >= stop or tag in BLOCK and tag != "p"):
+                yield from close(k)
         else:
-            for k in range(len(stack) - 1, -1, -1):
-                if tag in _CLOSED_BY.get(stack[k], ()):
-                    yield from close(k)
-                    break
-                if stack[k] in _INLINE_STOP:
-                    break
+            k = max(map(last, _CLOSES.get(tag, ())), default=-1)
+            if k >= stop and k >= 0:
+                yield from close(k)
             if tag in VOID:
                 yield "void", tag, None, None
             else:
                 label, mark = _label(tag, m[4] or "")
                 mark = TAGGED if tag in CHROME or tag == "header" and not articles else HINTED if tag in ("form", "dialog") else mark
+                places.setdefault(tag, []).append(len(stack))
+                if tag in _INLINE_STOP:
+                    stops.append(len(stack))
                 stack.append(tag)
                 articles += tag == "article"
                 yield "open", tag, label, mark
@@ -300,29 +310,37 @@ def reading(node: list) -> dict:
     """How a host's pages are read, from its wrapper. region: labels of the article's elements; path: of the region where no such element is known.
 
     Elements named article or main (or marked as an article's body) are the region if something in them varies over
-    the pages, or nothing varies anywhere. Else the region is the least element, repeated nowhere, that holds all that
+    the pages, or nothing varies anywhere; where several labels are so named and the one with the most text stands once
+    on every page, the others are other articles' teasers and do not count. Else the region is the least element, repeated nowhere, that holds all that
     varies outside of marked elements; where nothing varies, as on a single page, it is the whole page.
     """
-    order, todo, again = [], [(node, False)], {}
+    order, todo, again, always = [], [(node, False, True)], {}, {}
     while todo:
-        x, inside = todo.pop()
+        x, inside, must = todo.pop()
         order.append(x)
-        again[id(x)] = inside
-        todo += [(c, inside or c[1] in "+*") for c in x[2] if c[0] != "#"]
+        again[id(x)], always[id(x)] = inside, must
+        todo += [(c, inside or c[1] in "+*", must and c[1] == "1") for c in x[2] if c[0] != "#"]
+    size: dict[int, int] = {}
+    for x in reversed(order):
+        size[id(x)] = sum(c[3] if c[0] == "#" else size[id(c)] for c in x[2])
     varies: dict[int, int] = {}
     for x in reversed(order):
         # what is optional in a repeated group need not differ from page to page
         gone = lambda c: int(c[1] in "?*" and not again[id(x)])  # noqa: B023, E731
         varies[id(x)] = sum(int(c[2] is None or gone(c) > 0) if c[0] == "#" else varies[id(c)] + (0 if c[3] else gone(c)) for c in x[2]) if x[3] == TEXT else 0
     named: dict[int, dict[str, bool]] = {1: {}, 2: {}}
+    largest: dict[str, tuple[int, bool]] = {}
     for x in order:
         tag, _, words = x[0].partition(".")
         kind = 2 if tag == "article" or "articlebody" in words.split("-") else 1 if tag == "main" or "main" in words.split("-") else 0
         if kind and x[3] < TAGGED:
             named[kind][x[0]] = named[kind].get(x[0], False) or varies[id(x)] > 0 or x[3] == HINTED
+            largest[x[0]] = max(largest.get(x[0], (0, False)), (size[id(x)], always[id(x)] and x[3] == TEXT))
     for kind in (2, 1):
         if named[kind] and (any(named[kind].values()) or not varies[id(node)]):
-            return {"region": sorted(named[kind]), "path": None}
+            best = max(sorted(named[kind]), key=lambda label: largest[label])
+            alone = largest[best][1] and (named[kind][best] or not varies[id(node)])
+            return {"region": [best] if alone else sorted(named[kind]), "path": None}
     path, total, deep = 0, varies[id(node)], 0
     while total:
         labels = Counter(c[0] for c in node[2])

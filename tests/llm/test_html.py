@@ -74,3 +74,55 @@ def test_near_copies_are_not_cut(spark):
 def test_expressions(spark):
     rows = spark.createDataFrame([(1, "http://h/1", "<ul><li>a<li>b</ul><b>t</b>"), (2, "http://h/2", "<ul><li>c</ul>")], "page_id long, url string, html string")
     assert [(r.host, r.pages, r.expression) for r in html.expressions(rows).collect()] == [("h", 2, "(<>(<ul>(<li>(#)</li>)+</ul>)(<b>(text)</b>)?</>)")]
+
+
+def test_unclosed_and_stray_tags_take_linear_time():
+    import time
+
+    for page in ("<p>x<span>" + "</p>y" * 20_000, "<div>" + "<font>x" * 20_000, "<table>" + "<tr><td>x" * 20_000, "<ul>" + "<li>x</b>" * 20_000):
+        began = time.time()
+        list(html.events(page))
+        assert time.time() - began < 2
+
+
+def test_events_close_as_a_search_of_the_stack_does():
+    """Random tags against the rule as it is told: a tag closes the last open one of its name, unless an enclosing element ends the search."""
+    import random
+
+    def by_search(page):
+        stack, out = [], []
+        for m in html._TOKEN.finditer(page):
+            tag = m[3].lower()
+            if m[2]:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k] == tag:
+                        out += [("close", t) for t in reversed(stack[k:])]
+                        del stack[k:]
+                        break
+                    if (tag not in html.BLOCK or tag == "p") and stack[k] in html._INLINE_STOP:
+                        break
+            else:
+                for k in range(len(stack) - 1, -1, -1):
+                    if tag in html._CLOSED_BY.get(stack[k], ()):
+                        out += [("close", t) for t in reversed(stack[k:])]
+                        del stack[k:]
+                        break
+                    if stack[k] in html._INLINE_STOP:
+                        break
+                out.append(("void" if tag in html.VOID else "open", tag))
+                if tag not in html.VOID:
+                    stack.append(tag)
+        return out + [("close", t) for t in reversed(stack)]
+
+    r = random.Random(2)
+    tags = ["p", "b", "span", "div", "li", "ul", "td", "tr", "table", "article", "br", "dt", "dd", "option", "th", "tbody"]
+    for _ in range(400):
+        page = "".join(f"<{r.choice(['', '', '/'])}{r.choice(tags)}>" for _ in range(r.randint(0, 60)))
+        assert [(k, t) for k, t, *_ in html.events(page)] == by_search(page)
+
+
+@pytest.mark.parametrize("pages", [1, 5])
+def test_teasers_of_other_articles_are_left_out(spark, pages):
+    page = lambda k: f"<body><article><h1>Title {k}</h1><p>{' '.join(f'w{k}x{i}' for i in range(60))}</p></article><article class='teaser'><p>Other story {k}</p></article></body>"
+    rows = html.main_text(spark.createDataFrame([(k, f"http://h/{k}", page(k)) for k in range(pages)], "page_id long, url string, html string")).collect()
+    assert all("Other story" not in r.text and r.text.startswith(f"Title {r.page_id}") for r in rows)
