@@ -38,7 +38,18 @@ NOTICES = [
     ("epl-2.0", "this program is made available under the terms of the eclipse public license 2 0", ["eclipse public license"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
     ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain"]),
+    ("bsd-3-clause", "may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products derived from this software"]),
+    ("bsl-1.0", "boost software license version 1 0", ["boost software license"]),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", ["will the authors be held liable for any damages"]),
+    ("cc-by-4.0", "creative commons attribution 4 0 international", ["creative commons attribution 4 0"]),
+    ("cc-by-sa-4.0", "creative commons attribution sharealike 4 0 international", ["attribution sharealike 4 0"]),
+    ("cc-by-nc-4.0", "creative commons attribution noncommercial 4 0 international", ["attribution noncommercial 4 0"]),
+    ("artistic-2.0", "the artistic license 2 0", ["artistic license 2 0"]),
 ]
+#: Identifiers that may stand after "SPDX-License-Identifier:".
+SPDX = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "Zlib", "ISC", "MPL-2.0", "EPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]
+NOTICES += [(x.lower(), f"spdx license identifier {x.lower().replace('-', ' ').replace('.', ' ')}", [f"identifier {x.lower().replace('-', ' ').replace('.', ' ')}"]) for x in SPDX]
 #: Share, in thousandths, of the rare words' IDF that must agree; rare words of a notice.
 COVER, RARE = 600, 6
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -54,3 +54,13 @@ def test_time_grows_with_the_places(spark):
     docs = spark.createDataFrame([(1, "all rights reserved. the gnu general public license " * 60_000)], "doc_id long, text string")
     begin = time.time()
     assert licenses.scan(docs).first().n_base == 60_000 and time.time() - begin < 60
+
+
+def test_identifiers_and_clauses(spark):
+    texts = {
+        "// SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause", "# spdx-license-identifier: GPL-2.0-or-later": "gpl-2.0", "Distributed under the Boost Software License, Version 1.0.": "bsl-1.0",
+        "In no event will the authors be held liable for any damages arising from the use of this software.": "zlib", "Creative Commons Attribution 4.0 International License": "cc-by-4.0",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.": "bsd", "SPDX-License-Identifier: Mitten": "", "an attribution of commons that is creative": "",
+    }
+    got = {r.text: r.labels for r in licenses.scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert got == texts
