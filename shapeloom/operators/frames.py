@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rounds import Tables
+
 #: Gate, pass, partial, direction.
 GATES = [
     ("watertight", 0.98, 0.90, "higher"),
@@ -114,8 +115,8 @@ def ranked(rows: DataFrame, order: list[Column], name: str = "place", parts: int
     spark = rows.sparkSession
     keys = [f"__o{k}" for k in range(len(order))]
     x = rows.select("*", *[c.alias(k) for c, k in zip(order, keys)])
-    # kept, so that both uses see the same ranges
-    x = x.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    # written, so that both uses see the same ranges
+    x = Tables(spark).kept(x.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).withColumn("__part", F.spark_partition_id()))
     counts = {r["__part"]: r["count"] for r in x.groupBy("__part").count().collect()}
     before, done = [], 0
     for k in sorted(counts):
@@ -129,7 +130,7 @@ def ranked(rows: DataFrame, order: list[Column], name: str = "place", parts: int
 def sums_before(counts: DataFrame, key: str, n: str) -> tuple[DataFrame, int]:
     """(counts with before, the sum of n over all rows of lesser key, and the whole sum); keys are distinct. Ranges of the key are summed apart, and only one sum a range comes to the driver."""
     spark = counts.sparkSession
-    x = counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    x = Tables(spark).kept(counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).withColumn("__part", F.spark_partition_id()))
     parts, before, done = {r["__part"]: r["s"] for r in x.groupBy("__part").agg(F.sum(n).alias("s")).collect()}, [], 0
     for k in sorted(parts):
         before.append((k, done))
@@ -141,7 +142,8 @@ def sums_before(counts: DataFrame, key: str, n: str) -> tuple[DataFrame, int]:
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """One row rho, n: the correlation of the ranks of two numbers, ties at their mean rank; rows where one is unknown are left out, and rho is null where one does not vary. Equal pairs are counted first, so only distinct values are ranked and joined."""
-    pairs = rows.select(known(F.col(a)).alias("a"), known(F.col(b)).alias("b")).dropna().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    pairs = rows.select(known(F.col(a)).alias("a"), known(F.col(b)).alias("b")).dropna().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    pairs = Tables(rows.sparkSession).kept(pairs)
     total, x = 0, pairs
     for c in ("a", "b"):
         placed, total = sums_before(pairs.groupBy(c).agg(F.sum("n").alias("k")), c, "k")
