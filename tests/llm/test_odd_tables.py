@@ -11,6 +11,8 @@ ROWS = [(1, TEXT, "en", "a"), (1, TEXT, "en", "a"), (1, TEXT + " more", "en", "a
 PAGES = [(1, "http://a/1", f"<html><body><article><p>{TEXT}</article></body></html>"), (1, "http://a/1", f"<html><body><article><p>{TEXT}</article></body></html>"), (2, None, None), (None, "x", ""), (3, "", "<p" * 3000), (4, "http://a/2", f"<div>{LONG}"), (5, "http://a/3", "<div>" * 5000)]
 BENCH = [(1, TEXT), (1, TEXT), (None, TEXT), (2, None), (3, "")]
 LABELS = [(1, 1, 0), (1, 1, 0), (None, None, None), (2, 0, 1), (99, 1, 1)]
+VECTORS = [(1, [0.5] * 16, 1), (1, [0.5] * 16, 1), (2, [0.25, -0.5] * 8, None), (None, [0.1] * 16, None), (3, [-1.0] * 16, 2)]
+NO_VECTORS = [(4, None, 1), (5, [], 1), (6, [0.5] * 15 + [None], 2), (7, [float("nan")] * 16, 2), (8, [float("inf")] * 16, 2), (9, [0.5] * 8, 2)]
 
 
 def tables(spark, path, rows):
@@ -19,6 +21,7 @@ def tables(spark, path, rows):
     spark.createDataFrame([(*r, "t", "h") for r in PAGES][keep], "page_id long, url string, html string, text string, host string").write.parquet(f"{path}/pages.parquet")
     spark.createDataFrame([(*r, 7, "s") for r in BENCH][keep], "item_id long, text string, doc_id long, source string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame([(*r, "t", "s") for r in LABELS][keep], "doc_id long, quality int, toxic int, text string, source string").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(*r, "v", 1, "c") for r in VECTORS + NO_VECTORS][keep], "vec_id long, embedding array<float>, label int, v string, n int, code string").write.parquet(f"{path}/embeddings.parquet")
     return str(path)
 
 
@@ -27,7 +30,7 @@ def places(spark, tmp_path_factory):
     return {rows: tables(spark, tmp_path_factory.mktemp("odd"), rows) for rows in (True, False)}
 
 
-EXACT = {"op1_license_scan": ROWS, "op3_html_extraction": PAGES, "op4_ngram_jaccard_join": ROWS, "op5_quality_rules": ROWS, "op6_token_counts": ROWS, "op7_mixing": ROWS, "op8_warc": PAGES, "op10_language_id": ROWS}
+EXACT = {"op1_license_scan": ROWS, "op3_html_extraction": PAGES, "op4_ngram_jaccard_join": ROWS, "op5_quality_rules": ROWS, "op6_token_counts": ROWS, "op7_mixing": ROWS, "op8_warc": PAGES, "op10_language_id": ROWS, "op11_lm_scoring": ROWS, "op12_vector_codes": VECTORS}
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
