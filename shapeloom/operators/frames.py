@@ -1,6 +1,6 @@
 """Operators on a user's own DataFrames: gates, splits, pairs, ranks, spatial joins, batches.
 
-All are built-in functions and joins on keys, but for the running best, which folds each run's log in order.
+All are built-in functions and joins on keys, but for the running best, which folds ranges of the log.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .rounds import Tables
+from .scans import running_best  # noqa: F401
 
 #: Gate, pass, partial, direction.
 GATES = [
@@ -161,28 +162,6 @@ def evenly_spaced(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
     return x.join(F.broadcast(rows.sparkSession.createDataFrame(picks, "pick int, __place long")), "__place").drop("__place")
 
 
-def running_best(log: DataFrame, step: str = "step", value: str = "val_bce", least: float = 1e-6, patience: int = 10, by: str = "run") -> DataFrame:
-    """by, step, value, best, stale, stopped of each entry: the best value changes only where one is lower by more than `least`; stale counts entries since; stopped where stale reaches the patience. A run's log is folded in order in one task, as each entry depends on the one before."""
-
-    def fold(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values("step", kind="stable")
-        best, stale, bests, stales = float("inf"), 0, [], []
-        for v in pdf["value"].to_numpy(float):
-            if v < best - least:
-                best, stale = v, 0
-            else:
-                stale += 1
-            bests.append(best)
-            stales.append(stale)
-        return pdf.assign(best=bests, stale=np.array(stales, np.int64), stopped=np.array(stales) >= patience)
-
-    x = log.select(F.col(by).alias("run"), F.col(step).cast("long").alias("step"), F.col(value).cast("double").alias("value"))
-    kind = x.schema["run"].dataType.simpleString()
-    return x.groupBy("run").applyInPandas(fold, f"run {kind}, step long, value double, best double, stale long, stopped boolean")
-
-
 def nearest(a: DataFrame, b: DataFrame, by: str = "shape_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """Of every point of a (by, pid, x, y, z): by, pid, near (the pid of the nearest point of b of the same shape; the least of equals), d2, and near_<c> of the columns to carry.
 

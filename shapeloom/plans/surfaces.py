@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dialect import spark_query
-from ..operators import geometry, surfaces
+from ..functions.dialect import oracle, spark_query
+from ..operators import contours, geometry, scatter, surfaces
 from ..operators.rounds import Tables
 from . import proxy, solids
 
@@ -104,7 +104,37 @@ def _closest(spark, sf_dir):
     return surfaces.closest(places(tri), tri).select("shape_id", "pid", F.round(F.sqrt("d2"), 6).alias("distance"))
 
 
+def _contour(spark, sf_dir):
+    """The spheres' surfaces: vertices (told apart by number and place), faces, and the vertices' second moments."""
+    tri = Tables(spark).kept(contours.level_surface(contours.samples(solids.spheres(spark, sf_dir), solids.RES), solids.RES))
+    corner = F.explode(F.array(*[F.struct(F.col("ijk"[n]).alias("v"), *[F.col(f"{a}{n}").alias(a) for a in "xyz"]) for n in range(3)])).alias("c")
+    v = tri.select("shape_id", corner).distinct().groupBy("shape_id").agg(F.count(F.lit(1)).alias("n_vertices"), *[F.round(F.sum(F.col(f"c.{a}") ** 2), 6).alias(f"sum_{a}{a}") for a in "xyz"])
+    e = surfaces.edges(tri).groupBy("shape_id", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("up"), 1).otherwise(-1)).alias("turn"))
+    e = e.groupBy("shape_id").agg(F.min(((F.col("n") == 2) & (F.col("turn") == 0)).cast("int")).alias("closed"))
+    f = tri.groupBy("shape_id").agg(F.count(F.lit(1)).alias("n_faces"), (F.sum(F.expr(surfaces.VOLUME6)) > 0).alias("outward"))
+    return v.join(e, "shape_id").join(f, "shape_id")
+
+
+#: Points a shape, and seed.
+N_SAMPLES, N_CLOUD, SEED = 20, 12, 5
+
+
+def _proxy_triangles(spark, sf_dir):
+    return spark_query(f"with {proxy.BOXES} select shape_id, fid, i, j, k, ax as x0, ay as y0, az as z0, bx as x1, by_ as y1, bz as z1, cx as x2, cy as y2, cz as z2 from tri")(spark, sf_dir)
+
+
+def _samples(spark, sf_dir):
+    d = scatter.sampled(_proxy_triangles(spark, sf_dir), N_SAMPLES, SEED)
+    return d.select("shape_id", "pid", "fid", *[F.round(a, 6).alias(a) for a in "xyz"], *[(F.col(f"n{a}") + 0.0).alias(f"n{a}") for a in "xyz"])
+
+
+def _cloud(spark, sf_dir):
+    d = scatter.cloud(_proxy_triangles(spark, sf_dir), N_CLOUD, SEED)
+    return d.select("shape_id", "pid", "even", "fid", *[F.round(a, 6).alias(a) for a in "xyz"])
+
+
 QUERIES = {
+    "grid_surface": _contour, "area_samples": _samples, "even_cloud": _cloud,
     "face_components": _components, "mesh_report": _report, "shell_report": _shell_report, "floater_filter": _floaters, "self_intersecting": _intersecting, "crossing_counts": _crossings,
     "cell_winding": _winding, "closest_on_faces": _closest, "winding_number": _numbers, "winding_occupancy": _occupancy, "occupancy_rates": _rates,
 }
@@ -128,7 +158,40 @@ ax as (select shape_id, fa, fb, p, q, unnest([[e[1], e[2]], [g[1], g[2]], [e[1],
 nx as (select shape_id, fa, fb, p, q, [m[1][2] * m[2][3] - m[1][3] * m[2][2], m[1][3] * m[2][1] - m[1][1] * m[2][3], m[1][1] * m[2][2] - m[1][2] * m[2][1]] as n from ax),
 pj as (select shape_id, fa, fb, list_transform(p, lambda c: c[1] * n[1] + c[2] * n[2] + c[3] * n[3]) as u, list_transform(q, lambda c: c[1] * n[1] + c[2] * n[2] + c[3] * n[3]) as w from nx),
 hit as (select shape_id, fa, fb from pj group by all having not bool_or(list_min(u) > list_max(w) + 1e-9 or list_min(w) > list_max(u) + 1e-9))"""
+#: Vertices of a closed surface on a grid: one on each edge whose ends lie on both sides. Its faces follow from Euler's formula.
+_GRID = f"""with g as (select s_suppkey as shape_id, x, y, z, 0.5::double + (s_suppkey % 7)::double / 20 - sqrt(power(2 * x / {solids.RES - 1}::double - 1, 2) + power(2 * y / {solids.RES - 1}::double - 1, 2) + power(2 * z / {solids.RES - 1}::double - 1, 2)) as v
+  from supplier, (select unnest(range({solids.RES})) as x), (select unnest(range({solids.RES})) as y), (select unnest(range({solids.RES})) as z)),
+e as (select a.shape_id, a.x, a.y, a.z, b.x - a.x as dx, b.y - a.y as dy, b.z - a.z as dz, a.v / (a.v - b.v) as t from g a join (select shape_id, x, y, z, v, unnest([1, 2, 3]) as axis from g) b
+  on b.shape_id = a.shape_id and b.x = a.x + (b.axis = 1)::int and b.y = a.y + (b.axis = 2)::int and b.z = a.z + (b.axis = 3)::int where (a.v > 0) <> (b.v > 0))
+select shape_id, count(*) as n_vertices, 2 * (count(*) - 2) as n_faces, 1 as closed, true as outward, {", ".join(f"round(sum(power(2 * ({a} + t * d{a}) / {solids.RES - 1}::double - 1, 2)), 6) as sum_{a}{a}" for a in "xyz")} from e group by shape_id"""
+
+
+def _drawn(name: str, n: int, seed: int) -> str:
+    """Common table expressions: n points of each shape by the whole table's running sums."""
+    return f"""{name}_d as (select shape_id, pid, sha1('{seed}/' || shape_id || '/' || pid) as sha from (select distinct shape_id from area), (select unnest(range({n})) as pid)),
+{name} as (select d.shape_id, d.pid, a.fid, {", ".join(f"(1 - r) * {p} + r * (1 - s) * {q} + r * s * {t} as {c}" for c, p, q, t in (("x", "ax", "bx", "cx"), ("y", "ay", "by_", "cy"), ("z", "az", "bz", "cz")))}, nx / area2 as nx, ny / area2 as ny, nz / area2 as nz
+  from (select *, ('0x' || substr(sha, 1, 15))::bigint as draw, sqrt(('0x' || substr(sha, 16, 12))::bigint / {float(1 << 48)}::double) as r, ('0x' || substr(sha, 28, 12))::bigint / {float(1 << 48)}::double as s from {name}_d) d
+  join area a on a.shape_id = d.shape_id and d.draw % a.whole >= a.upto - a.w and d.draw % a.whole < a.upto)"""
+
+
+_AREA = f"""{proxy.BOXES}, plain as (select *, {proxy.CROSS} from tri), sized as (select *, sqrt(nx * nx + ny * ny + nz * nz) as area2 from plain),
+shares as (select *, floor(area2 / (max(area2) over (partition by shape_id) * count(*) over (partition by shape_id) / {scatter.WHOLE}::double))::bigint as w from sized),
+area as (select *, (sum(w) over (partition by shape_id order by fid))::bigint as upto, (sum(w) over (partition by shape_id))::bigint as whole from shares)"""
+#: Points in turn, each against all kept before it.
+_CLOUD = f"""with recursive {_AREA}, {_drawn("dense", 3 * N_CLOUD, SEED)}, {_drawn("plainly", N_CLOUD, SEED + 1)},
+wide as (select shape_id, sum(area2) / 2 / {3 * N_CLOUD} as r2 from area group by shape_id),
+one as (select d.*, r2 from dense d join wide using (shape_id)),
+turn as (select shape_id, pid, [[x, y, z]] as kept, true as good from one where pid = 0 union all
+  select o.shape_id, o.pid, case when len(list_filter(t.kept, lambda k: power(k[1] - o.x, 2) + power(k[2] - o.y, 2) + power(k[3] - o.z, 2) <= o.r2)) = 0 then list_append(t.kept, [o.x, o.y, o.z]) else t.kept end,
+    len(list_filter(t.kept, lambda k: power(k[1] - o.x, 2) + power(k[2] - o.y, 2) + power(k[3] - o.z, 2) <= o.r2)) = 0 from turn t join one o on o.shape_id = t.shape_id and o.pid = t.pid + 1),
+evenly as (select shape_id, row_number() over (partition by shape_id order by pid) - 1 as pid, fid, x, y, z from turn join dense using (shape_id, pid) where good),
+have as (select shape_id, least(count(*), {N_CLOUD}) as n from evenly group by shape_id)
+select shape_id, pid, true as even, fid, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from evenly where pid < {N_CLOUD}
+union all select shape_id, pid + n, false, fid, round(x, 6), round(y, 6), round(z, 6) from plainly join have using (shape_id) where pid + n < {N_CLOUD}"""
 ORACLES = {
+    "grid_surface": _GRID,
+    "area_samples": oracle(f"with {_AREA}, {_drawn('drawn', N_SAMPLES, SEED)} select shape_id, pid, fid, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z, nx + 0.0 as nx, ny + 0.0 as ny, nz + 0.0 as nz from drawn"),
+    "even_cloud": oracle(_CLOUD),
     "face_components": f"{solids._P} select shape_id, 0::bigint as label, (12 - holed::int)::bigint as n_faces, 1 - holed::int as is_watertight, round(x*y*z * (1 - holed::int / 6::double), 6) as volume from s union all select shape_id, (12 - holed::int)::bigint, 12::bigint, 1, round(x*y*z*w*w*w, 6) from s where two = 1",
     "crossing_counts": f"{_TRIANGLES}{_APART} select b.shape_id, count(hit.fa) as n_intersections from b left join hit on hit.shape_id = b.shape_id group by b.shape_id",
     "cell_winding": f"{_BLOCK} select shape_id, pid, inside, true as sharp from p",
