@@ -36,8 +36,8 @@ def _export(meshes: DataFrame, root: str) -> int:
 def prepare(spark: SparkSession, src: str, out: str, n_points: int = 1000, n_queries: int = 100_000, val_share: float = 0.1, limit: int = 0, force: bool = False, pin_val: str | None = None) -> int:
     """STL files -> build (one row a file, status ok/reject/error), meshes in the shared frame, clouds, labelled queries and the split within folders. Two files of one stem stop it.
 
-    Queries that an earlier run made stay, whatever its options, and only those of new shapes are added, unless force is
-    given. limit: the first so many files by folder and name. pin_val: JSON of shape ids that are held out first and
+    Queries that an earlier run made stay, whatever its options, and only those of new shapes and of files whose content
+    has changed are made, unless force is given; the table is partitioned by folder. limit: the first so many files by folder and name. pin_val: JSON of shape ids that are held out first and
     always; those that are not there are listed in pins_missing. summary.json tells counts and the points' shortfall.
     """
     read = _named(files.read_stl(spark, src, limit))
@@ -58,10 +58,8 @@ def prepare(spark: SparkSession, src: str, out: str, n_points: int = 1000, n_que
     if box[0] is None:
         return 2
     _kept(spark.createDataFrame([(list(box[:3]), list(box[3:]))], "low array<double>, high array<double>"), f"{out}/bounds")
-    todo, place = good, f"{out}/queries"
-    if not force and tables.exists(spark, place):
-        todo = good.join(spark.read.parquet(place).select("shape_id"), "shape_id", "left_anti")
-    shapes.query_points(todo, list(box[:3]), list(box[3:]), n_queries).drop("xyz", "tri").write.mode("overwrite" if todo is good else "append").parquet(place)
+    asked = lambda d: shapes.query_points(d, list(box[:3]), list(box[3:]), n_queries).drop("xyz", "tri")
+    tables.refreshed(f"{out}/queries", good, asked, everything=force)
     pins = None if pin_val is None else spark.createDataFrame([(x,) for x in tables.read_names(pin_val)], "shape_id string")
     _kept(frames.split(good.select("shape_id", "folder"), val_share, "shape_id", "folder", pins), f"{out}/split")
     if pins is not None:

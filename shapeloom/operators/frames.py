@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from .rounds import Tables
 from .scans import running_best  # noqa: F401
 
+#: Sizes of cells in which nearest points are sought; the largest is eight times the smallest.
+NEAR_LEVELS = 4
 #: Gate, pass, partial, direction.
 GATES = [
     ("watertight", 0.98, 0.90, "higher"),
@@ -165,32 +167,44 @@ def evenly_spaced(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
 def nearest(a: DataFrame, b: DataFrame, by: str = "shape_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """Of every point of a (by, pid, x, y, z): by, pid, near (the pid of the nearest point of b of the same shape; the least of equals), d2, and near_<c> of the columns to carry.
 
-    Cells of several sizes, each twice the one before: a point's level is the least at which its own cell holds a point
-    of b, so one lies within 1.74 of that size, and the 27 cells around it at the next level hold the nearest. Two joins
-    on cells, whatever the points' density; points far from all of b look at many. Points without a partner shape are
-    left out, and so are those with null coordinates or keys.
+    Cells of NEAR_LEVELS sizes, each twice the one before: a point's level is the least at which its own cell holds a
+    point of b, so one lies within 1.74 of that size, and the 27 cells around it at the next level hold the nearest. Two
+    joins on cells, whatever the points' density. Points with none of b in a cell of the largest size, so of clouds that
+    lie apart, go down the tree of b's cells by proven bounds instead (surfaces.closest), as the tops of both clouds would
+    otherwise all meet. Points without a partner shape are left out, and so are those with null coordinates or keys.
+    Each pid stands once in a shape.
     """
-    full = [by, "x", "y", "z"]
+    from .surfaces import closest
+
+    full, made = [by, "pid", "x", "y", "z"], Tables(a.sparkSession)
     a, b = a.dropna(subset=full), b.dropna(subset=full)
     span = lambda d, s: d.groupBy(by).agg(*[f(c).alias(f"{s}{k}{c}") for c in "xyz" for k, f in (("lo", F.min), ("hi", F.max))], F.count(F.lit(1)).alias(f"{s}n"))
     box = span(a, "a").join(span(b, "b"), by)
     whole = F.greatest(*[F.greatest(f"ahi{c}", f"bhi{c}") - F.least(f"alo{c}", f"blo{c}") for c in "xyz"])
     size = F.greatest(F.greatest(*[F.col(f"bhi{c}") - F.col(f"blo{c}") for c in "xyz"]) / F.cbrt("bn"), whole / (1 << 20), F.lit(1e-9))
-    box = box.select(by, size.alias("__size"), *[F.least(f"alo{c}", f"blo{c}").alias(f"__{c}") for c in "xyz"], F.greatest(F.lit(0), F.ceil(F.log2(whole / size + 1e-9)) + 1).cast("int").alias("__top"))
+    box = made.kept(box.select(by, size.alias("__size"), *[F.least(f"alo{c}", f"blo{c}").alias(f"__{c}") for c in "xyz"]))
     cells = lambda level: [F.floor((F.col(c) - F.col(f"__{c}")) / (F.col("__size") * F.pow(F.lit(2.0), level))).cast("long").alias(f"c{c}") for c in "xyz"]
     p, q = a.select(by, "pid", "x", "y", "z").join(box, by), b.select(by, F.col("pid").alias("near"), *[F.col(c).alias(f"near_{c}") for c in carry], "x", "y", "z").join(box, by)
-    levels = F.explode(F.sequence(F.lit(0), F.col("__top") + 1))
-    q = q.withColumn("level", levels)
-    held = q.select(by, "level", *cells(F.col("level"))).distinct()
-    least = p.withColumn("level", levels).select(by, "pid", "level", *cells(F.col("level"))).join(held, [by, "level", "cx", "cy", "cz"]).groupBy(by, "pid").agg(F.min("level").alias("level"))
-    p = p.join(least, [by, "pid"]).withColumn("level", F.least(F.col("level") + 1, F.col("__top") + 1))
-    p = p.select(by, "pid", "x", "y", "z", "level", *cells(F.col("level")))
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n)))
+    held = q.withColumn("level", up_to(NEAR_LEVELS - 1)).select(by, "level", *cells(F.col("level"))).distinct()
+    least = p.withColumn("level", up_to(NEAR_LEVELS - 1)).select(by, "pid", "level", *cells(F.col("level"))).join(held, [by, "level", "cx", "cy", "cz"]).groupBy(by, "pid").agg(F.min("level").alias("level"))
+    p = made.kept(p.join(least, [by, "pid"], "left").withColumn("level", F.col("level") + 1))
+    far = p.where("level is null").select(full)
+    p = p.where("level is not null").select(by, "pid", "x", "y", "z", "level", *cells(F.col("level")))
     for c in "xyz":
         p = p.withColumn(f"c{c}", F.explode(F.array(*[F.col(f"c{c}") + k for k in (-1, 0, 1)])))
-    there = q.select(by, "level", *cells(F.col("level")), "near", *[f"near_{c}" for c in carry], F.col("x").alias("bx"), F.col("y").alias("b_y"), F.col("z").alias("bz"))
+    there = q.withColumn("level", up_to(NEAR_LEVELS)).where("level > 0").select(by, "level", *cells(F.col("level")), "near", *[f"near_{c}" for c in carry], F.col("x").alias("bx"), F.col("y").alias("b_y"), F.col("z").alias("bz"))
     d2 = (F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("b_y")) ** 2 + (F.col("z") - F.col("bz")) ** 2
     found = p.join(there, [by, "level", "cx", "cy", "cz"]).groupBy(by, "pid").agg(F.min(F.struct(d2.alias("d2"), "near", *[f"near_{c}" for c in carry])).alias("m"))
-    return found.select(by, "pid", "m.near", "m.d2", *[f"m.near_{c}" for c in carry])
+    found = found.select(by, "pid", "m.near", "m.d2", *[f"m.near_{c}" for c in carry])
+    if far.isEmpty():
+        return found
+    # a point is a face whose corners are equal
+    spots = b.join(far.select(by).distinct(), by, "left_semi").select(by, F.col("pid").alias("fid"), *[F.col(c).alias(f"{c}{n}") for n in range(3) for c in "xyz"])
+    apart = closest(far, spots, by).select(by, "pid", F.col("fid").alias("near"), "d2")
+    if carry:
+        apart = apart.join(b.select(by, F.col("pid").alias("near"), *[F.col(c).alias(f"near_{c}") for c in carry]), [by, "near"])
+    return found.unionByName(apart.select(found.columns))
 
 
 def chamfer(a: DataFrame, b: DataFrame, by: str = "shape_id") -> DataFrame:

@@ -14,7 +14,7 @@ from typing import Any
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
@@ -125,3 +125,37 @@ def resolved(path: str, base: str) -> str:
 def first_given(*options: Any) -> Any:
     """The first that is not None: a flag before a network's own value before that of the data."""
     return next((x for x in options if x is not None), None)
+
+
+def by_folder(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table that is partitioned by folder; folders stay text, also where they look like numbers."""
+    schema = spark.read.parquet(path).schema
+    return spark.read.schema(StructType([StructField(f.name, StringType()) if f.name == "folder" else f for f in schema])).parquet(path)
+
+
+def refreshed(table: str, wanted: DataFrame, make, key: str = "shape_id", mark: str = "sha1", everything: bool = False) -> DataFrame:
+    """Brings a table that is partitioned by folder up to date: rows of `wanted` (folder, key, mark, ...) that it lacks, or has under another mark, are made and written; the rest is not touched.
+
+    make: DataFrame -> DataFrame of the rows to write, with folder, key and mark. Folders that hold a changed row are
+    written anew with their other rows as they are, by dynamic partition overwrite; new rows of other folders are
+    appended. Rows whose key is not wanted any more stay. With everything, or where the table has no marks, all is made anew. A folder's rows are written in one commit, so a run that fails
+    leaves each folder old or new.
+    """
+    spark = wanted.sparkSession
+    if everything or not exists(spark, table) or not {"folder", mark} <= set(spark.read.parquet(table).columns):
+        make(wanted).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("folder").parquet(table)
+        return by_folder(spark, table)
+    have = by_folder(spark, table)
+    same = (F.col(f"w.{key}") == F.col(f"h.{key}")) & (F.col("w.folder") == F.col("h.folder"))
+    changed = wanted.alias("w").join(have.alias("h"), same & ~F.col(f"w.{mark}").eqNullSafe(F.col(f"h.{mark}")), "left_semi")
+    places = changed.select("folder").distinct()
+    if not changed.isEmpty():
+        fresh = wanted.alias("w").join(have.alias("h"), same & F.col(f"w.{mark}").eqNullSafe(F.col(f"h.{mark}")), "left_anti").join(places, "folder", "left_semi")
+        rest = have.join(places, "folder", "left_semi").join(changed.select("folder", key), ["folder", key], "left_anti")
+        made = make(fresh)
+        made.unionByName(rest.select(made.columns)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(table)
+        have = by_folder(spark, table)
+    new = wanted.alias("w").join(have.alias("h"), same, "left_anti")
+    if not new.isEmpty():
+        make(new).write.mode("append").partitionBy("folder").parquet(table)
+    return by_folder(spark, table)

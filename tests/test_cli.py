@@ -10,6 +10,7 @@ from shapeloom.cli import main
 from shapeloom.functions import levelset, mesh
 from shapeloom.functions.network import Network
 from shapeloom.operators import inference
+from shapeloom.sources import tables
 from shapeloom.sources.shapes import decode_stl, encode_stl
 from shapeloom.sources.tables import read_csv, read_text, write_bounds
 
@@ -87,6 +88,29 @@ def test_prepare_again(spark, tmp_path):
     assert (told["n_ok"], told["n_train"], told["n_val"], told["n_reject"]) == (3, 2, 1, 0)
 
 
+def test_a_changed_file_is_prepared_anew_and_others_are_not_touched(spark, tmp_path):
+    src, data = tmp_path / "src", str(tmp_path / "data")
+    for folder in ("007", "b", "c"):
+        (src / folder).mkdir(parents=True)
+    for k, folder in enumerate(("007", "007", "b", "c")):
+        (src / folder / f"s{k}.stl").write_bytes(encode_stl(*ball(0.4 + k / 10)))
+    few = ["--n-points", "32", "--n-queries", "20"]
+    assert main(["prepare", str(src), data, *few], spark) == 0
+    read = lambda: {r.shape_id: r for r in tables.by_folder(spark, f"{data}/queries").withColumn("file", F.input_file_name()).collect()}
+    before = read()
+    assert {k: r.folder for k, r in before.items()} == {"007/s0": "007", "007/s1": "007", "b/s2": "b", "c/s3": "c"}
+    (src / "007" / "s0.stl").write_bytes(encode_stl(*ball(0.9)))
+    (src / "b" / "s4.stl").write_bytes(encode_stl(*ball(0.6)))
+    assert main(["prepare", str(src), data, *few], spark) == 0
+    after = read()
+    assert set(after) == {*before, "b/s4"} and after["007/s0"].sha1 != before["007/s0"].sha1 and after["007/s0"].query != before["007/s0"].query
+    assert all((after[k].query, after[k].sha1) == (before[k].query, before[k].sha1) for k in ("007/s1", "b/s2", "c/s3"))
+    # files of folders without a change are the same ones
+    assert all(after[k].file == before[k].file for k in ("b/s2", "c/s3"))
+    assert main(["prepare", str(src), data, *few], spark) == 0
+    assert {k: r.file for k, r in read().items()} == {k: r.file for k, r in after.items()}
+
+
 def test_verify(spark, tmp_path, capsys):
     src, net = tmp_path / "in", str(tmp_path / "net")
     src.mkdir()

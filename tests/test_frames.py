@@ -103,6 +103,21 @@ def test_grids_by_columns_equal_solid_angles():
             assert (mesh.inside_grid(v, f, low, high, res)[clear] == (w > 0.5)[clear]).all() and clear.mean() > 0.8
 
 
+def test_nearest_of_clouds_that_lie_apart(spark):
+    r = np.random.default_rng(6)
+    # the first lies far from its partner, the second around it, the third has copies
+    a = {1: r.random((400, 3)) + 50, 2: np.concatenate([r.random((50, 3)), r.random((50, 3)) + [0, 900, 0]]), 3: np.repeat([[0.0, 0, 0], [70, 0, 0]], 40, 0)}
+    b = {1: r.random((3000, 3)), 2: r.random((300, 3)), 3: np.repeat([[0.0, 0, 1], [0, 1, 0]], 30, 0)}
+    rows = lambda d: spark.createDataFrame([(k, i, *map(float, p), float(i)) for k, v in d.items() for i, p in enumerate(v)], "shape_id int, pid long, x double, y double, z double, w double")
+    got = frames.nearest(rows(a), rows(b), carry=("w",)).toPandas()
+    for k in a:
+        d2 = ((a[k][:, None] - b[k][None]) ** 2).sum(-1)
+        mine = got[got.shape_id == k].set_index("pid").sort_index()
+        assert len(mine) == len(a[k]) and np.allclose(mine.d2, d2.min(1), rtol=1e-12) and (mine.near == mine.near_w).all()
+        assert (d2[np.arange(len(d2)), mine.near] <= d2.min(1) * (1 + 1e-12)).all()
+    assert (got[got.shape_id == 3].near == 0).all()
+
+
 def test_nearest_of_clouds():
     rng = np.random.default_rng(4)
     a, b = rng.normal(size=(300, 3)), np.concatenate([rng.normal(size=(500, 3)) * [1, 0.1, 0.01], [[40, 0, 0]] * 3])
