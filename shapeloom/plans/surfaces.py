@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import oracle, spark_query
-from ..operators import contours, geometry, scatter, surfaces
+from ..operators import contours, geometry, repair, scatter, surfaces
 from ..operators.rounds import Tables
 from . import proxy, solids
 
@@ -133,7 +133,14 @@ def _cloud(spark, sf_dir):
     return d.select("shape_id", "pid", "even", "fid", *[F.round(a, 6).alias(a) for a in "xyz"])
 
 
+def _repair(spark, sf_dir):
+    faces, report = repair.repaired(_solids(spark, sf_dir))
+    size = faces.groupBy("shape_id").agg(F.count(F.lit(1)).cast("int").alias("n_faces"), F.round(F.sum(F.expr(surfaces.VOLUME6)) / 6, 6).alias("volume"))
+    return report.join(size, "shape_id")
+
+
 QUERIES = {
+    "labelling_repair": _repair,
     "grid_surface": _contour, "area_samples": _samples, "even_cloud": _cloud,
     "face_components": _components, "mesh_report": _report, "shell_report": _shell_report, "floater_filter": _floaters, "self_intersecting": _intersecting, "crossing_counts": _crossings,
     "cell_winding": _winding, "closest_on_faces": _closest, "winding_number": _numbers, "winding_occupancy": _occupancy, "occupancy_rates": _rates,
