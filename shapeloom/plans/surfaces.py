@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import oracle, spark_query
-from ..operators import contours, geometry, repair, scatter, surfaces
+from ..operators import collapse, contours, geometry, repair, scatter, surfaces
 from ..operators.rounds import Tables
 from . import proxy, solids
 
@@ -133,6 +133,18 @@ def _cloud(spark, sf_dir):
     return d.select("shape_id", "pid", "even", "fid", *[F.round(a, 6).alias(a) for a in "xyz"])
 
 
+#: Faces that are left of a finer box; its flat sides and straight edges allow many fewer without a change of shape.
+TARGET = 330
+
+
+def _collapse(spark, sf_dir):
+    tri = collapse.simplified(blocks(spark, sf_dir), TARGET)
+    e = surfaces.edges(tri).groupBy("shape_id", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("up"), 1).otherwise(-1)).alias("turn"))
+    e = e.groupBy("shape_id").agg(F.min(((F.col("n") == 2) & (F.col("turn") == 0)).cast("int")).alias("closed"), F.count(F.lit(1)).alias("n_edges"))
+    f = tri.groupBy("shape_id").agg(F.count(F.lit(1)).alias("n_faces"), (F.round(F.sum(F.expr(surfaces.VOLUME6)) / 6, 6)).alias("volume"), F.round(F.sum(F.expr(surfaces.AREA2)) / 2, 6).alias("area"))
+    return f.join(e, "shape_id")
+
+
 def _repair(spark, sf_dir):
     faces, report = repair.repaired(_solids(spark, sf_dir))
     size = faces.groupBy("shape_id").agg(F.count(F.lit(1)).cast("int").alias("n_faces"), F.round(F.sum(F.expr(surfaces.VOLUME6)) / 6, 6).alias("volume"))
@@ -140,7 +152,7 @@ def _repair(spark, sf_dir):
 
 
 QUERIES = {
-    "labelling_repair": _repair,
+    "edge_collapse": _collapse, "labelling_repair": _repair,
     "grid_surface": _contour, "area_samples": _samples, "even_cloud": _cloud,
     "face_components": _components, "mesh_report": _report, "shell_report": _shell_report, "floater_filter": _floaters, "self_intersecting": _intersecting, "crossing_counts": _crossings,
     "cell_winding": _winding, "closest_on_faces": _closest, "winding_number": _numbers, "winding_occupancy": _occupancy, "occupancy_rates": _rates,
@@ -196,6 +208,7 @@ have as (select shape_id, least(count(*), {N_CLOUD}) as n from evenly group by s
 select shape_id, pid, true as even, fid, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from evenly where pid < {N_CLOUD}
 union all select shape_id, pid + n, false, fid, round(x, 6), round(y, 6), round(z, 6) from plainly join have using (shape_id) where pid + n < {N_CLOUD}"""
 ORACLES = {
+    "edge_collapse": f"{_BLOCK} select distinct shape_id, {TARGET} as n_faces, 1 as closed, {TARGET * 3 // 2} as n_edges, round(ex * ey * ez, 6) as volume, round(2 * (ex * ey + ey * ez + ez * ex), 6) as area from p",
     "grid_surface": _GRID,
     "area_samples": oracle(f"with {_AREA}, {_drawn('drawn', N_SAMPLES, SEED)} select shape_id, pid, fid, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z, nx + 0.0 as nx, ny + 0.0 as ny, nz + 0.0 as nz from drawn"),
     "even_cloud": oracle(_CLOUD),
