@@ -1,12 +1,14 @@
 """Command verbs: python -m shapeloom prepare | scan | train | meshify | infer | evaluate | gates | figures | remesh | verify | tetrahedralize.
 
-Tables are Parquet below the output folder; meshes are STL files. Exit codes: 0 done, 1 a gate stopped it, 2 nothing to do.
+Tables are Parquet below the output folder; meshes are STL files. With --config FILE (YAML or JSON) the file's section of
+the verb's name gives paths and options that the command line does not; paths in it are relative to the file. Exit codes: 0 done, 1 a gate stopped it, 2 nothing to do.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,11 +82,10 @@ def scan(spark: SparkSession, data: str, p99_most: float = 0.02, watertight_leas
     topology = _kept(shapes.described(meshes.select("shape_id", "folder", "xyz", "tri")), f"{data}/manifest")
     axis = lambda f, a: f(F.filter("xyz", lambda x, i: i % 3 == a))
     extent = F.greatest(*[axis(F.array_max, a) - axis(F.array_min, a) for a in range(3)])
-    frame = meshes.agg(F.max(F.greatest(F.array_max("xyz"), -F.array_min("xyz"))).alias("coordinate"), ((F.max(extent) - F.min(extent)) / F.avg(extent)).alias("spread")).first()
-    sound, misfit = topology.agg(F.avg("is_watertight")).first()[0], audit.agg(F.avg("frame_flag")).first()[0]
-    if sound is None or misfit is None:
-        return 2
-    return int(sound < watertight_least or misfit > misfit_most or frame.coordinate > coordinate_most or frame.spread > spread_most)
+    frame = meshes.select("shape_id", F.greatest(F.array_max("xyz"), -F.array_min("xyz")).alias("reach"), extent.alias("extent"))
+    rows = frame.join(topology.select("shape_id", "is_watertight"), "shape_id", "left").join(audit.select("shape_id", F.col("frame_flag").alias("misfit")), "shape_id", "left")
+    got = reports.stop_gates(rows, watertight_least, misfit_most, coordinate_most, spread_most).first()
+    return 2 if got.stops is None else int(got.stops)
 
 
 def train(spark: SparkSession, data: str, out: str, steps: int = 1000, batch: int = 32, n: int = 2048, smoke: int = 0, smoke_bce: float = 0.5, size: str | None = None) -> int:
@@ -227,21 +228,41 @@ def available_backend() -> str | None:
     return next((b for b in BACKENDS if find_spec(b)), None)
 
 
+#: Options that name a place.
+PLACES = {"data", "bounds", "names", "pin_val", "other", "run", "reverts_csv"}
+
+
+def _configured(argv: list[str]) -> tuple[dict, str | None, list[str]]:
+    """(the sections of --config, its path, the other arguments)."""
+    first = argparse.ArgumentParser(add_help=False, allow_abbrev=False)
+    first.add_argument("--config")
+    known, rest = first.parse_known_args(argv)
+    return (tables.read_settings(known.config).values if known.config else {}), known.config, rest
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    p = argparse.ArgumentParser(prog="shapeloom")
+    config, where, argv = _configured(sys.argv[1:] if argv is None else argv)
+    p = argparse.ArgumentParser(prog="shapeloom", epilog="--config FILE: paths and options from the file's section of the verb's name; the command line comes first")
     verbs = p.add_subparsers(dest="verb", required=True)
     for verb, names, options in (
-        ("prepare", ("src", "out"), {"n_points": 1000, "n_queries": 100_000, "limit": 0, "force": False, "pin_val": None}), ("scan", ("data",), {}), ("train", ("data", "out"), {"steps": 1000, "batch": 32, "n": 2048, "smoke": 0, "smoke_bce": 0.5, "size": None}),
+        ("prepare", ("src", "out"), {"n_points": 1000, "n_queries": 100_000, "limit": 0, "force": False, "pin_val": None}), ("scan", ("data",), {"p99_most": 0.02, "watertight_least": 0.6, "misfit_most": 0.05, "coordinate_most": 1.0, "spread_most": 0.02}), ("train", ("data", "out"), {"steps": 1000, "batch": 32, "n": 2048, "smoke": 0, "smoke_bce": 0.5, "size": None}),
         ("meshify", ("net", "data", "out"), {"side": "val", "names": None, "limit": 0, "res": 128, "drop_floaters": False}), ("infer", ("src", "net", "out"), {"res": 128, "target": 4000, "data": None, "bounds": None, "n_points": 1000, "no_decimate": False, "no_drop_floaters": False}),
         ("evaluate", ("predicted", "data", "out"), {"n": 100_000, "res": 128, "limit": 0}), ("gates", ("scores", "out"), {"domain_gap_max": 0.10, "names": None}), ("figures", ("scores", "out"), {"other": None, "run": None, "n": 6}), ("remesh", ("src", "out"), {"target": 4000, "reverts_csv": None}),
         ("verify", ("net", "src"), {"data": None, "res": 128, "target": 4000, "n_points": 1000, "no_decode": False}), ("tetrahedralize", ("src",), {"backend": None, "size_factor": 1.0, "volume_tol": 0.01, "no_write": False}),
     ):
         v = verbs.add_parser(verb)
+        section = {str(k).replace("-", "_"): x for k, x in ((argv[:1] == [verb] and config.get(verb)) or {}).items()}
+        if unknown := set(section) - {*names, *options}:
+            p.error(f"{where}: no setting {', '.join(sorted(unknown))} of {verb} among {', '.join((*names, *options))}")
+        section = {k: tables.resolved(str(x), where) if x is not None and (k in names or k in PLACES) else x for k, x in section.items()}
         for x in names:
-            v.add_argument(x)
+            v.add_argument(x, **({"nargs": "?", "default": section[x]} if x in section else {}))
         for x, default in options.items():
-            how = {"action": "store_true"} if default is False else {"type": str if default is None else type(default), "default": default}
-            v.add_argument(f"--{x.replace('_', '-')}", **how)
+            how = {"action": "store_true"} if default is False else {"type": str if default is None else type(default)}
+            # texts are parsed as on the command line; a whole number may stand for a fraction
+            own = section.get(x, default)
+            own = json.dumps(own) if isinstance(own, (dict, list)) else type(default)(own) if default is not None and default is not False else own
+            v.add_argument(f"--{x.replace('_', '-')}", **how, default=own)
     given = vars(p.parse_args(argv))
     verb = given.pop("verb")
     if verb == "tetrahedralize":

@@ -5,6 +5,8 @@ All are built-in functions; windows run over keys that a shape or folder bounds,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,3 +135,15 @@ def figures(scores: DataFrame, n: int = 6, other: DataFrame | None = None, log:
     if log is not None:
         out["loss"] = frames.running_best(log.withColumn("run", F.lit("run")), patience=1 << 30).join(log.select("step", "train_bce"), "step")
     return out
+
+
+def stop_gates(shapes: DataFrame, watertight_least: float = 0.6, misfit_most: float = 0.05, coordinate_most: float = 1.0, spread_most: float = 0.02) -> DataFrame:
+    """One row: the share of watertight shapes, of misfits, the farthest coordinate and the spread of extents (of the largest and least, to the mean), whether each stops, and stops: any of them. One aggregate.
+
+    shapes: is_watertight, misfit (0/1 or booleans), reach (the largest absolute coordinate), extent. Unknown values are
+    left out of their own share; where all of a kind are unknown its gate and stops are null, but a gate that stops holds.
+    """
+    one = lambda c: F.avg(F.col(c).cast("int"))
+    got = shapes.agg(one("is_watertight").alias("watertight"), one("misfit").alias("misfit"), F.max("reach").alias("reach"), ((F.max("extent") - F.min("extent")) / F.avg("extent")).alias("spread"))
+    gates = {"stop_watertight": F.col("watertight") < watertight_least, "stop_misfit": F.col("misfit") > misfit_most, "stop_reach": F.col("reach") > coordinate_most, "stop_spread": F.col("spread") > spread_most}
+    return got.withColumns(gates).withColumn("stops", reduce(Column.__or__, [F.col(g) for g in gates]))

@@ -15,6 +15,9 @@ ASKED = """asked as (select o_orderkey as shape_id, case when o_orderkey % 41 =
   case when o_custkey % 7 = 0 then null else cast(o_custkey % 5 - 2 as double) / 8 end as overflow, cast(o_orderkey % 13 as int) as found, case when o_custkey % 17 = 0 then 'decimate' end as failed_step, case when o_custkey % 34 = 0 then 'not watertight' end as reason, cast(o_orderkey % 37 = 0 as int) as broken from {orders})"""
 NODES = "nodes as (select c_nationkey as shape_id, c_mktsegment as shell, c_custkey as node from {customer})"
 
+SCANNED = "scanned as (select p_partkey as shape_id, case when p_partkey % 37 = 0 then null else cast(p_partkey % 11 <> 0 as int) end as is_watertight, case when p_partkey % 31 = 0 then null else cast(p_partkey % 29 = 0 as int) end as misfit, cast(p_size as double) / 50 as reach, cast(1 + p_partkey % 5 as double) / 5 as extent from {part})"
+
+_scanned = spark_query(f"with {SCANNED} select * from scanned")
 _built = spark_query(f"with {BUILT} select * from built")
 _filled = spark_query(f"with {FILLED} select * from filled")
 _asked = spark_query(f"with {ASKED} select * from asked")
@@ -70,13 +73,20 @@ def _histogram(spark, sf_dir):
     return d.select("bin", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "n")
 
 
+def _stops(spark, sf_dir):
+    d = reports.stop_gates(_scanned(spark, sf_dir), 0.95, 0.05, 1.0, 0.5)
+    return d.withColumns({c: F.round(c, 9) for c in ("watertight", "misfit", "reach", "spread")})
+
+
 QUERIES = {
+    "scan_stops": _stops,
     "topup_shortfall": _shortfall, "tetrahedra_status": lambda s, d: reports.tetrahedra_status(_filled(s, d)).select("shape_id", "status", "note"), "answer_status": lambda s, d: reports.answer_status(_asked(s, d), 1000).select("shape_id", "status", "why", "warnings"),
     "shell_offsets": _shells, "expanded_counts": _expanded, "sorted_runs": _runs, "smallest_file": _smallest, "shared_cube": _cube, "change_counts": _changes, "score_histogram": _histogram,
 }
 
 _SIDES = f"with {proxy.EVAL}, s as (select stem, l_linestatus, max(euler_match) as e from eval group by stem, l_linestatus), p as (select a.e as ea, b.e as eb from s a join s b on a.stem = b.stem and a.l_linestatus = 'O' and b.l_linestatus = 'F')"
 ORACLES = {
+    "scan_stops": f"with {SCANNED}, m as (select avg(is_watertight) as w, avg(misfit) as f, max(reach) as r, (max(extent) - min(extent)) / avg(extent) as s from scanned) select round(w, 9) as watertight, round(f, 9) as misfit, round(r, 9) as reach, round(s, 9) as spread, w < 0.95 as stop_watertight, f > 0.05 as stop_misfit, r > 1.0 as stop_reach, s > 0.5 as stop_spread, w < 0.95 or f > 0.05 or r > 1.0 or s > 0.5 as stops from m",
     "topup_shortfall": f"with {BUILT}, g as (select * from built where status = 'ok') select (select count(*) from g) as n_ok, count(*) as n_topped_up, round(count(*)::double / greatest(1, (select count(*) from g)), 9) as share_topped_up, coalesce(sum(n_topup), 0)::bigint as topup_points, round(coalesce(max(n_topup / 1000::double), 0), 9) as worst_share from g where n_topup > 0",
     "tetrahedra_status": f"with {FILLED} select shape_id, 'error' as status, error as note from filled where error is not null union all select shape_id, 'skip', 'open surface' from filled where error is null and surf_watertight = 0 union all select shape_id, 'fail', 'no tetrahedra' from filled where error is null and surf_watertight = 1 and (n_tets is null or n_tets = 0) union all select shape_id, 'ok', '' from filled where error is null and surf_watertight = 1 and n_tets > 0",
     "answer_status": f"""with {ASKED}, w as (select shape_id, 1 as k, n_topup || ' points topped up' as t from asked where n_topup > 0 union all select shape_id, 2, 'reaches out of the data''s box by ' || printf('%.4f', overflow) from asked where overflow > 0

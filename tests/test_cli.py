@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shapeloom import cli
@@ -111,6 +112,23 @@ def test_a_changed_file_is_prepared_anew_and_others_are_not_touched(spark, tmp_p
     assert {k: r.file for k, r in read().items()} == {k: r.file for k, r in after.items()}
 
 
+def test_settings_from_a_file(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    for k in range(2):
+        (tmp_path / "src" / f"s{k}.stl").write_bytes(encode_stl(*ball(0.4 + k / 10)))
+    place = tmp_path / "all.yaml"
+    place.write_text("prepare: {src: src, out: data, n-points: 32, n_queries: 20}\nscan: {data: data, watertight_least: 1, coordinate_most: 0.01}\nremesh: {depth: 3}\n")
+    assert main(["prepare", "--config", str(place)], spark) == 0
+    read = lambda x: [len(r.occ) for r in spark.read.parquet(str(tmp_path / x / "queries")).collect()]
+    assert read("data") == [20, 20]
+    # the command line comes first
+    assert main(["prepare", "--config", str(place), str(tmp_path / "src"), str(tmp_path / "more"), "--n-queries", "24"], spark) == 0
+    assert read("more") == [24, 24]
+    assert main(["scan", "--config", str(place)], spark) == 1 and main(["scan", "--config", str(place), "--coordinate-most", "1"], spark) == 0
+    with pytest.raises(SystemExit):
+        main(["remesh", "--config", str(place), "a", "b"], spark)
+
+
 def test_verify(spark, tmp_path, capsys):
     src, net = tmp_path / "in", str(tmp_path / "net")
     src.mkdir()
