@@ -38,11 +38,12 @@ def used_tables(template: str) -> list[str]:
     return [t for t in TABLES if f"{{{t}}}" in template]
 
 
-def spark_query(template: str):
-    """A query (spark, sf_dir) -> DataFrame that reads only the tables it names."""
+def spark_query(template: str, made: dict | None = None):
+    """A query (spark, sf_dir) -> DataFrame that reads only the tables it names. made: what is made of a table's rows before the SQL sees them, by table."""
 
     def run(spark, sf_dir):
-        return spark.sql(render(template, True), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used_tables(template)})
+        tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used_tables(template)}
+        return spark.sql(render(template, True), **{t: (made or {}).get(t, lambda d: d)(d) for t, d in tables.items()})
 
     return run
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rounds import Tables, same
+from .rounds import Tables, same, shuffled
 from .surfaces import AXES, CORNERS, normal
 
 #: Coefficients of a quadric: products of (x, y, z, 1) with itself.
@@ -61,7 +61,7 @@ def _allowed(around: DataFrame, quadrics: DataFrame, by: str) -> DataFrame:
     e = around.groupBy(by, F.least("u", "s").alias("lo"), F.greatest("u", "s").alias("hi")).agg(F.count(F.lit(1)).alias("n"), F.sum(low.cast("int")).alias("ups"))
     degree = around.groupBy(by, "u").agg(F.count(F.lit(1)).alias("degree"))
     fixed = e.where("n <> 2 or ups <> 1").select(by, F.explode(F.array("lo", "hi")).alias("u")).unionByName(degree.where(F.col("degree") > MOST_FACES).select(by, "u")).distinct()
-    quad = quadrics.join(fixed.select(by, F.col("u").alias("v")), [by, "v"], "left_anti")
+    quad = shuffled(quadrics.join(fixed.select(by, F.col("u").alias("v")), [by, "v"], "left_anti"))
     part = lambda c: quad.select(by, F.col("v").alias(c), *[F.col(q).alias(f"{c}_{q}") for q in _Q])
     x = around.where(low).select(by, "u", "s", *[f"{c}{a}" for c in "us" for a in AXES]).join(part("u"), [by, "u"]).join(part("s"), [by, "s"])
     x = x.select(by, "u", "s", *[f"{c}{a}" for c in "us" for a in AXES], *[(F.col(f"u_{q}") + F.col(f"s_{q}")).alias(q) for q in _Q])
@@ -69,7 +69,7 @@ def _allowed(around: DataFrame, quadrics: DataFrame, by: str) -> DataFrame:
     x = x.select(by, "lo", "hi", F.col("b.cost").alias("cost"), *[F.col(f"b.{a}").alias(f"p{a}") for a in AXES], F.explode(F.array(F.struct(F.col("lo").alias("u"), F.col("hi").alias("other")), F.struct(F.col("hi").alias("u"), F.col("lo").alias("other")))).alias("e"))
     x = x.select(by, "lo", "hi", "cost", *[f"p{a}" for a in AXES], "e.u", "e.other")
     ring = around.join(degree.select(by, F.col("u").alias("s"), F.col("degree").alias("s_degree")), [by, "s"])
-    x = x.join(ring, [by, "u"])
+    x = x.join(shuffled(ring), [by, "u"])
     cross = lambda c, a, b: (F.col(f"s{a}") - F.col(f"{c}{a}")) * (F.col(f"t{b}") - F.col(f"{c}{b}")) - (F.col(f"s{b}") - F.col(f"{c}{b}")) * (F.col(f"t{a}") - F.col(f"{c}{a}"))
     turns = ("yz", "zx", "xy")
     dot = lambda c, d: sum(cross(c, a, b) * cross(d, a, b) for a, b in turns)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rounds import Tables
+from .rounds import Tables, lookup, shuffled
 from .scans import running_best  # noqa: F401
 
 #: Sizes of cells in which nearest points are sought; the largest is eight times the smallest.
@@ -182,7 +182,7 @@ def nearest(a: DataFrame, b: DataFrame, by: str = "shape_id", carry: tuple[str,
     box = span(a, "a").join(span(b, "b"), by)
     whole = F.greatest(*[F.greatest(f"ahi{c}", f"bhi{c}") - F.least(f"alo{c}", f"blo{c}") for c in "xyz"])
     size = F.greatest(F.greatest(*[F.col(f"bhi{c}") - F.col(f"blo{c}") for c in "xyz"]) / F.cbrt("bn"), whole / (1 << 20), F.lit(1e-9))
-    box = made.kept(box.select(by, size.alias("__size"), *[F.least(f"alo{c}", f"blo{c}").alias(f"__{c}") for c in "xyz"]))
+    box = lookup(made.kept(box.select(by, size.alias("__size"), *[F.least(f"alo{c}", f"blo{c}").alias(f"__{c}") for c in "xyz"])))
     cells = lambda level: [F.floor((F.col(c) - F.col(f"__{c}")) / (F.col("__size") * F.pow(F.lit(2.0), level))).cast("long").alias(f"c{c}") for c in "xyz"]
     p, q = a.select(by, "pid", "x", "y", "z").join(box, by), b.select(by, F.col("pid").alias("near"), *[F.col(c).alias(f"near_{c}") for c in carry], "x", "y", "z").join(box, by)
     up_to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n)))
@@ -235,7 +235,7 @@ def box_pairs(boxes: DataFrame, by: str = "shape_id", most_cells: int = 64) -> D
     span = F.greatest(*[F.col(f"{c}1") - F.col(f"{c}0") for c in "xyz"])
     whole = F.greatest(*[F.max(f"{c}1") - F.min(f"{c}0") for c in "xyz"])
     size = boxes.groupBy(by).agg(F.greatest(F.percentile_approx(span, F.lit(0.99), F.lit(1000)), whole / 4096, F.lit(1e-9)).alias("size"))
-    x = boxes.select(by, "fid", *[f"{c}{k}" for c in "xyz" for k in (0, 1)]).join(size, by)
+    x = shuffled(boxes).select(by, "fid", *[f"{c}{k}" for c in "xyz" for k in (0, 1)]).join(size, by)
     n = lambda c: F.floor(F.col(f"{c}1") / F.col("size")) - F.floor(F.col(f"{c}0") / F.col("size")) + 1
     x = x.withColumn("large", n("x") * n("y") * n("z") > most_cells)
     small = x.where("not large")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rounds import Tables, components, same
+from .rounds import Tables, components, same, shuffled
 from .surfaces import AXES, VOLUME6, edges
 
 
@@ -58,7 +58,7 @@ def oriented(tri: DataFrame, by: str = "shape_id") -> DataFrame:
     label = components(nodes, e.select(by, F.explode(links).alias("l")).select(by, "l.*"), by)
     # the sheet of the least face as it is has an even label, that of it turned the next odd one
     sheet = label.where("v % 2 = 0").select(by, F.floor(F.col("v") / 2).alias("fid"), F.floor(F.col("label") / 2).alias("part"), (F.col("label").bitwiseAND(1) == 1).alias("turned"))
-    t = made.kept(tri.alias("t").join(sheet.alias("s"), same("t", "s", [by, "fid"])).select("t.*", F.col("s.part").alias("__part"), F.col("s.turned").alias("__turned")))
+    t = made.kept(shuffled(tri).alias("t").join(sheet.alias("s"), same("t", "s", [by, "fid"])).select("t.*", F.col("s.part").alias("__part"), F.col("s.turned").alias("__turned")))
     signed = F.sum(F.when(F.col("__turned"), -F.expr(VOLUME6)).otherwise(F.expr(VOLUME6)))
     inward = t.groupBy(by, "__part").agg((signed < 0).alias("__inward"))
     t = t.join(inward, [by, "__part"]).withColumn("__swap", F.col("__turned") != F.col("__inward"))

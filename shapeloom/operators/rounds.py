@@ -14,6 +14,29 @@ def folder(spark: SparkSession) -> str:
     return path.rstrip("/") if path else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shapeloom-scratch"
 
 
+#: Rows of a task before they are made into many; see dealt.
+AT_ONCE = 25_000
+
+
+def dealt(rows: DataFrame, key: str, at_once: int = AT_ONCE) -> DataFrame:
+    """rows spread by the key, some at_once a task and a task a core at least: where much is derived from a narrow row, the bytes of a file say nothing of the work, and a row group is not divided."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // at_once)), key)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, to be joined by shuffles. The planner takes a table for as large as its compressed files, and exploded rows for as many as there were before; it would broadcast both through the driver."""
+    return df.hint("merge")
+
+
+#: Rows of a table of one row a key that are sent to every task.
+FEW_KEYS = 100_000
+
+
+def lookup(table: DataFrame) -> DataFrame:
+    """A written table of one row a key, to be joined by it: broadcast where its keys are few, so that a large key's rows stay spread."""
+    return F.broadcast(table) if table.count() <= FEW_KEYS else table
+
+
 class Tables:
     """Written tables of one computation; drop() removes them but those it is told to keep."""
 
@@ -24,7 +47,7 @@ class Tables:
         path = f"{folder(self.spark)}/round-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
         self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return shuffled(self.spark.read.schema(df.schema).parquet(path))
 
     def last(self, df: DataFrame) -> DataFrame:
         """df as a written table, when the others go."""

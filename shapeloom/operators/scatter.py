@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rounds import Tables, same
+from .rounds import Tables, lookup, same, shuffled
 from .surfaces import AREA2, AXES, CORNERS, normal
 
 #: Areas are whole numbers of a shape's share in this, so that their sums do not depend on the order.
@@ -29,14 +29,14 @@ def sampled(tri: DataFrame, n: int, seed: int = 0, by: str = "shape_id") -> Data
     x = tri.where(F.col(by).isNotNull()).select(by, "fid", *CORNERS, F.expr(AREA2).alias("area2"), *[F.expr(normal(a)).alias(f"n{a}") for a in AXES])
     x = made.kept(x.where((F.col("area2") > 0) & (F.col("area2") < float("inf"))))
     unit = x.groupBy(by).agg((F.max("area2") * F.count(F.lit(1)) / WHOLE).alias("unit"))
-    x = x.join(unit, by).withColumn("w", F.floor(F.col("area2") / F.col("unit")).cast("long")).where("w > 0").drop("unit")
+    x = x.join(lookup(made.kept(unit)), by).withColumn("w", F.floor(F.col("area2") / F.col("unit")).cast("long")).where("w > 0").drop("unit")
     x = made.kept(x.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), by, "fid").withColumn("part", F.spark_partition_id()))
     # a shape has at most one row a range here
     sums, earlier = x.groupBy(by, "part").agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("n")), (Window.unboundedPreceding, -1)
     sums = made.kept(sums.withColumn("start", F.coalesce(F.sum("s").over(Window.partitionBy(by).orderBy("part").rowsBetween(*earlier)), F.lit(0))))
-    whole = sums.groupBy(by).agg(F.sum("s").alias("whole"), F.sum("n").alias("faces")).select(by, "whole", F.ceil(F.col("whole") / (F.col("faces") + n)).alias("width"))
+    whole = made.kept(sums.groupBy(by).agg(F.sum("s").alias("whole"), F.sum("n").alias("faces")).select(by, "whole", F.ceil(F.col("whole") / (F.col("faces") + n)).alias("width")))
     inside = F.coalesce(F.sum("w").over(Window.partitionBy(by, "part").orderBy("fid").rowsBetween(*earlier)), F.lit(0))
-    x = x.withColumn("inside", inside).join(sums.select(by, "part", "start"), [by, "part"]).withColumn("first", F.col("inside") + F.col("start")).join(whole, by)
+    x = x.withColumn("inside", inside).join(sums.select(by, "part", "start"), [by, "part"]).withColumn("first", F.col("inside") + F.col("start")).join(lookup(whole), by)
     bucket = lambda c: F.floor(c / F.col("width")).cast("long")
     x = x.select(by, "fid", *CORNERS, *[f"n{a}" for a in AXES], "area2", "first", (F.col("first") + F.col("w")).alias("end"), F.explode(F.sequence(bucket(F.col("first")), bucket(F.col("first") + F.col("w") - 1))).alias("bucket"))
     draw = whole.select(by, "whole", "width", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>") if n > 0 else F.array().cast("array<long>")).alias("pid"))
@@ -81,7 +81,7 @@ def spread(points: DataFrame, by: str = "shape_id", radius: str = "radius", orde
         names = kept[0]
         for k in kept[1:]:
             names = names.unionByName(k)
-        out = out.unionByName(full.alias("p").join(names.alias("k"), same("p", "k", [by, "pid"]), "left_semi").select(points.columns))
+        out = out.unionByName(full.alias("p").join(shuffled(names).alias("k"), same("p", "k", [by, "pid"]), "left_semi").select(points.columns))
     return made.last(out)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import box_pairs
-from .rounds import Tables, components, same
+from .rounds import Tables, components, lookup, same, shuffled
 
 AXES = "xyz"
 CORNERS = [f"{c}{n}" for n in range(3) for c in AXES]
@@ -60,16 +60,16 @@ def face_components(faces: DataFrame, by: str = "shape_id") -> DataFrame:
 
 def labelled(tri: DataFrame, by: str = "shape_id") -> DataFrame:
     """tri with label, the component of each face. Each fid stands once in a shape."""
-    return tri.alias("t").join(face_components(tri, by).alias("c"), same("t", "c", [by, "fid"])).select("t.*", "c.label")
+    return shuffled(tri).alias("t").join(face_components(tri, by).alias("c"), same("t", "c", [by, "fid"])).select("t.*", "c.label")
 
 
 def described(tri: DataFrame, by: str = "shape_id") -> DataFrame:
     """by, n_vertices, n_faces, is_watertight, is_winding_consistent, euler_number, n_components, volume, area: as of packed meshes, from aggregates of faces, edges and vertices."""
-    t = tri.alias("t")
+    tri = shuffled(tri)
     whole = labelled(tri, by).groupBy(by).agg(F.count(F.lit(1)).alias("n_faces"), F.countDistinct("label").alias("n_components"), (F.sum(F.expr(VOLUME6)) / 6).alias("volume"), (F.sum(F.expr(AREA2)) / 2).alias("area"))
     e = edges(tri, by).groupBy(by, "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("up"), 1).otherwise(-1)).alias("turn"))
     e = e.groupBy(by).agg(F.count(F.lit(1)).alias("n_edges"), F.min((F.col("n") == 2).cast("int")).alias("is_watertight"), F.min(((F.col("n") != 2) | (F.col("turn") == 0)).cast("int")).alias("is_winding_consistent"))
-    v = t.select(by, F.explode(F.array("i", "j", "k")).alias("v")).distinct().groupBy(by).agg(F.count(F.lit(1)).alias("n_vertices"))
+    v = tri.select(by, F.explode(F.array("i", "j", "k")).alias("v")).distinct().groupBy(by).agg(F.count(F.lit(1)).alias("n_vertices"))
     return whole.join(e, by).join(v, by).select(by, F.col("n_vertices").cast("int"), F.col("n_faces").cast("int"), "is_watertight", "is_winding_consistent", (F.col("n_vertices") - F.col("n_edges") + F.col("n_faces")).cast("int").alias("euler_number"), F.col("n_components").cast("int"), "volume", "area")
 
 
@@ -104,7 +104,7 @@ def shell_report(tri: DataFrame, by: str = "shape_id") -> DataFrame:
 
 
 def without_floaters(tri: DataFrame, least: float = 0.001, by: str = "shape_id") -> DataFrame:
-    """The faces of components with at least `least` of their shape's largest volume; a component without volume counts its box."""
+    """The faces of components with at least `least` of their shape's largest volume; a component without volume counts its box. Volumes are sums in any order, so one that falls short by rounding (1e-9) counts as reaching it."""
     made = Tables(tri.sparkSession)
     t = made.kept(labelled(tri, by))
     box = F.lit(1.0)
@@ -112,7 +112,7 @@ def without_floaters(tri: DataFrame, least: float = 0.001, by: str = "shape_id")
         box = box * (F.max(F.greatest(*[f"{a}{n}" for n in range(3)])) - F.min(F.least(*[f"{a}{n}" for n in range(3)])))
     size = t.groupBy(by, "label").agg((F.abs(F.sum(F.expr(VOLUME6))) / 6).alias("v"), box.alias("b")).select(by, "label", F.when(F.col("v") > 0, F.col("v")).otherwise(F.col("b")).alias("size"))
     most = size.groupBy(by).agg(F.max("size").alias("most"))
-    kept = size.join(most, by).where(F.col("size") >= least * F.col("most")).select(by, "label")
+    kept = size.join(most, by).where(F.col("size") >= least * (1 - 1e-9) * F.col("most")).select(by, "label")
     return made.last(t.join(kept, [by, "label"], "left_semi").select(tri.columns))
 
 
@@ -172,7 +172,7 @@ def overlapping(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 def crossings(tri: DataFrame, by: str = "shape_id") -> DataFrame:
     """by, fid_a, fid_b (fid_a < fid_b): faces of a shape that meet and share no vertex. Faces without area are left out. Candidates are faces whose boxes meet, found by cells."""
-    good = tri.where(F.expr(AREA2) > 1e-18)
+    good = shuffled(tri).where(F.expr(AREA2) > 1e-18)
     boxes = good.select(by, "fid", *[f(*[f"{a}{n}" for n in range(3)]).alias(f"{a}{k}") for a in AXES for k, f in ((0, F.least), (1, F.greatest))])
     side = lambda t: good.select(F.col(by), F.col("fid").alias(f"fid_{t}"), F.array("i", "j", "k").alias(f"v{t}"), *[F.col(f"{a}{n}").alias(f"{t}{n}_{a}") for n in range(3) for a in AXES])
     pairs = box_pairs(boxes, by).join(side("a"), [by, "fid_a"]).join(side("b"), [by, "fid_b"]).where(~F.arrays_overlap("va", "vb"))
@@ -182,7 +182,7 @@ def crossings(tri: DataFrame, by: str = "shape_id") -> DataFrame:
 def crossing_counts(tri: DataFrame, by: str = "shape_id") -> DataFrame:
     """by, n_intersections of every shape that has a face."""
     found = crossings(tri, by).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    return tri.select(by).distinct().join(found, by, "left").select(by, F.coalesce("n", F.lit(0)).alias("n_intersections"))
+    return shuffled(tri).select(by).distinct().join(found, by, "left").select(by, F.coalesce("n", F.lit(0)).alias("n_intersections"))
 
 
 # -- a tree of cells
@@ -198,9 +198,9 @@ class Tree:
 
     def __init__(self, tri: DataFrame, by: str, leaf: int = 32):
         self.by, self.made = by, Tables(tri.sparkSession)
-        t = tri.dropna(subset=[by, *CORNERS]).select(by, "fid", *CORNERS, *[F.expr(f"({a}0 + {a}1 + {a}2) / 3").alias(f"m{a}") for a in AXES], *[F.expr(f"{normal(a)} / 2").alias(f"n{a}") for a in AXES])
+        t = shuffled(tri).dropna(subset=[by, *CORNERS]).select(by, "fid", *CORNERS, *[F.expr(f"({a}0 + {a}1 + {a}2) / 3").alias(f"m{a}") for a in AXES], *[F.expr(f"{normal(a)} / 2").alias(f"n{a}") for a in AXES])
         span = t.groupBy(by).agg(F.count(F.lit(1)).alias("__n"), *[F.min(f"m{a}").alias(f"__{a}") for a in AXES], F.greatest(*[F.max(f"m{a}") - F.min(f"m{a}") for a in AXES]).alias("__size"))
-        span = span.select(by, _levels(F.col("__n"), leaf).alias("top"), *[f"__{a}" for a in AXES], F.greatest("__size", F.lit(1e-300)).alias("__size"))
+        span = lookup(self.made.kept(span.select(by, _levels(F.col("__n"), leaf).alias("top"), *[f"__{a}" for a in AXES], F.greatest("__size", F.lit(1e-300)).alias("__size"))))
         cell = lambda a: F.least(F.floor((F.col(f"m{a}") - F.col(f"__{a}")) / F.col("__size") * F.pow(F.lit(2.0), "top")), F.pow(F.lit(2.0), "top") - 1).cast("int")
         self.faces = self.made.kept(t.join(span, by).select(by, "fid", *CORNERS, *[f"{k}{a}" for k in "mn" for a in AXES], "top", *[cell(a).alias(f"c{a}") for a in AXES]))
         area = F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.rounds import dealt
+
 #: One row a scored shape; a shape that failed has flags 0, IoU 0 and an unknown Chamfer distance.
 EVAL = """
 raw_eval as (select l_returnflag as folder, cast(l_orderkey % 9973 * 7 + l_linenumber as bigint) as stem, l_quantity = 50 as bad, l_linenumber, l_orderkey, l_partkey, l_discount, l_tax, l_extendedprice, l_linestatus from {lineitem}),
@@ -46,3 +48,5 @@ cloud as (select label as shape_id, vec_id as pid, cast(@AT[embedding; 1] as dou
   cast(@AT[embedding; 4] as double) as nx, cast(@AT[embedding; 5] as double) as ny, cast(@AT[embedding; 6] as double) as nz from {embeddings})"""
 CORPUS = "corpus as (select doc_id as stem, source as folder, n_chars, lang from {documents})"
 LOG = "log as (select event_id as step, 0.3 + abs(value) / 1000 as val_bce from {events})"
+#: What is made of tables before the SQL sees them: boxes become dozens of rows each, so their parts are dealt.
+SPREAD = {"part": lambda part: dealt(part, "p_partkey")}

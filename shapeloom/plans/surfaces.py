@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import oracle, spark_query
 from ..operators import collapse, contours, geometry, repair, scatter, surfaces
-from ..operators.rounds import Tables
+from ..operators.rounds import Tables, dealt
 from . import proxy, solids
 
 #: Squares along an edge of a finer box.
 PARTS = 6
+#: Suppliers of a task: each becomes hundreds of faces.
+FEW = 1_000
 
 
 def _solids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def _solids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box for each supplier, each side of PARTS x PARTS squares of two faces; vertices are numbered by their place on the grid."""
     k = F.col("s_suppkey")
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("shape_id"), *[(1 + k % m).cast("double").alias(f"e{a}") for a, m in (("x", 7), ("y", 5), ("z", 3))])
+    rows = dealt(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey"), "s_suppkey", FEW).select(k.alias("shape_id"), *[(1 + k % m).cast("double").alias(f"e{a}") for a, m in (("x", 7), ("y", 5), ("z", 3))])
     square = F.explode(F.sequence(F.lit(0), F.lit(6 * PARTS * PARTS - 1))).alias("q")
     rows = rows.select("*", square).select("*", F.floor(F.col("q") / (PARTS * PARTS)).alias("side"), F.floor(F.col("q") % (PARTS * PARTS) / PARTS).alias("u"), (F.col("q") % PARTS).alias("v"))
     # a side lies across one axis, at its low or high end
@@ -82,8 +84,8 @@ def _winding(spark, sf_dir):
 def _labelled(spark, sf_dir):
     """Winding numbers of the relational boxes around their query points."""
     boxes, points = f"with {proxy.BOXES}", geometry._W.split(",\nr as")[0]
-    tri = spark_query(f"{boxes} select shape_id, fid, i, j, k, ax as x0, ay as y0, az as z0, bx as x1, by_ as y1, bz as z1, cx as x2, cy as y2, cz as z2 from tri")(spark, sf_dir)
-    return surfaces.winding(spark_query(f"{points} select shape_id, qid as pid, qx as x, qy as y, qz as z from q")(spark, sf_dir), tri)
+    tri = spark_query(f"{boxes} select shape_id, fid, i, j, k, ax as x0, ay as y0, az as z0, bx as x1, by_ as y1, bz as z1, cx as x2, cy as y2, cz as z2 from tri", proxy.SPREAD)(spark, sf_dir)
+    return surfaces.winding(spark_query(f"{points} select shape_id, qid as pid, qx as x, qy as y, qz as z from q", proxy.SPREAD)(spark, sf_dir), tri)
 
 
 def _numbers(spark, sf_dir):
@@ -120,7 +122,7 @@ N_SAMPLES, N_CLOUD, SEED = 20, 12, 5
 
 
 def _proxy_triangles(spark, sf_dir):
-    return spark_query(f"with {proxy.BOXES} select shape_id, fid, i, j, k, ax as x0, ay as y0, az as z0, bx as x1, by_ as y1, bz as z1, cx as x2, cy as y2, cz as z2 from tri")(spark, sf_dir)
+    return spark_query(f"with {proxy.BOXES} select shape_id, fid, i, j, k, ax as x0, ay as y0, az as z0, bx as x1, by_ as y1, bz as z1, cx as x2, cy as y2, cz as z2 from tri", proxy.SPREAD)(spark, sf_dir)
 
 
 def _samples(spark, sf_dir):
