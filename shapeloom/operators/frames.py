@@ -250,9 +250,18 @@ def box_pairs(boxes: DataFrame, by: str = "shape_id", most_cells: int = 64) -> D
 
 
 def disjoint_pairs(faces: DataFrame, by: str = "shape_id") -> DataFrame:
-    """by, disjoint_pairs: pairs of faces (by, fid, i, j, k) of a shape without a common vertex: all pairs less those that meet at a vertex, which are joined by vertex."""
-    corner = faces.select(by, "fid", F.explode(F.array_distinct(F.array("i", "j", "k"))).alias("v"))
-    touch = corner.withColumnRenamed("fid", "a").join(corner.withColumnRenamed("fid", "b"), [by, "v"]).where("a < b").select(by, "a", "b").distinct().groupBy(by).agg(F.count(F.lit(1)).alias("touching"))
+    """by, disjoint_pairs: pairs of faces (by, fid, i, j, k) of a shape without a common vertex: all pairs less those that meet at a vertex.
+
+    Pairs that meet are counted, not made: of two faces with c common vertices, c have one vertex each, c(c-1)/2 two and
+    c(c-1)(c-2)/6 all three, and their alternating sum is 1. So pairs at each vertex, less those at each two vertices, and
+    those at each three, are one aggregate, linear in the faces even where many meet at one vertex.
+    """
+    known = faces.where(F.col(by).isNotNull() & F.col("fid").isNotNull()).select(by, F.array_sort(F.array_compact(F.array_distinct(F.array("i", "j", "k")))).alias("v"))
+    at = lambda n: F.get("v", F.lit(n))
+    every = F.array(*[F.array(*[at(n) for n in places]) for places in ((0,), (1,), (2,), (0, 1), (0, 2), (1, 2), (0, 1, 2))])
+    held = known.select(by, F.explode(F.filter(every, lambda s: ~F.exists(s, lambda x: x.isNull()))).alias("s")).select(by, F.get("s", F.lit(0)).alias("p"), F.get("s", F.lit(1)).alias("q"), F.get("s", F.lit(2)).alias("r"))
+    met = held.groupBy(by, "p", "q", "r").agg(F.count(F.lit(1)).alias("n"))
+    touch = met.groupBy(by).agg(F.sum(F.when(F.col("q").isNotNull() & F.col("r").isNull(), -1).otherwise(1) * F.col("n") * (F.col("n") - 1) / 2).alias("touching"))
     n = faces.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
     out = n.join(touch, by, "left").select(by, (F.col("n") * (F.col("n") - 1) / 2 - F.coalesce("touching", F.lit(0))).cast("long").alias("disjoint_pairs"))
     return out.where("disjoint_pairs > 0")
