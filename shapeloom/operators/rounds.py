@@ -15,7 +15,7 @@ def folder(spark: SparkSession) -> str:
 
 
 #: Rows of a task before they are made into many; see dealt.
-AT_ONCE = 25_000
+AT_ONCE = 10_000
 
 
 def dealt(rows: DataFrame, key: str, at_once: int = AT_ONCE) -> DataFrame:

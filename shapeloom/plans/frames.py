@@ -13,7 +13,7 @@ from . import proxy, solids
 
 _eval = spark_query(f"with {proxy.EVAL} select * from eval")
 _cloud = spark_query(f"with {proxy.CLOUDS} select * from cloud")
-_tri = spark_query(f"with {proxy.BOXES} select * from tri")
+_tri = spark_query(f"with {proxy.BOXES} select * from tri", proxy.SPREAD)
 _corpus = spark_query(f"with {proxy.CORPUS} select * from corpus")
 _log = spark_query(f"with {proxy.LOG} select * from log")
 
