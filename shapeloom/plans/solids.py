@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import shapes
+from ..operators.rounds import dealt
 
 RES = 14
 _BOX = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
@@ -19,8 +20,8 @@ _FACES = [(0, 2, 1), (0, 3, 2), (4, 5, 6), (4, 6, 7), (0, 1, 5), (0, 5, 4), (2,
 
 def solids(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    # narrow rows spread over all cores before they are packed: a kernel's work is far more than its input's bytes
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_size").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    # narrow rows spread before they are packed: a kernel's work is far more than its input's bytes
+    part = dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_size"), "p_partkey")
     ext = [1 + F.col("p_size") % 7, 1 + k % 5, 1 + k % 3]
     share = F.when(k % 4 == 2, 0.4).otherwise(0.5)
     start = [F.when(k % 4 == 1, ext[0] + 1.0).when(k % 4 == 2, 0.05 * ext[0]).otherwise(0.8 * ext[0]), *(F.when(k % 4 == 2, 0.05 * e).otherwise(0.27 * e) for e in ext[1:])]
@@ -36,7 +37,9 @@ def solids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, at = F.col("s_suppkey"), lambda i: 2 * i / F.lit(RES - 1) - 1
     field = F.transform(F.sequence(F.lit(0), F.lit(RES**3 - 1)), lambda i: 0.5 + (k % 7) / 20 - F.sqrt(sum(at(F.floor(i / RES**p) % RES) ** 2 for p in (2, 1, 0))))
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("shape_id"), F.expr("cast(s_nationkey as string)").alias("folder"), field.alias("field"))
+    # each becomes thousands of samples
+    rows = dealt(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey"), "s_suppkey", 1_000)
+    return rows.select(k.alias("shape_id"), F.expr("cast(s_nationkey as string)").alias("folder"), field.alias("field"))
 
 
 def _report(spark, sf_dir):

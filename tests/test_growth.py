@@ -8,7 +8,7 @@ import io
 from pyspark.sql import functions as F
 
 from shapeloom.operators import rounds
-from shapeloom.plans import surfaces
+from shapeloom.plans import solids, surfaces
 
 
 def plan(d) -> str:
@@ -40,3 +40,7 @@ def test_rows_that_become_many_are_dealt(spark):
     assert rounds.dealt(spark.range(100), "id", 10).rdd.getNumPartitions() == 10
     assert rounds.dealt(spark.range(100), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert surfaces.blocks(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_fields_are_dealt_before_they_are_made(spark):
+    assert solids.spheres(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
