@@ -16,6 +16,9 @@ from ..functions import levelset, mesh, sampling, simplify
 from ..functions.seeds import stable_seed
 from ..sources.shapes import decode_stl, encode_stl
 
+#: Shapes whose results are held at once.
+AT_ONCE = 200
+
 
 def each(shapes: DataFrame, made: str, kernel: Callable[[dict], dict], drop: tuple[str, ...] = ()) -> DataFrame:
     """shapes with the columns `made` (DDL) that kernel(row) returns, and error (null where all went well); `drop` goes, made columns replace equal names."""
@@ -25,7 +28,8 @@ def each(shapes: DataFrame, made: str, kernel: Callable[[dict], dict], drop: tup
     names, kept = new.names, [f.name for f in keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        # results are lists of Python numbers, far larger than the rows they came from
+        for b in (batch[k : k + AT_ONCE] for batch in batches for k in range(0, len(batch), AT_ONCE)):
             rows = []
             for row in b.to_dict("records"):
                 try:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import contextlib
 import io
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from shapeloom.operators import rounds
+from shapeloom.operators import rounds, shapes
 from shapeloom.plans import solids, surfaces
 
 
@@ -44,3 +45,14 @@ def test_rows_that_become_many_are_dealt(spark):
 
 def test_fields_are_dealt_before_they_are_made(spark):
     assert solids.spheres(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_results_of_few_shapes_are_held_at_once(spark, monkeypatch):
+    held = {}
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", lambda self, run, schema: held.update(run=run))
+    done = []
+    shapes.each(spark.range(1), "n long", lambda row: done.append(row["id"]) or {"n": row["id"]})
+    out = held["run"](iter([pd.DataFrame({"id": range(1000)}), pd.DataFrame({"id": []}), pd.DataFrame({"id": range(1000, 1003)})]))
+    first = next(out)
+    assert len(done) == len(first) == shapes.AT_ONCE
+    assert [*first.n, *(n for d in out for n in d.n)] == [*range(1003)]
