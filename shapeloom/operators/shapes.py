@@ -20,8 +20,15 @@ from ..sources.shapes import decode_stl, encode_stl
 AT_ONCE = 200
 
 
-def each(shapes: DataFrame, made: str, kernel: Callable[[dict], dict], drop: tuple[str, ...] = ()) -> DataFrame:
-    """shapes with the columns `made` (DDL) that kernel(row) returns, and error (null where all went well); `drop` goes, made columns replace equal names."""
+def _or_error(kernel: Callable, x):
+    try:
+        return kernel(x)
+    except (ValueError, ArithmeticError, IndexError, np.linalg.LinAlgError) as e:
+        return e
+
+
+def each(shapes: DataFrame, made: str, kernel: Callable[[dict], dict] | None, drop: tuple[str, ...] = (), many: Callable[[list[dict]], list] | None = None) -> DataFrame:
+    """shapes with the columns `made` (DDL) that kernel(row) returns, and error (null where all went well); `drop` goes, made columns replace equal names. many(rows), in place of a kernel, returns a result or an error for each of several rows."""
     new = StructType.fromDDL(made)
     keep = [f for f in shapes.schema.fields if f.name not in {*drop, *new.names, "error"}]
     schema = StructType([*keep, *new.fields]).add("error", "string")
@@ -30,12 +37,9 @@ def each(shapes: DataFrame, made: str, kernel: Callable[[dict], dict], drop: tup
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # results are lists of Python numbers, far larger than the rows they came from
         for b in (batch[k : k + AT_ONCE] for batch in batches for k in range(0, len(batch), AT_ONCE)):
-            rows = []
-            for row in b.to_dict("records"):
-                try:
-                    got, error = kernel(row), None
-                except (ValueError, ArithmeticError, IndexError, np.linalg.LinAlgError) as e:
-                    got, error = {}, f"{type(e).__name__}: {e}"
+            given, rows = b.to_dict("records"), []
+            for row, got in zip(given, many(given) if many else (_or_error(kernel, row) for row in given)):
+                error, got = (f"{type(got).__name__}: {got}", {}) if isinstance(got, Exception) else (None, got)
                 rows.append([*(row[k] for k in kept), *(got.get(k) for k in names), error])
             yield pd.DataFrame(rows, columns=schema.names, dtype=object)
 
@@ -142,12 +146,20 @@ def sampled(meshes: DataFrame, n: int = 1000, seed_of: str = "shape_id") -> Data
 def cloud_distances(pairs: DataFrame, width: int = 6, flag_above: float = 0.02) -> DataFrame:
     """Of a cloud (points) to its mesh: mean, p99 and max distance, and frame_flag (p99 above flag_above)."""
 
-    def kernel(row):
-        d = mesh.distances(np.asarray(row["points"], np.float64).reshape(-1, width)[:, :3], *unpacked(row))
-        p99 = float(np.percentile(d, 99))
+    def kernel(rows):
+        clouds = [_or_error(lambda row: (np.asarray(row["points"], np.float64).reshape(-1, width)[:, :3], *unpacked(row)), row) for row in rows]
+        found = mesh.distances_of([c for c in clouds if not isinstance(c, Exception)])
+        # one call for clouds of one size
+        level = iter(np.percentile(np.stack(found), 99, axis=1).tolist() if len({len(d) for d in found}) == 1 and len(found[0]) else [None] * len(found))
+        found = iter(found)
+        return [c if isinstance(c, Exception) else _or_error(described, (next(found), next(level))) for c in clouds]
+
+    def described(of):
+        d, p99 = of
+        p99 = float(np.percentile(d, 99)) if p99 is None else p99
         return {"mean_d": float(d.mean()), "p99_d": p99, "max_d": float(d.max()), "frame_flag": int(p99 > flag_above)}
 
-    return each(pairs, "mean_d double, p99_d double, max_d double, frame_flag int", kernel, ("xyz", "tri", "points"))
+    return each(pairs, "mean_d double, p99_d double, max_d double, frame_flag int", None, ("xyz", "tri", "points"), kernel)
 
 
 def farthest_points(clouds: DataFrame, m: int, width: int = 6) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import contextlib
 import io
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from shapeloom.functions import mesh, sampling
 from shapeloom.operators import rounds, shapes
 from shapeloom.plans import solids, surfaces
 
@@ -56,3 +58,33 @@ def test_results_of_few_shapes_are_held_at_once(spark, monkeypatch):
     first = next(out)
     assert len(done) == len(first) == shapes.AT_ONCE
     assert [*first.n, *(n for d in out for n in d.n)] == [*range(1003)]
+
+
+def test_small_clouds_are_thinned_as_in_turn():
+    rng = np.random.default_rng(3)
+    for n, radius, most in ((0, 0.1, None), (1, 0.1, None), (192, 0.15, None), (192, 0.15, 40), (sampling.FEW_POINTS, 0.05, None), (sampling.FEW_POINTS + 1, 0.1, 50), (130, 0.0, 7)):
+        points, keep = rng.random((n, 3)), []
+        points[n // 2 :] = points[: n - n // 2]
+        for k in range(n):
+            if radius == 0 or all(((points[j] - points[k]) ** 2).sum() > radius**2 for j in keep):
+                keep.append(k)
+        assert sampling.thinned(points, radius, most).tolist() == keep[:most]
+
+
+def test_distances_of_many_small_meshes_are_those_of_each(monkeypatch):
+    rng, calls = np.random.default_rng(4), []
+    every = [(rng.normal(size=(n, 3)), rng.normal(size=(8, 3)), rng.integers(0, 8, (m, 3))) for n, m in ((5, 7), (64, 24), (64, 24), (0, 3), (3, 0), (64, 24), (5, 7))]
+    alone = [mesh.distances(*x) for x in every]
+    one = mesh._distances
+    monkeypatch.setattr(mesh, "_distances", lambda points, t: calls.append(len(points)) or one(points, t))
+    assert all(np.array_equal(a, b) for a, b in zip(mesh.distances_of(every), alone))
+    # meshes of one size go together
+    assert sorted(calls) == [1, 1, 2, 3]
+
+
+def test_a_broken_cloud_among_many_keeps_its_row(spark):
+    corner = [0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0]
+    rows = [(1, [0.0] * 3, [0, 1, 2], [0.2, 0.2, 0.5]), (2, None, None, [0.0] * 3), (3, corner, [0, 1, 2], [0.2, 0.2, 0.5]), (4, corner, [0, 1, 2], [])]
+    got = {r.shape_id: r for r in shapes.cloud_distances(spark.createDataFrame(rows, "shape_id int, xyz array<double>, tri array<int>, points array<double>"), width=3).collect()}
+    assert got[3].mean_d == got[3].p99_d == 0.5 and got[3].frame_flag == 1 and got[3].error is None
+    assert all(got[k].mean_d is None and got[k].error for k in (1, 2, 4))
