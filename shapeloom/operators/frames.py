@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from .rounds import Tables, lookup, shuffled
 from .scans import running_best  # noqa: F401
 
-#: Sizes of cells in which nearest points are sought; the largest is eight times the smallest.
-NEAR_LEVELS = 4
+#: Sizes of cells in which nearest points are sought: the largest is eight times the mean spacing of points that fill
+#: their box, the smallest a 16th of it, and where more than CROWD points share one of these, smaller ones, down to 2^-24.
+NEAR_LEVELS, FINE_LEVELS, FINER_LEVELS, CROWD = 4, 4, 24, 8
 #: Gate, pass, partial, direction.
 GATES = [
     ("watertight", 0.98, 0.90, "higher"),
@@ -167,9 +168,10 @@ def evenly_spaced(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
 def nearest(a: DataFrame, b: DataFrame, by: str = "shape_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """Of every point of a (by, pid, x, y, z): by, pid, near (the pid of the nearest point of b of the same shape; the least of equals), d2, and near_<c> of the columns to carry.
 
-    Cells of NEAR_LEVELS sizes, each twice the one before: a point's level is the least at which its own cell holds a
-    point of b, so one lies within 1.74 of that size, and the 27 cells around it at the next level hold the nearest. Two
-    joins on cells, whatever the points' density. Points with none of b in a cell of the largest size, so of clouds that
+    Cells of many sizes, each twice the one before: the least cell around a point that holds points of b bounds its
+    distance, by the farthest corner of the box of these. A second join takes the cells, about as large as the bound, that
+    reach into a ball of that radius, so a point meets some dozen others whatever the density around it. Of points with
+    equal coordinates one is sought and one is found. Points with none of b in a cell of the largest size, so of clouds that
     lie apart, go down the tree of b's cells by proven bounds instead (surfaces.closest), as the tops of both clouds would
     otherwise all meet. Points without a partner shape are left out, and so are those with null coordinates or keys.
     Each pid stands once in a shape.
@@ -183,28 +185,45 @@ def nearest(a: DataFrame, b: DataFrame, by: str = "shape_id", carry: tuple[str,
     whole = F.greatest(*[F.greatest(f"ahi{c}", f"bhi{c}") - F.least(f"alo{c}", f"blo{c}") for c in "xyz"])
     size = F.greatest(F.greatest(*[F.col(f"bhi{c}") - F.col(f"blo{c}") for c in "xyz"]) / F.cbrt("bn"), whole / (1 << 20), F.lit(1e-9))
     box = lookup(made.kept(box.select(by, size.alias("__size"), *[F.least(f"alo{c}", f"blo{c}").alias(f"__{c}") for c in "xyz"])))
-    cells = lambda level: [F.floor((F.col(c) - F.col(f"__{c}")) / (F.col("__size") * F.pow(F.lit(2.0), level))).cast("long").alias(f"c{c}") for c in "xyz"]
-    p, q = a.select(by, "pid", "x", "y", "z").join(box, by), b.select(by, F.col("pid").alias("near"), *[F.col(c).alias(f"near_{c}") for c in carry], "x", "y", "z").join(box, by)
-    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n)))
-    held = q.withColumn("level", up_to(NEAR_LEVELS - 1)).select(by, "level", *cells(F.col("level"))).distinct()
-    least = p.withColumn("level", up_to(NEAR_LEVELS - 1)).select(by, "pid", "level", *cells(F.col("level"))).join(held, [by, "level", "cx", "cy", "cz"]).groupBy(by, "pid").agg(F.min("level").alias("level"))
-    p = made.kept(p.join(least, [by, "pid"], "left").withColumn("level", F.col("level") + 1))
-    far = p.where("level is null").select(full)
-    p = p.where("level is not null").select(by, "pid", "x", "y", "z", "level", *cells(F.col("level")))
+    side = F.col("__size") * F.pow(F.lit(2.0), F.col("level"))
+    cell = lambda c, at: F.floor((at - F.col(f"__{c}")) / side).cast("long")
+    cells = [cell(c, F.col(c)).alias(f"c{c}") for c in "xyz"]
+    one = lambda d: made.kept(d.groupBy(by, "x", "y", "z").agg(F.min("pid").alias("pid")).join(box, by))
+    p, q = one(a), one(b)
+    at_levels = lambda d, low, high: d.withColumn("level", F.explode(F.sequence(F.lit(low), F.lit(high)))).select(by, "pid", "level", *cells, "x", "y", "z")
+    where = [by, "level", "cx", "cy", "cz"]
+    boxes = lambda d: d.groupBy(*where).agg(*[f(c).alias(f"{k}{c}") for c in "xyz" for k, f in (("lo", F.min), ("hi", F.max))], F.count(F.lit(1)).alias("n"))
+    held = made.kept(boxes(at_levels(q, -FINE_LEVELS, NEAR_LEVELS - 1)))
+    tried = at_levels(p, -FINE_LEVELS, NEAR_LEVELS - 1)
+    # only what lies in crowded cells is told apart by finer ones
+    crowded = held.where((F.col("level") == -FINE_LEVELS) & (F.col("n") > CROWD)).select(*where)
+    if not crowded.isEmpty():
+        inside = lambda d: at_levels(shuffled(d.withColumn("level", F.lit(-FINE_LEVELS)).withColumns({f"c{c}": x for c, x in zip("xyz", cells)})).join(crowded, where, "left_semi").drop("level", "cx", "cy", "cz"), -FINER_LEVELS, -FINE_LEVELS - 1)
+        held, tried = held.unionByName(boxes(inside(q))), tried.unionByName(inside(p))
+    most = sum(F.greatest(F.abs(F.col(c) - F.col(f"lo{c}")), F.abs(F.col(c) - F.col(f"hi{c}"))) ** 2 for c in "xyz")
+    bound = shuffled(tried).join(shuffled(held), where).groupBy(by, "pid").agg(F.min(most).alias("bound"))
+    p = made.kept(p.join(shuffled(bound), [by, "pid"], "left").withColumn("level", F.greatest(F.coalesce(F.ceil(F.log2(F.sqrt("bound") / F.col("__size"))).cast("int"), F.lit(-FINER_LEVELS)), F.lit(-FINER_LEVELS))))
+    far = p.where("bound is null").select(full)
+    used = lookup(made.kept(p.where("bound is not null").select(by, "level").distinct()))
+    there = q.join(used, by).select(by, "level", *cells, F.col("pid").alias("near"), F.col("x").alias("bx"), F.col("y").alias("b_y"), F.col("z").alias("bz"))
+    reach, ball = F.sqrt("bound") * (1 + 1e-9), p.where("bound is not null")
     for c in "xyz":
-        p = p.withColumn(f"c{c}", F.explode(F.array(*[F.col(f"c{c}") + k for k in (-1, 0, 1)])))
-    there = q.withColumn("level", up_to(NEAR_LEVELS)).where("level > 0").select(by, "level", *cells(F.col("level")), "near", *[f"near_{c}" for c in carry], F.col("x").alias("bx"), F.col("y").alias("b_y"), F.col("z").alias("bz"))
+        ball = ball.withColumn(f"c{c}", F.explode(F.sequence(cell(c, F.col(c) - reach), cell(c, F.col(c) + reach))))
+    # how far the cell begins from the point; a rounded quotient is off by less than a hundredth of a cell
+    gap = lambda c: F.greatest(F.abs(F.col(f"__{c}") + (F.col(f"c{c}") + 0.5) * side - F.col(c)) - side * 0.51, F.lit(0.0))
+    ball = ball.where(sum(gap(c) ** 2 for c in "xyz") <= reach * reach).select(*full, "bound", "level", "cx", "cy", "cz")
     d2 = (F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("b_y")) ** 2 + (F.col("z") - F.col("bz")) ** 2
-    found = p.join(there, [by, "level", "cx", "cy", "cz"]).groupBy(by, "pid").agg(F.min(F.struct(d2.alias("d2"), "near", *[f"near_{c}" for c in carry])).alias("m"))
-    found = found.select(by, "pid", "m.near", "m.d2", *[f"m.near_{c}" for c in carry])
-    if far.isEmpty():
-        return found
-    # a point is a face whose corners are equal
-    spots = b.join(far.select(by).distinct(), by, "left_semi").select(by, F.col("pid").alias("fid"), *[F.col(c).alias(f"{c}{n}") for n in range(3) for c in "xyz"])
-    apart = closest(far, spots, by).select(by, "pid", F.col("fid").alias("near"), "d2")
+    met = ball.join(shuffled(there), where).where(d2 <= F.col("bound") * (1 + 1e-9))
+    found = met.groupBy(by, "pid").agg(F.min(F.struct(d2.alias("d2"), "near")).alias("m")).select(by, "pid", "m.near", "m.d2")
+    if not far.isEmpty():
+        # a point is a face whose corners are equal
+        spots = q.join(far.select(by).distinct(), by, "left_semi").select(by, F.col("pid").alias("fid"), *[F.col(c).alias(f"{c}{n}") for n in range(3) for c in "xyz"])
+        found = found.unionByName(closest(far, spots, by).select(by, "pid", F.col("fid").alias("near"), "d2"))
+    found = shuffled(p.select(full)).join(shuffled(found), [by, "pid"]).drop("pid")
+    found = shuffled(a.select(full)).join(shuffled(found), [by, "x", "y", "z"]).select(by, "pid", "near", "d2")
     if carry:
-        apart = apart.join(b.select(by, F.col("pid").alias("near"), *[F.col(c).alias(f"near_{c}") for c in carry]), [by, "near"])
-    return found.unionByName(apart.select(found.columns))
+        found = found.join(shuffled(b.select(by, F.col("pid").alias("near"), *[F.col(c).alias(f"near_{c}") for c in carry])), [by, "near"])
+    return found.select(by, "pid", "near", "d2", *[f"near_{c}" for c in carry])
 
 
 def chamfer(a: DataFrame, b: DataFrame, by: str = "shape_id") -> DataFrame:

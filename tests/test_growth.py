@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from shapeloom.functions import mesh, sampling
-from shapeloom.operators import rounds, shapes
+from shapeloom.operators import frames, rounds, shapes
 from shapeloom.plans import solids, surfaces
 
 
@@ -88,3 +88,34 @@ def test_a_broken_cloud_among_many_keeps_its_row(spark):
     got = {r.shape_id: r for r in shapes.cloud_distances(spark.createDataFrame(rows, "shape_id int, xyz array<double>, tri array<int>, points array<double>"), width=3).collect()}
     assert got[3].mean_d == got[3].p99_d == 0.5 and got[3].frame_flag == 1 and got[3].error is None
     assert all(got[k].mean_d is None and got[k].error for k in (1, 2, 4))
+
+
+def joined(d) -> int:
+    """Most rows that a join of d has given out, once d has run."""
+    most, todo = 0, [d._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name, children = node.nodeName(), node.children()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        elif "Join" in name:
+            most = max(most, node.metrics().get("numOutputRows").get().value())
+        todo += [children.apply(k) for k in range(children.size())]
+    return most
+
+
+def test_nearest_points_of_dense_places_and_copies_meet_few(spark):
+    rng = np.random.default_rng(7)
+    # a dense ball in a wide box, and points that are mostly copies of two
+    dense = lambda n: np.concatenate([rng.normal(size=(n, 3)) * 1e-3, rng.random((20, 3)) * 100])
+    copies = lambda n: np.concatenate([np.repeat([[1.0, 1.0, 1.0], [1.0, 1.0, 1.0 + 1e-7]], n // 2, 0), rng.random((20, 3)) * 100])
+    for make, n in ((dense, 1500), (copies, 1500)):
+        a, b = make(n), make(n)
+        rows = lambda p: spark.createDataFrame([(1, k, *map(float, x)) for k, x in enumerate(p)], "shape_id int, pid long, x double, y double, z double")
+        d = frames.nearest(rows(a), rows(b))
+        got = {r.pid: (r.near, r.d2) for r in d.collect()}
+        d2 = ((a[:, None] - b[None]) ** 2).sum(2)
+        assert len(got) == len(a) and all(got[k] == (int(d2[k].argmin()), d2[k].min()) for k in range(len(a)))
+        assert joined(d) < 40 * n
