@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.mesh import least_linked
 
 
 def folder(spark: SparkSession) -> str:
@@ -72,18 +78,62 @@ def same(a: str, b: str, keys: list[str]) -> Column:
     return out
 
 
+#: Nodes of a key that are labelled in one task; larger keys are spread and go in rounds.
+IN_ONE_TASK = 10_000
+
+
+def _labelled_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, pairs a, b; a node as a pair of itself) to (key, pairs v, label), all keys of a batch together."""
+    for batch in batches:
+        pairs = batch.column(1)
+        a, b = (x.to_numpy(zero_copy_only=False) for x in pairs.flatten().flatten())
+        key = np.repeat(np.arange(len(pairs)), np.diff(pairs.offsets.to_numpy()))
+        # nodes of all keys in one order, by key and then by number
+        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = key * len(names) + at[: len(a)], key * len(names) + at[len(a) :]
+        nodes = np.unique(a[a == b])
+        known = (a != b) & np.isin(a, nodes) & np.isin(b, nodes)
+        a, b = (np.searchsorted(nodes, x[known]) for x in (a, b))
+        label = least_linked(len(nodes), a, b)
+        held = np.bincount(nodes // max(1, len(names)), minlength=len(pairs))
+        out = pa.StructArray.from_arrays([pa.array(names[x % max(1, len(names))]) for x in (nodes, nodes[label])], ["v", "label"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], held.cumsum()]), pa.int32()), out)], ["k", "e"])
+
+
 def components(nodes: DataFrame, links: DataFrame, by: str) -> DataFrame:
-    """by, v, label: the least node of each node's component. nodes: by, v; links: by, a, b (any order, repeated or not).
+    """by, v, label: the least node of each node's component. nodes: by, v; links: by, a, b (any order, repeated or not; both ends are nodes).
+
+    Keys of IN_ONE_TASK nodes or fewer are gathered once and labelled where they are; whole numbers only. The others are
+    spread over tasks and go in rounds. Null keys have no component. The result is a written table.
+    """
+    spark, made = nodes.sparkSession, Tables(nodes.sparkSession)
+    nodes, links = nodes.where(F.col(by).isNotNull() & F.col("v").isNotNull()).select(by, "v"), links.where(F.col(by).isNotNull() & (F.col("a") != F.col("b"))).select(by, "a", "b")
+    of = nodes.schema["v"].dataType
+    if not isinstance(of, T.IntegralType):
+        return _in_rounds(nodes, links, by)
+    large = made.kept(nodes.groupBy(by).count().where(F.col("count") > IN_ONE_TASK).select(by))
+    some = not large.isEmpty()
+    less = lambda d, how: d.join(lookup(large), by, how) if some else d
+    pairs = less(nodes, "left_anti").select(by, F.col("v").alias("a"), F.col("v").alias("b")).unionByName(less(links, "left_anti"))
+    packed = pairs.groupBy(by).agg(F.collect_list(F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))).alias("e")).select(F.col(by).alias("k"), "e")
+    schema = T.StructType([T.StructField("k", packed.schema["k"].dataType), *T.StructType.fromDDL("e array<struct<v: bigint, label: bigint>>").fields])
+    out = packed.mapInArrow(_labelled_at_once, schema).select(F.col("k").alias(by), F.explode("e").alias("e")).select(by, F.col("e.v").cast(of).alias("v"), F.col("e.label").cast(of).alias("label"))
+    if some:
+        out = out.unionByName(_in_rounds(less(nodes, "left_semi"), less(links, "left_semi"), by))
+    return made.last(out)
+
+
+def _in_rounds(nodes: DataFrame, links: DataFrame, by: str) -> DataFrame:
+    """As components, for keys of any size.
 
     Each round a node takes the least label among its own, its neighbours' and its label's own, and the node that its
-    label names takes the least that any member has found; it ends when none has changed. Null keys have no component. The result is a written table.
+    label names takes the least that any member has found; it ends when none has changed.
     """
     spark = nodes.sparkSession
     fixed, state = Tables(spark), Tables(spark)
-    one = links.where("a <> b").select(by, "a", "b")
-    both = fixed.kept(one.unionByName(one.select(by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = fixed.kept(links.unionByName(links.select(by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     near = both.groupBy(by, "a").agg(F.min("b").alias("m"))
-    start = nodes.where(F.col(by).isNotNull() & F.col("v").isNotNull()).select(by, "v").distinct().alias("n")
+    start = nodes.distinct().alias("n")
     label = start.join(near.alias("m"), (F.col(f"n.{by}") == F.col(f"m.{by}")) & (F.col("n.v") == F.col("m.a")), "left")
     label = state.kept(label.select(F.col(f"n.{by}").alias(by), "v", F.least("v", "m").alias("label")))
     while True:

@@ -66,16 +66,21 @@ def labelled(tri: DataFrame, by: str = "shape_id") -> DataFrame:
 def described(tri: DataFrame, by: str = "shape_id") -> DataFrame:
     """by, n_vertices, n_faces, is_watertight, is_winding_consistent, euler_number, n_components, volume, area: as of packed meshes, from aggregates of faces, edges and vertices."""
     tri = shuffled(tri)
-    whole = labelled(tri, by).groupBy(by).agg(F.count(F.lit(1)).alias("n_faces"), F.countDistinct("label").alias("n_components"), (F.sum(F.expr(VOLUME6)) / 6).alias("volume"), (F.sum(F.expr(AREA2)) / 2).alias("area"))
+    # a component is counted at the face it is named after, so the faces need no labels
+    whole = tri.groupBy(by).agg(F.count(F.lit(1)).alias("n_faces"), (F.sum(F.expr(VOLUME6)) / 6).alias("volume"), (F.sum(F.expr(AREA2)) / 2).alias("area"))
     e = edges(tri, by).groupBy(by, "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("up"), 1).otherwise(-1)).alias("turn"))
     e = e.groupBy(by).agg(F.count(F.lit(1)).alias("n_edges"), F.min((F.col("n") == 2).cast("int")).alias("is_watertight"), F.min(((F.col("n") != 2) | (F.col("turn") == 0)).cast("int")).alias("is_winding_consistent"))
     v = tri.select(by, F.explode(F.array("i", "j", "k")).alias("v")).distinct().groupBy(by).agg(F.count(F.lit(1)).alias("n_vertices"))
-    return whole.join(e, by).join(v, by).select(by, F.col("n_vertices").cast("int"), F.col("n_faces").cast("int"), "is_watertight", "is_winding_consistent", (F.col("n_vertices") - F.col("n_edges") + F.col("n_faces")).cast("int").alias("euler_number"), F.col("n_components").cast("int"), "volume", "area")
+    n = face_components(tri, by).where("label = fid").groupBy(by).agg(F.count(F.lit(1)).alias("n_components"))
+    return whole.join(n, by).join(e, by).join(v, by).select(by, F.col("n_vertices").cast("int"), F.col("n_faces").cast("int"), "is_watertight", "is_winding_consistent", (F.col("n_vertices") - F.col("n_edges") + F.col("n_faces")).cast("int").alias("euler_number"), F.col("n_components").cast("int"), "volume", "area")
 
 
 def shells(tri: DataFrame, by: str = "shape_id") -> DataFrame:
     """by, label, n_faces, volume (not signed), is_watertight, and the box lo_x ... hi_z of each component."""
-    t = labelled(tri, by)
+    return _shells(labelled(tri, by), by)
+
+
+def _shells(t: DataFrame, by: str) -> DataFrame:
     box = [x for a in AXES for x in (F.min(F.least(*[f"{a}{n}" for n in range(3)])).alias(f"lo_{a}"), F.max(F.greatest(*[f"{a}{n}" for n in range(3)])).alias(f"hi_{a}"))]
     each = t.groupBy(by, "label").agg(F.count(F.lit(1)).alias("n_faces"), (F.abs(F.sum(F.expr(VOLUME6))) / 6).alias("volume"), *box)
     tight = edges(t, by, "label").groupBy(by, "label", "lo", "hi").agg(F.count(F.lit(1)).alias("n")).groupBy(by, "label").agg(F.min((F.col("n") == 2).cast("int")).alias("is_watertight"))
@@ -87,7 +92,7 @@ def shell_report(tri: DataFrame, by: str = "shape_id") -> DataFrame:
     spark = tri.sparkSession
     made = Tables(spark)
     t = made.kept(labelled(tri, by))
-    s = made.kept(shells(t.drop("label"), by))
+    s = made.kept(_shells(t, by))
     total = s.groupBy(by).agg(F.count(F.lit(1)).cast("int").alias("n_shells"), F.min("is_watertight").alias("all_watertight"), F.sum("volume").alias("reference_volume"))
     pairs = box_pairs(s.select(by, F.col("label").alias("fid"), *[F.col(f"{k}_{a}").alias(f"{a}{n}") for a in AXES for n, k in enumerate(("lo", "hi"))]), by)
     pairs = pairs.select(by, F.col("fid_a").alias("label"), F.col("fid_b").alias("other")).unionByName(pairs.select(by, F.col("fid_b").alias("label"), F.col("fid_a").alias("other")))

@@ -119,3 +119,22 @@ def test_nearest_points_of_dense_places_and_copies_meet_few(spark):
         d2 = ((a[:, None] - b[None]) ** 2).sum(2)
         assert len(got) == len(a) and all(got[k] == (int(d2[k].argmin()), d2[k].min()) for k in range(len(a)))
         assert joined(d) < 40 * n
+
+
+def test_components_in_one_task_and_in_rounds_agree(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    nodes = [(k, int(v)) for k, n in (("a", 400), ("b", 5), ("c", 60), (None, 3)) for v in rng.permutation(n) * 1_000_003 - 7] + [("b", -7)]
+    of = {k: [v for x, v in nodes if x == k] for k in "abc"}
+    links = [(k, *map(int, rng.choice(of[k], 2))) for k, n in (("a", 250), ("b", 2), ("c", 50)) for _ in range(n)]
+    n, e = spark.createDataFrame(nodes, "s string, v long"), spark.createDataFrame(links, "s string, a long, b long")
+    rows = lambda: sorted(tuple(r) for r in rounds.components(n, e, "s").collect())
+    went, spread = [], rounds._in_rounds
+    monkeypatch.setattr(rounds, "_in_rounds", lambda *a: went.append({r.s for r in a[0].collect()}) or spread(*a))
+    here = rows()
+    # small keys are not spread, so they take one shuffle instead of some for each round
+    assert went == [] and len(here) == 465
+    monkeypatch.setattr(rounds, "IN_ONE_TASK", 100)
+    assert rows() == here and went == [{"a"}]
+    monkeypatch.setattr(rounds, "IN_ONE_TASK", 0)
+    assert rows() == here and went[1:] == [{"a", "b", "c"}]
+    assert rounds.components(n.limit(0), e, "s").count() == 0
