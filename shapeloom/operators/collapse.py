@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rounds import Tables, same, shuffled
+from ..functions.simplify import MOST_FACES, TURN, in_rounds
+from .rounds import Tables, gathered, larger, same, shuffled
 from .surfaces import AXES, CORNERS, normal
 
 #: Coefficients of a quadric: products of (x, y, z, 1) with itself.
 _PAIRS = [("x", "x"), ("x", "y"), ("x", "z"), ("x", "d"), ("y", "y"), ("y", "z"), ("y", "d"), ("z", "z"), ("z", "d"), ("d", "d")]
 _Q = [f"q{a}{b}" for a, b in _PAIRS]
-#: Vertices of more faces than this stay, so that an edge's surroundings are bounded.
-MOST_FACES = 64
-#: Cosine between a face before and after, below which it counts as turned over.
-TURN = 0.2
+#: Faces whose edges and their surroundings are held at once, or those of one shape.
+AT_ONCE = 20_000
 
 
 def _around(tri: DataFrame, by: str) -> DataFrame:
@@ -77,7 +79,7 @@ def _allowed(around: DataFrame, quadrics: DataFrame, by: str) -> DataFrame:
     fine = both | ((dot("u", "p") > 0) & (dot("u", "p") >= TURN * F.sqrt(dot("u", "u")) * F.sqrt(dot("p", "p"))))
     x = x.groupBy(by, "lo", "hi").agg(F.first("cost").alias("cost"), *[F.first(f"p{a}").alias(a) for a in AXES], F.min(fine).alias("fine"), F.count(F.lit(1)).alias("n"), F.size(F.collect_set("s")).alias("near"), F.min(F.when(F.col("t") == F.col("other"), F.col("s_degree"))).alias("left"))
     x = x.where("fine and n - near = 2 and left > 3")
-    return x.select(by, "lo", "hi", F.struct("cost", F.xxhash64("lo", "hi").alias("h"), "lo", "hi").alias("key"), *AXES)
+    return x.select(by, "lo", "hi", F.struct(F.col("cost").cast("float").alias("cost"), F.xxhash64("lo", "hi").alias("h"), "lo", "hi").alias("key"), *AXES)
 
 
 def _independent(edges: DataFrame, around: DataFrame, by: str) -> DataFrame:
@@ -90,19 +92,52 @@ def _independent(edges: DataFrame, around: DataFrame, by: str) -> DataFrame:
     return edges.join(won, [by, "key"], "left_semi")
 
 
+def _here(target: int, most_rounds: int):
+    """The faces that are left of (__key, e: its faces), whole shapes of some AT_ONCE faces together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column(1).offsets.to_numpy() - batch.column(1).offsets[0].as_py()
+            column = dict(zip((f.name for f in batch.column(1).type.value_type), (x.to_numpy(zero_copy_only=False) for x in batch.column(1).flatten().flatten())))
+            first = 0
+            while first < len(batch):
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + AT_ONCE, "right")) - 1)
+                at = slice(ends[first], ends[last])
+                shape = np.repeat(np.arange(last - first), np.diff(ends[first : last + 1]))
+                rows, f, corner = in_rounds(shape, np.stack([column[c][at] for c in "ijk"], 1), np.stack([column[c][at] for c in CORNERS], 1).reshape(-1, 3, 3), target, most_rounds)
+                corner = corner.reshape(-1, 9)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first).take(pa.array(shape[rows])), pa.array(column["fid"][at][rows]), *[pa.array(x) for x in f.T], *[pa.array(x) for x in corner.T]], ["__key", "fid", *"ijk", *CORNERS])
+                first = last
+
+    return run
+
+
 def simplified(tri: DataFrame, target: int, by: str = "shape_id", most_rounds: int = 1000) -> DataFrame:
-    """The triangle table (by, fid, i, j, k, x0 ... z2) with at most `target` faces a shape where collapses allow it: quadrics, cheapest edges first.
+    """The triangle table (by, fid, i, j, k, x0 ... z2) with at most `target` faces a shape where collapses allow it: quadrics, cheapest edges first
+    (costs in single precision, equal ones by a hash of the ends, so that the order of the rows does not matter).
 
     Each round, every edge that is the cheapest among all that have an end at or beside its own is collapsed; such edges
     do not influence one another, so a large mesh is simplified by all tasks at once, some tenth of its vertices a round.
     An edge may go where the surface stays sound (its ends share just two neighbours, neither of three faces) and no face turns over; rims,
     edges of other than two faces and vertices of more than 64 faces stay. Of the collapses that would leave fewer than
-    `target` faces (or one less), the dearest wait. A shape ends when it has `target` faces or no edge may go. Each round
-    is written. Rows with unknown values are left out; vertices keep the number of their lesser end.
+    `target` faces (or one less), the dearest wait. A shape ends when it has `target` faces or no edge may go. Shapes of
+    rounds.IN_ONE_TASK faces or fewer are gathered once and go through the same rounds where they are; of larger ones each
+    round is written. Rows with unknown values are left out; vertices keep the number of their lesser end. A written table.
     """
-    spark = tri.sparkSession
+    made = Tables(tri.sparkSession)
+    faces = tri.select(by, "fid", *[F.col(c).cast("long").alias(c) for c in "ijk"], *[F.col(c).cast("double").alias(c) for c in CORNERS]).dropna().where("i <> j and j <> k and k <> i")
+    large = larger(faces, made, by)
+    small = gathered(faces if large is None else faces.join(large, by, "left_anti"), by)
+    kind = {f.name: f.dataType.simpleString() for f in faces.schema}
+    out = small.mapInArrow(_here(target, most_rounds), ", ".join([f"__key {kind[by]}", *[f"{c} {kind[c]}" for c in faces.columns if c != by]])).withColumnRenamed("__key", by)
+    return made.last(out if large is None else out.unionByName(_spread(faces.join(large, by, "left_semi"), target, by, most_rounds)))
+
+
+def _spread(faces: DataFrame, target: int, by: str, most_rounds: int) -> DataFrame:
+    """As simplified, for shapes of any size."""
+    spark = faces.sparkSession
     made, state = Tables(spark), Tables(spark)
-    faces = state.kept(tri.select(by, "fid", *[F.col(c).cast("long").alias(c) for c in "ijk"], *CORNERS).dropna().where("i <> j and j <> k and k <> i"))
+    faces = state.kept(faces)
     quadrics, done = state.kept(_quadrics(faces, by)), []
     for _ in range(most_rounds):
         count = faces.groupBy(by).agg(F.count(F.lit(1)).alias("n_faces"))

@@ -82,6 +82,17 @@ def same(a: str, b: str, keys: list[str]) -> Column:
 IN_ONE_TASK = 10_000
 
 
+def larger(rows: DataFrame, made: Tables, by: str) -> DataFrame | None:
+    """The keys of more than IN_ONE_TASK rows as a written table; none where there are none."""
+    large = made.kept(rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > IN_ONE_TASK).select(by))
+    return None if large.isEmpty() else lookup(large)
+
+
+def gathered(rows: DataFrame, by: str) -> DataFrame:
+    """__key and e, its rows as an array of structs; where rows are dealt by the key already, nothing is shuffled."""
+    return rows.groupBy(by).agg(F.collect_list(F.struct(*[c for c in rows.columns if c != by])).alias("e")).select(F.col(by).alias("__key"), "e")
+
+
 def _labelled_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, pairs a, b; a node as a pair of itself) to (key, pairs v, label), all keys of a batch together."""
     for batch in batches:
