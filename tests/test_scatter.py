@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shapeloom.functions import levelset
-from shapeloom.operators import contours, scans, scatter, surfaces
+from shapeloom.operators import contours, rounds, scans, scatter, surfaces
 from tests.test_surfaces import sphere, table
 
 
@@ -103,6 +103,40 @@ def test_spread_points_equal_those_kept_in_turn(spark):
     assert len(got) == got[got.shape_id.notna()].shape[0] and scatter.spread(df.limit(0)).count() == 0
 
 
+def test_points_of_small_shapes_are_taken_in_turn_in_one_task(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    rows = [(k, i, *map(float, p), float(radius), f"{(i * 7919) % 600:03d}", {"n": i}) for k, (n, radius) in {"a": (600, 0.1), "b": (70, 0.3), "c": (1, 0.5), "d": (9, 0.0)}.items() for i, p in enumerate(r.random((n, 3)))]
+    df = spark.createDataFrame(rows, "shape_id string, pid long, x double, y double, z double, radius double, at string, more map<string, int>").repartition(3)
+    went, far = [], scatter._spread
+    monkeypatch.setattr(scatter, "_spread", lambda *a: went.append({x.shape_id for x in a[0].select("shape_id").distinct().collect()}) or far(*a))
+    got = lambda order: sorted(map(str, scatter.spread(df, order=order).collect()))
+    here = {order: got(order) for order in ("pid", "at")}
+    # no candidates by 125 cells are written for them
+    assert went == [] and here["pid"] != here["at"] and len(here["at"]) < len(rows)
+    monkeypatch.setattr(rounds, "IN_ONE_TASK", 100)
+    assert {order: got(order) for order in here} == here and went == [{"a"}] * 2
+
+
+def test_clouds_of_small_shapes_are_drawn_in_one_task(spark, monkeypatch):
+    v, f = sphere(6, 8)
+    tri = table(spark, {1: (v, f), 2: (v * [3, 1, 1], f), 3: (v * 0, f), 4: (v[:3], np.array([[0, 1, 2]])), 5: sphere(3, 4)}).repartition(3, "fid")
+    tri = tri.unionByName(tri.limit(1).withColumn("shape_id", F.lit(None).cast(tri.schema["shape_id"].dataType)))
+    went = []
+    for name in ("_sampled", "_cloud"):
+        one = getattr(scatter, name)
+        monkeypatch.setattr(scatter, name, lambda *a, one=one, name=name: went.append((name, {x.shape_id for x in a[0].select("shape_id").distinct().collect()})) or one(*a))
+    order = lambda d: sorted(map(tuple, d.collect()))
+    every = lambda: (order(scatter.sampled(tri, 30, 3)), order(scatter.cloud(tri, 20, 4)))
+    monkeypatch.setattr(scatter, "AT_ONCE", 70)
+    here = every()
+    # no ranges, buckets or joins of points are needed
+    assert went == [] and {r[0] for r in here[0]} == {r[0] for r in here[1]} == {1, 2, 4, 5} and [len(x) for x in here] == [120, 80]
+    assert scatter.sampled(tri, 0).count() == scatter.cloud(tri.limit(0), 5).count() == 0
+    went.clear()
+    monkeypatch.setattr(rounds, "IN_ONE_TASK", 62)
+    assert every() == here and went[:2] == [("_sampled", {1, 2}), ("_cloud", {1, 2})]
+
+
 def test_a_cloud_has_n_points(spark):
     v, f = sphere(6, 8)
     got = scatter.cloud(table(spark, {1: (v, f), 2: (v * 5, f)}), 100, 1).toPandas()
