@@ -7,13 +7,18 @@ are left out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.mesh import nearest_face
+from . import rounds
 from .frames import box_pairs
-from .rounds import Tables, components, lookup, same, shuffled
+from .rounds import Tables, components, gathered, lookup, same, shuffled
 
 AXES = "xyz"
 CORNERS = [f"{c}{n}" for n in range(3) for c in AXES]
@@ -310,13 +315,54 @@ def to_face() -> Column:
     return F.expr(f"case when ({size}) > 0 and {' and '.join(inside)} then power({height}, 2) / ({size}) else {rim} end")
 
 
+#: Pairs of a shape's points and faces that are measured in one task.
+MOST_PAIRS = 10_000_000
+
+
 def closest(points: DataFrame, tri: DataFrame, by: str = "shape_id", leaf: int = 32) -> DataFrame:
     """by, pid, fid, d2: the nearest face of its shape of each point (by, pid, x, y, z), the least fid of equals, and the squared distance to it.
 
     A cell's faces lie within its box, and all within its radius of its centre: cells whose box is further than the least
     of the others' far ends are closed, level by level; the faces of the leaves that remain are measured. Points of
-    shapes without faces are left out; repeated pids are one point.
+    shapes without faces are left out; repeated pids are one point. Shapes of rounds.IN_ONE_TASK faces and points or fewer,
+    and MOST_PAIRS pairs of both, are gathered once and all of their pairs measured where they are. A written table.
     """
+    made = Tables(tri.sparkSession)
+    faces = tri.dropna(subset=[by, *CORNERS]).select(by, "fid", *CORNERS)
+    points = points.dropna(subset=[by, "pid", *AXES]).dropDuplicates([by, "pid"]).select(by, "pid", *[F.col(a).cast("double").alias(a) for a in AXES])
+    count = lambda d, n: shuffled(d.groupBy(by).agg(F.count(F.lit(1)).alias(n)))
+    large = count(faces, "n").join(count(points, "m"), by).where((F.greatest("n", "m") > rounds.IN_ONE_TASK) | (F.col("n") * F.col("m") > MOST_PAIRS))
+    large = made.kept(large.select(by))
+    some = None if large.isEmpty() else lookup(large)
+    small = lambda d: shuffled(gathered(d if some is None else d.join(some, by, "left_anti"), by))
+    both = small(faces).join(small(points).withColumnRenamed("e", "p"), "__key").select("__key", "e", "p")
+    kind = {f.name: f.dataType.simpleString() for d in (faces, points) for f in d.schema}
+    out = both.mapInArrow(_nearest, f"__key {kind[by]}, pid {kind['pid']}, fid {kind['fid']}, d2 double").withColumnRenamed("__key", by)
+    return made.last(out if some is None else out.unionByName(_by_tree(points.join(some, by, "left_semi"), faces.join(some, by, "left_semi"), by, leaf)))
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key, pid, fid and d2 of (__key, e: faces, p: points)."""
+    columns = lambda x: dict(zip((f.name for f in x.type.value_type), (c.to_numpy(zero_copy_only=False) for c in x.flatten().flatten())))
+    spans = lambda x: x.offsets.to_numpy() - x.offsets[0].as_py()
+    for batch in batches:
+        e, p = batch.column(1), batch.column(2)
+        face, pid = columns(e), p.flatten().flatten()[0]
+        fid = face["fid"]
+        corner, place = np.stack([face[c] for c in CORNERS], 1).reshape(-1, 3, 3), np.stack([x for c, x in columns(p).items() if c != "pid"], 1)
+        key = np.repeat(np.arange(len(e)), np.diff(spans(e)))
+        # the first of equals is the least fid
+        order = np.lexsort((fid, key))
+        fid, corner, found = fid[order], corner[order], []
+        for (a, b), (c, d) in zip(zip(spans(e), spans(e)[1:]), zip(spans(p), spans(p)[1:])):
+            row, d2 = nearest_face(place[c:d], corner[a:b])
+            found.append((a + row, d2))
+        row, d2 = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(p)), np.diff(spans(p))))), pid, pa.array(fid[row]), pa.array(d2)], ["__key", "pid", "fid", "d2"])
+
+
+def _by_tree(points: DataFrame, tri: DataFrame, by: str, leaf: int) -> DataFrame:
+    """As closest, for shapes of any size."""
     tree = Tree(tri, by, leaf)
     if tree.top is None:
         return points.limit(0).select(by, "pid", F.lit(0).cast("long").alias("fid"), F.lit(0.0).alias("d2"))

@@ -25,20 +25,27 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box for each supplier, each side of PARTS x PARTS squares of two faces; vertices are numbered by their place on the grid."""
     k = F.col("s_suppkey")
     rows = dealt(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey"), "s_suppkey", FEW).select(k.alias("shape_id"), *[(1 + k % m).cast("double").alias(f"e{a}") for a, m in (("x", 7), ("y", 5), ("z", 3))])
-    square = F.explode(F.sequence(F.lit(0), F.lit(6 * PARTS * PARTS - 1))).alias("q")
-    rows = rows.select("*", square).select("*", F.floor(F.col("q") / (PARTS * PARTS)).alias("side"), F.floor(F.col("q") % (PARTS * PARTS) / PARTS).alias("u"), (F.col("q") % PARTS).alias("v"))
-    # a side lies across one axis, at its low or high end
-    corners, faces = {}, {}
-    for u in (0, 1):
-        for v in (0, 1):
-            place = {a: F.when(F.floor(F.col("side") / 2) == n, F.col("side") % 2 * PARTS).when((F.floor(F.col("side") / 2) + 1) % 3 == n, F.col("u") + u).otherwise(F.col("v") + v) for n, a in enumerate("xyz")}
-            corners[u, v] = F.struct(((place["x"] * (PARTS + 1) + place["y"]) * (PARTS + 1) + place["z"]).cast("int").alias("n"), *[(place[a] / PARTS * F.col(f"e{a}")).alias(a) for a in "xyz"])
-    high = F.col("side") % 2 == 1
-    for n, (p, q, r) in enumerate((((0, 0), (1, 0), (1, 1)), ((0, 0), (1, 1), (0, 1)))):
-        second, third = F.when(high, corners[q]).otherwise(corners[r]), F.when(high, corners[r]).otherwise(corners[q])
-        faces[n] = F.struct((2 * F.col("q") + n).cast("long").alias("fid"), corners[p].alias("p"), second.alias("s"), third.alias("t"))
-    f = rows.select("shape_id", F.explode(F.array(*faces.values())).alias("f"))
-    return f.select("shape_id", "f.fid", *[F.col(f"f.{c}.n").alias(x) for c, x in zip("pst", "ijk")], *[F.col(f"f.{c}.{a}").alias(f"{a}{n}") for n, c in enumerate("pst") for a in "xyz"])
+    # worked out from a square's number in each row, the corners are a method too large for the JVM to compile
+    names = [f"{a}{n}" for n in range(3) for a in "xyz"]
+    unit = F.broadcast(spark.createDataFrame(_unit(), ", ".join(["fid long", *[f"{c} int" for c in "ijk"], *[f"{c} double" for c in names]])))
+    return rows.crossJoin(unit).select("shape_id", "fid", *"ijk", *[(F.col(c) * F.col(f"e{c[0]}")).alias(c) for c in names])
+
+
+def _unit() -> list[tuple]:
+    """The faces of a box of edge 1: fid, three vertices, and their places."""
+    out = []
+    for q in range(6 * PARTS * PARTS):
+        # a side lies across one axis, at its low or high end
+        side, u, v = q // (PARTS * PARTS), q % (PARTS * PARTS) // PARTS, q % PARTS
+
+        def corner(du: int, dv: int) -> tuple[int, tuple[float, ...]]:
+            place = [side % 2 * PARTS if side // 2 == n else u + du if (side // 2 + 1) % 3 == n else v + dv for n in range(3)]
+            return (place[0] * (PARTS + 1) + place[1]) * (PARTS + 1) + place[2], tuple(x / PARTS for x in place)
+
+        for n, (p, s, t) in enumerate((((0, 0), (1, 0), (1, 1)), ((0, 0), (1, 1), (0, 1)))):
+            at = [corner(*c) for c in ((p, s, t) if side % 2 else (p, t, s))]
+            out.append((2 * q + n, *[i for i, _ in at], *[x for _, place in at for x in place]))
+    return out
 
 
 #: Places in units of the box: pid, x, y, z.

@@ -45,6 +45,15 @@ def test_rows_that_become_many_are_dealt(spark):
     assert surfaces.blocks(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_boxes_are_scaled_from_one(spark):
+    tri = surfaces.blocks(spark, "/root/testdata/sf0.001")
+    # a row's corners are a few products, which the JVM compiles, and the rows of a box stay where they are
+    assert "CASE" not in plan(tri) and "BroadcastNestedLoopJoin" in plan(tri)
+    assert plan(tri.groupBy("shape_id").count()).count("Exchange hashpartitioning") == 1
+    d = tri.where("shape_id = 4")
+    assert d.count() == 432 and {r.x0 for r in d.select("x0").collect()} == {k / 6 * 5 for k in range(7)}
+
+
 def test_fields_are_dealt_before_they_are_made(spark):
     assert solids.spheres(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 

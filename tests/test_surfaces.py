@@ -135,6 +135,26 @@ def test_winding_by_cells_equals_all_faces(spark):
         assert np.abs(got - exact).max() < 0.02 and ((got > 0.5) == (exact > 0.5))[np.abs(exact - 0.5) > 0.02].all()
 
 
+def test_small_shapes_need_no_tree_for_closest_faces(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    v, f = sphere(6, 9)
+    shapes = {1: (v, f), 2: (v * [1, 3, 1], f), 3: sphere(3, 4), 4: (np.array([[0, 0, 0], [1, 0, 0], [2, 0, 0], [0, 1, 0]], float), np.array([[0, 1, 2], [0, 1, 1], [0, 1, 3]]))}
+    points = [(k, p, *map(float, x)) for k in (1, 2, 3, 4, 9) for p, x in enumerate(rng.normal(size=(20, 3)))] + [(1, 3, 0.0, 0.0, 0.0), (2, 77, None, 0.0, 0.0)] + [(1, 100 + n, *map(float, v[n])) for n in range(9)]
+    points = spark.createDataFrame([p for k, p in enumerate(points) if k != 3], "shape_id int, pid int, x double, y double, z double")
+    went, tree = [], surfaces._by_tree
+    monkeypatch.setattr(surfaces, "_by_tree", lambda *a: went.append({r.shape_id for r in a[0].select("shape_id").distinct().collect()}) or tree(*a))
+    rows = lambda: sorted(map(tuple, surfaces.closest(points, table(spark, shapes), leaf=8).select("shape_id", "pid", "fid", "d2").collect()))
+    here = rows()
+    # no level of cells is written for them
+    assert went == [] and len(here) == 89
+    monkeypatch.setattr(rounds, "IN_ONE_TASK", 50)
+    assert rows() == here and went == [{1, 2}]
+    monkeypatch.setattr(rounds, "IN_ONE_TASK", 10_000)
+    monkeypatch.setattr(surfaces, "MOST_PAIRS", 100)
+    monkeypatch.setattr(mesh, "PAIRS", 100)
+    assert rows() == here and went[1] == {1, 2, 3}
+
+
 def test_closest_faces_equal_all_distances(spark):
     shapes = {1: joined(sphere(20, 30), sphere(12, 16, 0.4, (5, 0, 0))), 2: (np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [2, 0, 0]], float), np.array([[0, 1, 2], [0, 1, 3]]))}  # the second has a face without area
     rng = np.random.default_rng(6)
