@@ -11,6 +11,7 @@ from shapeloom.functions.seeds import stable_seed
 from shapeloom.operators import shapes
 from shapeloom.plans import solids
 from shapeloom.sources import shapes as files
+from tests.test_surfaces import sphere
 
 SF = "/root/testdata/sf0.001"
 
@@ -162,3 +163,48 @@ def test_scores_of_a_shape_against_itself_and_of_a_missing_one(spark):
     got = {r.shape_id: r for r in inference.scored(truth.where("shape_id = 1"), truth, 200, 12).collect()}
     assert got[1].iou == 1 and got[1].chamfer_l2_x1e3 == 0 and abs(got[1].normal_consistency - 1) < 1e-9 and got[1].watertight == got[1].euler_match == 1 and got[1].error is None
     assert got[2].iou == 0 and np.isnan(got[2].chamfer_l2_x1e3) and got[2].watertight == 0 and got[2].n_components is None and got[2].error
+
+
+def collapsed_in_turn(v, f, target):
+    """As simplify.decimated, with all edges offered again after each collapse."""
+    place, face = [tuple(x) for x in v.tolist()], {k: list(t) for k, t in enumerate(f.tolist())}
+    n = np.cross(v[f[:, 1]] - v[f[:, 0]], v[f[:, 2]] - v[f[:, 0]])
+    size = np.linalg.norm(n, axis=1)
+    plane = np.hstack([n / size[:, None], -((n / size[:, None]) * v[f[:, 0]]).sum(1, keepdims=True)])
+    q = np.zeros((len(v), 4, 4))
+    np.add.at(q, f.ravel(), np.repeat((size / 2)[:, None, None] * plane[:, :, None] * plane[:, None], 3, 0))
+    cross = lambda p: np.cross(p[1] - p[0], p[2] - p[0])
+    while len(face) > target:
+        best = None
+        for a, b in sorted({(min(x, y), max(x, y)) for t in face.values() for x, y in zip(t, t[1:] + t[:1])}):
+            p, r, m = np.array(place[a]), np.array(place[b]), q[a] + q[b]
+            options, long2 = [p, r, (p + r) / 2], ((p - r) ** 2).sum()
+            if abs(np.linalg.det(m[:3, :3])) > 1e-9 * max(m[0, 0], m[1, 1], m[2, 2]) ** 3:
+                low = np.linalg.solve(m[:3, :3], -m[:3, 3])
+                options += [low] if ((low - options[2]) ** 2).sum() <= 4 * long2 else []
+            cost, to = min((max(float(np.append(x, 1) @ m @ np.append(x, 1)), 0.0) + 1e-12 * long2, tuple(x)) for x in options)
+            near = [{x for t in face.values() if c in t for x in t} for c in (a, b)]
+            touched = {k: t for k, t in face.items() if (a in t) != (b in t)}
+            if (best and cost >= best[0]) or sum(a in t and b in t for t in face.values()) != 2 or len(near[0] & near[1]) != 4:
+                continue
+            turn = [(cross(np.array([place[x] for x in t])), cross(np.array([to if x in (a, b) else place[x] for x in t]))) for t in touched.values()]
+            if all(x @ y > 0.1 * np.linalg.norm(x) * np.linalg.norm(y) for x, y in turn):
+                best = (cost, a, b, to)
+        if best is None:
+            break
+        _, a, b, to = best
+        face = {k: [a if x == b else x for x in t] for k, t in face.items() if not (a in t and b in t)}
+        place[a], q[a] = to, q[a] + q[b]
+    return np.array(place), np.array(list(face.values()))
+
+
+def test_edges_are_offered_together_and_the_cheapest_goes_first(monkeypatch):
+    rng, offered, many = np.random.default_rng(2), [], simplify._offers
+    monkeypatch.setattr(simplify, "_offers", lambda q, *ends: offered.append(q.shape[1]) or many(q, *ends))
+    v, f = sphere(5, 7)
+    v = v + rng.normal(size=v.shape) * 0.03
+    for target in (50, 30):
+        w, g = simplify.decimated(v, f, target)
+        x, y = collapsed_in_turn(v, f, target)
+        assert np.allclose(sorted(map(tuple, w[g].reshape(-1, 9).round(7))), sorted(map(tuple, x[y].reshape(-1, 9).round(7)))) and len(g) == target
+    assert offered == [3 * len(f) // 2] * 2
